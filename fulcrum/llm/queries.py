@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fulcrum.llm import neighbors
+from fulcrum.llm import groups, neighbors
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -17,6 +17,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.neighbor_pairs(neighbors.top_neighbors(_t(spark, d, "node_vectors")))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return groups.components(groups.linking_pairs(_t(spark, d, "match_pairs")))
+
+
+def p2_group_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return groups.group_titles(p2_found(spark, d), _t(spark, d, "nodes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_group_sizes": p2_group_sizes,
 }

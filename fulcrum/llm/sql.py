@@ -1,3 +1,20 @@
 """Equivalent SQL of the queries of this subpackage, where SQL can express them on whole tables."""
 
-SQL: dict[str, str] = {}
+_P2 = """
+WITH RECURSIVE l AS (
+  SELECT lower(trim(node_a, ' ' || chr(9))) AS a, lower(trim(node_b, ' ' || chr(9))) AS b
+  FROM match_pairs WHERE upper(trim(decision, ' ' || chr(9))) = 'MERGE'
+), e AS (
+  SELECT a AS x, b AS y FROM l WHERE a <> '' AND b <> '' AND a <> b
+  UNION SELECT b, a FROM l WHERE a <> '' AND b <> '' AND a <> b
+), r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+g AS (SELECT x AS node_id, least(x, min(y)) AS group_id FROM r GROUP BY x)
+"""
+
+SQL: dict[str, str] = {
+    "p2_found": _P2 + "SELECT node_id, group_id FROM g",
+    "p2_group_sizes": _P2 + """
+, t AS (SELECT DISTINCT lower(trim(node_id, ' ' || chr(9))) AS node_id, nullif(lower(trim(title, ' ' || chr(9))), '') AS title_key FROM nodes)
+SELECT g.group_id, count(DISTINCT g.node_id) AS n_members, count(DISTINCT t.title_key) AS n_titles, count(t.title_key) AS n_with_title
+FROM g LEFT JOIN t ON g.node_id = t.node_id GROUP BY g.group_id""",
+}
