@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fulcrum.llm import groups, neighbors
+from fulcrum.durable import Workspace
+from fulcrum.llm import bpe, groups, mixing, neighbors
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -25,8 +26,29 @@ def p2_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return groups.group_titles(p2_found(spark, d), _t(spark, d, "nodes"))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_corpus(_t(spark, d, "documents"))
+
+
+def _mix(spark: SparkSession, d: str, keep: tuple[str, ...]) -> tuple[DataFrame, mixing.Plan]:
+    sized = Workspace(spark, "mix").put(mixing.sizes(_t(spark, d, "documents"), "byte_bpe_50k", keep), "sized")
+    plan = mixing.plan_mix(sized, _t(spark, d, "mix_targets"))
+    return mixing.mix(sized, plan), plan
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d, ("doc_id", "source", "text"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(*_mix(spark, d, ("doc_id", "source")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_group_sizes": p2_group_sizes,
+    "p7_ids": p7_ids,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
 }
