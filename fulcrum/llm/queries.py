@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fulcrum.durable import Workspace
-from fulcrum.llm import bpe, groups, mixing, neighbors
+from fulcrum.llm import bpe, canonical, groups, mixing, neighbors
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -26,6 +27,17 @@ def p2_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return groups.group_titles(p2_found(spark, d), _t(spark, d, "nodes"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    tags = _t(spark, d, "field_taxonomy")
+    rows = canonical.map_values(canonical.typed_fields(_t(spark, d, "nodes"), tags), tags)
+    return rows.select("node_id", "raw_value", F.coalesce("field_tag", F.lit("")).alias("field_tag"))
+
+
+def p6_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Values that fit no entry and how many nodes carry them."""
+    return p6_found(spark, d).filter("field_tag = ''").groupBy("raw_value").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(_t(spark, d, "documents"))
 
@@ -48,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_group_sizes": p2_group_sizes,
+    "p6_found": p6_found,
+    "p6_unmatched": p6_unmatched,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
