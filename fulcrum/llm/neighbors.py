@@ -33,24 +33,25 @@ from fulcrum.functions.keys import same_id
 class Params:
     dim: int = 64
     k: int = 5
-    cell_rows: int = 2500
-    block_rows: int = 6000
+    cell_rows: int = 4000
+    block_rows: int = 8000
     max_cells: int = 4096
-    margin: float = 0.1
-    max_probes: int = 4
-    levels: int = 4
+    margin: float = 0.05
+    max_probes: int = 6
+    levels: int = 8
     codewords: int = 256
     beam: int = 4
-    rerank: int = 96
+    rerank: int = 192
     sample_max: int = 131_072
     seed: int = 7
 
 
 @dataclass
 class Codebooks:
-    """``cells``: unit centroids; ``levels``: residual codebooks; ``blocks``: blocks of each cell."""
+    """``cells``: unit centroids that route; ``means``: the first codewords; ``levels``: residual codebooks; ``blocks``: blocks of each cell."""
 
     cells: np.ndarray
+    means: np.ndarray
     levels: list[np.ndarray] = field(default_factory=list)
     blocks: np.ndarray | None = None
 
@@ -94,14 +95,17 @@ def fit(x: np.ndarray, rows: int, p: Params) -> Codebooks:
     rng = np.random.default_rng(p.seed)
     cells = kmeans(x, max(1, min(p.max_cells, rows // p.cell_rows)), rng, unit=True)
     cell = (x @ cells.T).argmax(1)
-    rest = x - cells[cell]
+    count = np.bincount(cell, minlength=len(cells))
+    means = np.stack([np.bincount(cell, weights=x[:, j], minlength=len(cells)) for j in range(x.shape[1])], axis=1)
+    means = (means / np.maximum(count, 1)[:, None]).astype(np.float32)
+    rest = x - means[cell]
     levels: list[np.ndarray] = []
     left = rest
     for _ in range(p.levels):
         levels.append(kmeans(left, min(256, p.codewords), rng))
         left = beam_encode(rest, levels, p.beam)[1]
-    share = np.bincount(cell, minlength=len(cells)) / len(x)
-    return Codebooks(cells, levels, np.maximum(1, np.ceil(share * rows / p.block_rows)).astype(np.int64))
+    share = count / len(x)
+    return Codebooks(cells, means, levels, np.maximum(1, np.ceil(share * rows / p.block_rows)).astype(np.int64))
 
 
 def _bytes_column(rows: np.ndarray) -> pa.Array:
@@ -249,7 +253,7 @@ def top_neighbors(vectors: DataFrame, id_col: str = "node_id", vector_col: str =
                 continue
             near = x @ c.cells.T
             cell = near.argmax(1)
-            codes, left = beam_encode(x - c.cells[cell], c.levels, p.beam)
+            codes, left = beam_encode(x - c.means[cell], c.levels, p.beam)
             norms = np.linalg.norm(x - left, axis=1).astype(np.float32)
             block = _spread(ids, c.blocks[cell])
             probes = min(p.max_probes, near.shape[1])
@@ -285,7 +289,7 @@ def top_neighbors(vectors: DataFrame, id_col: str = "node_id", vector_col: str =
             norms = table.column("norm").to_numpy(zero_copy_only=False)[mine]
             _, ask = np.unique(q_ids, return_index=True)
             cell = table.column("cell").to_numpy(zero_copy_only=False)[mine[0]]
-            r, n, cos = _search_block(q[ask], q_ids[ask], q_ids[mine], q[mine], codes, norms, c.cells[cell], c.levels, p)
+            r, n, cos = _search_block(q[ask], q_ids[ask], q_ids[mine], q[mine], codes, norms, c.means[cell], c.levels, p)
             return pa.table({"id": pa.array(q_ids[ask][r], pa.string()), "neighbor": pa.array(q_ids[mine][n], pa.string()), "cosine": pa.array(cos, pa.int64())})
         return pa.table({"id": pa.array([], pa.string()), "neighbor": pa.array([], pa.string()), "cosine": pa.array([], pa.int64())})
 
