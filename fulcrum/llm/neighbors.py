@@ -2,10 +2,11 @@
 
 A first codebook of unit centroids sends every vector to one cell (the vector's
 first code) and every query to the few cells whose centroids are about as close
-as its own.  Inside a cell, vectors are sums of full-dimensional residual
-codewords found by beam search; their reconstruction norms are stored; a query
-scores the codes through lookup tables and the best ones are reranked with the
-vectors themselves.
+as its own.  Inside a cell, a vector is the cell's mean plus its gain times a sum of
+full-dimensional residual codewords found by beam search, so regions of any
+density are coded equally well.  Gains and reconstruction norms are stored; a
+query scores the codes through lookup tables and the best ones are reranked
+with the vectors themselves.
 
 Bounds, all parameters: codebooks are fitted on at most ``sample_max`` rows,
 every row is indexed.  Cells aim at ``cell_rows`` rows; one that holds more is
@@ -90,6 +91,11 @@ def beam_encode(rest: np.ndarray, books: list[np.ndarray], beam: int) -> tuple[n
     return codes[rows, pick], left[rows, pick]
 
 
+def unit_residuals(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    gain = np.maximum(np.linalg.norm(rest, axis=1), 1e-9).astype(np.float32)
+    return rest / gain[:, None], gain
+
+
 def fit(x: np.ndarray, rows: int, p: Params) -> Codebooks:
     """Codebooks from sampled unit vectors; cells are counted in the sample to size their blocks."""
     rng = np.random.default_rng(p.seed)
@@ -98,7 +104,7 @@ def fit(x: np.ndarray, rows: int, p: Params) -> Codebooks:
     count = np.bincount(cell, minlength=len(cells))
     means = np.stack([np.bincount(cell, weights=x[:, j], minlength=len(cells)) for j in range(x.shape[1])], axis=1)
     means = (means / np.maximum(count, 1)[:, None]).astype(np.float32)
-    rest = x - means[cell]
+    rest = unit_residuals(x - means[cell])[0]
     levels: list[np.ndarray] = []
     left = rest
     for _ in range(p.levels):
@@ -162,7 +168,7 @@ def _spread(ids: pa.Array, n: np.ndarray) -> np.ndarray:
     return crc % n
 
 
-def _search_block(q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, base: np.ndarray, levels: list[np.ndarray], p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _search_block(q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, gains: np.ndarray, norms: np.ndarray, base: np.ndarray, levels: list[np.ndarray], p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest of the block's vectors for each query: (query row, neighbour row, cosine).
 
     ``ids`` must ascend; equal vectors are scored once and keep their k+1 smallest ids.
@@ -177,15 +183,18 @@ def _search_block(q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, x: np.ndarr
     members = np.where(np.arange(width) < np.minimum(count, width)[:, None], order[np.minimum(slot, len(order) - 1)], -1)
     ux, ucodes = x[first], codes[first]
     scale = (1.0 / np.maximum(norms[first], 1e-9)).astype(np.float32)[:, None]
+    lift = gains[first][:, None]
     n = len(ux)
     take = min(p.rerank, n)
     ux64 = ux.astype(np.float64)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(q), 256):
         part = q[at : at + 256]
-        score = np.repeat((part @ base)[None, :], n, axis=0)
-        for m, book in enumerate(levels):
+        score = np.take(levels[0] @ part.T, ucodes[:, 0], axis=0)
+        for m, book in enumerate(levels[1:], 1):
             score += np.take(book @ part.T, ucodes[:, m], axis=0)
+        score *= lift
+        score += part @ base
         score *= scale
         rows = np.ascontiguousarray(score.T)
         best = np.argpartition(rows, n - take, axis=1)[:, n - take :] if take < n else np.broadcast_to(np.arange(n), rows.shape)
@@ -253,8 +262,9 @@ def top_neighbors(vectors: DataFrame, id_col: str = "node_id", vector_col: str =
                 continue
             near = x @ c.cells.T
             cell = near.argmax(1)
-            codes, left = beam_encode(x - c.means[cell], c.levels, p.beam)
-            norms = np.linalg.norm(x - left, axis=1).astype(np.float32)
+            shape, gain = unit_residuals(x - c.means[cell])
+            codes, left = beam_encode(shape, c.levels, p.beam)
+            norms = np.linalg.norm(x - left * gain[:, None], axis=1).astype(np.float32)
             block = _spread(ids, c.blocks[cell])
             probes = min(p.max_probes, near.shape[1])
             best = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
@@ -271,8 +281,8 @@ def top_neighbors(vectors: DataFrame, id_col: str = "node_id", vector_col: str =
                 hi = min(lo + 20_000, len(q))
                 sel = q[lo:hi]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(target[lo:hi] * width + nth[lo:hi]), pa.array(cell[sel].astype(np.int32)), ids.take(pa.array(sel)), _bytes_column(x[sel]), code[lo:hi], pa.array(norms[sel])],
-                    names=["part", "cell", "id", "x", "code", "norm"],
+                    [pa.array(target[lo:hi] * width + nth[lo:hi]), pa.array(cell[sel].astype(np.int32)), ids.take(pa.array(sel)), _bytes_column(x[sel]), code[lo:hi], pa.array(gain[sel]), pa.array(norms[sel])],
+                    names=["part", "cell", "id", "x", "code", "gain", "norm"],
                 )
 
     def search(table: pa.Table) -> pa.Table:
@@ -286,14 +296,14 @@ def top_neighbors(vectors: DataFrame, id_col: str = "node_id", vector_col: str =
             _, once = np.unique(q_ids[mine], return_index=True)  # ascending ids, each once
             mine = mine[once]
             codes = _matrix(table.column("code").filter(pa.array(there)), np.uint8, len(c.levels))[once]
-            norms = table.column("norm").to_numpy(zero_copy_only=False)[mine]
+            gains, norms = (table.column(n).to_numpy(zero_copy_only=False)[mine] for n in ("gain", "norm"))
             _, ask = np.unique(q_ids, return_index=True)
             cell = table.column("cell").to_numpy(zero_copy_only=False)[mine[0]]
-            r, n, cos = _search_block(q[ask], q_ids[ask], q_ids[mine], q[mine], codes, norms, c.means[cell], c.levels, p)
+            r, n, cos = _search_block(q[ask], q_ids[ask], q_ids[mine], q[mine], codes, gains, norms, c.means[cell], c.levels, p)
             return pa.table({"id": pa.array(q_ids[ask][r], pa.string()), "neighbor": pa.array(q_ids[mine][n], pa.string()), "cosine": pa.array(cos, pa.int64())})
         return pa.table({"id": pa.array([], pa.string()), "neighbor": pa.array([], pa.string()), "cosine": pa.array([], pa.int64())})
 
-    routed = source.mapInArrow(route, "part long, cell int, id string, x binary, code binary, norm float")
+    routed = source.mapInArrow(route, "part long, cell int, id string, x binary, code binary, gain float, norm float")
     found = routed.groupBy("part").applyInArrow(search, "id string, neighbor string, cosine long")
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbor")
     out = found.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= p.k).drop("rn")
