@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fulcrum.durable import Workspace
-from fulcrum.llm import bpe, canonical, groups, mixing, neighbors
+from fulcrum.llm import bpe, canonical, encodings, groups, mixing, neighbors
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -56,6 +56,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(*_mix(spark, d, ("doc_id", "source")))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.repair(_t(spark, d, "documents")).select("doc_id")
+
+
+def p9_repaired(spark: SparkSession, d: str) -> DataFrame:
+    rows = encodings.repair(_t(spark, d, "documents"))
+    return rows.select("doc_id", F.array_join("chains", ",").alias("chains"), "n_garbled", "n_repaired", "repaired_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -65,4 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_repaired": p9_repaired,
 }
