@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fulcrum.durable import Workspace
-from fulcrum.llm import bpe, canonical, encodings, groups, mixing, neighbors
+from fulcrum.llm import bpe, canonical, encodings, groups, mixing, neighbors, survivors
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,6 +27,19 @@ def p2_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return groups.group_titles(p2_found(spark, d), _t(spark, d, "nodes"))
 
 
+def _merge_rows(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.long_rows(survivors.members(_t(spark, d, "merge_log"), _t(spark, d, "nodes")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.best_by_merit(_merge_rows(spark, d)).select("cluster_id", "field_name", "node_id")
+
+
+def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """Surviving records by trust and recency votes."""
+    return survivors.surviving_records(survivors.best_by_votes(_merge_rows(spark, d)))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     tags = _t(spark, d, "field_taxonomy")
     rows = canonical.map_values(canonical.typed_fields(_t(spark, d, "nodes"), tags), tags)
@@ -69,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_group_sizes": p2_group_sizes,
+    "p5_found": p5_found,
+    "p5_survivors": p5_survivors,
     "p6_found": p6_found,
     "p6_unmatched": p6_unmatched,
     "p7_ids": p7_ids,

@@ -11,10 +11,34 @@ WITH RECURSIVE l AS (
 g AS (SELECT x AS node_id, least(x, min(y)) AS group_id FROM r GROUP BY x)
 """
 
+_STANDS = "('n/a', 'na', '-', '--', 'tbd', 'todo', 'none', 'null', 'see title', 'unknown', 'description pending.', 'no description provided.', 'no description available.', 'to be added.')"
+
+_P5 = rf"""
+WITH m AS (
+  SELECT DISTINCT cluster_id, lower(trim(node_id, ' ' || chr(9))) AS node_id FROM merge_log
+  WHERE upper(trim(decision, ' ' || chr(9))) = 'MERGE' AND cluster_id IS NOT NULL AND trim(node_id, ' ' || chr(9)) <> ''
+), many AS (SELECT cluster_id FROM m GROUP BY 1 HAVING count(*) >= 2),
+n AS (SELECT * EXCLUDE (node_id), lower(trim(node_id, ' ' || chr(9))) AS node_id, row_number() OVER (PARTITION BY lower(trim(node_id, ' ' || chr(9))) ORDER BY ingested_at DESC) AS rn FROM nodes),
+r AS (SELECT m.cluster_id, n.* FROM m JOIN many USING (cluster_id) JOIN n ON m.node_id = n.node_id AND n.rn = 1),
+p AS (SELECT *, trim(regexp_replace(regexp_replace(coalesce(description, ''), '<[^>]*>|&nbsp;', ' ', 'g'), '\s+', ' ', 'g')) AS plain,
+  trim(regexp_replace(lower(coalesce(title, '')), '[^\pL\pN]+', ' ', 'g')) AS name FROM r),
+s AS (SELECT *, list_distinct(list_filter(list_transform(string_split(regexp_replace(plain, '([.!?]["”)]?) ([\p{{Lu}}\pN“"(¿¡])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: lower(trim(x))),
+  lambda x: regexp_matches(x, '[^.!?][.!?]["”)]?$') AND x NOT IN {_STANDS} AND NOT starts_with(x, 'description will be completed by the reviewing agent') AND NOT starts_with(x, 'this text was left blank by the extraction run')
+    AND NOT starts_with(x, 'please consult the evidence quote or the original document') AND trim(regexp_replace(x, '[^\pL\pN]+', ' ', 'g')) <> name)) AS sentences,
+  list_distinct(list_filter(list_transform(coalesce(sources, []), lambda x: trim(x.source_id, ' ' || chr(9))), lambda x: x <> '')) AS ids FROM p),
+l AS (
+  SELECT cluster_id, node_id, 'description' AS field_name, len(sentences)::DOUBLE AS merit FROM s WHERE len(sentences) > 0
+  UNION ALL SELECT cluster_id, node_id, 'granularity', coalesce(epoch_us(coalesce(last_validated, created_at))::DOUBLE, -1e300) FROM s WHERE upper(trim(granularity, ' ' || chr(9))) IN ('L0', 'L1', 'L2', 'L3')
+  UNION ALL SELECT cluster_id, node_id, 'confidence', confidence FROM s WHERE confidence >= 0 AND confidence <= 1
+  UNION ALL SELECT cluster_id, node_id, 'sources', len(ids)::DOUBLE FROM s WHERE len(ids) > 0
+)
+"""
+
 SQL: dict[str, str] = {
     "p2_found": _P2 + "SELECT node_id, group_id FROM g",
     "p2_group_sizes": _P2 + """
 , t AS (SELECT DISTINCT lower(trim(node_id, ' ' || chr(9))) AS node_id, nullif(lower(trim(title, ' ' || chr(9))), '') AS title_key FROM nodes)
 SELECT g.group_id, count(DISTINCT g.node_id) AS n_members, count(DISTINCT t.title_key) AS n_titles, count(t.title_key) AS n_with_title
 FROM g LEFT JOIN t ON g.node_id = t.node_id GROUP BY g.group_id""",
+    "p5_found": _P5 + "SELECT cluster_id, field_name, node_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, field_name ORDER BY merit DESC, node_id) AS k FROM l) WHERE k = 1",
 }
