@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fulcrum.durable import Workspace
-from fulcrum.llm import bpe, canonical, encodings, groups, mixing, neighbors, survivors
+from fulcrum.llm import bpe, canonical, encodings, groups, mixing, neighbors, survivors, truncation
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,6 +27,20 @@ def p2_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return groups.group_titles(p2_found(spark, d), _t(spark, d, "nodes"))
 
 
+def _cut(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    values = truncation.values_of(_t(spark, d, "nodes"), _t(spark, d, "papers"), _t(spark, d, "grants"))
+    values = Workspace(spark, "truncation").put(values, "values")
+    return values, truncation.cut_values(values)[0]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cut(spark, d)[1].select("node_id", "field_name", "pos")
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.report(*_cut(spark, d))
+
+
 def _merge_rows(spark: SparkSession, d: str) -> DataFrame:
     return survivors.long_rows(survivors.members(_t(spark, d, "merge_log"), _t(spark, d, "nodes")))
 
@@ -82,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_group_sizes": p2_group_sizes,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
     "p5_found": p5_found,
     "p5_survivors": p5_survivors,
     "p6_found": p6_found,
