@@ -39,10 +39,10 @@ class Params:
     max_cells: int = 4096
     margin: float = 0.05
     max_probes: int = 6
-    levels: int = 8
+    levels: int = 6
     codewords: int = 256
     beam: int = 4
-    rerank: int = 192
+    rerank: int = 128
     sample_max: int = 131_072
     seed: int = 7
 
@@ -108,7 +108,7 @@ def fit(x: np.ndarray, rows: int, p: Params) -> Codebooks:
     levels: list[np.ndarray] = []
     left = rest
     for _ in range(p.levels):
-        levels.append(kmeans(left, min(256, p.codewords), rng))
+        levels.append(kmeans(left, min(256, p.codewords), rng, rounds=5))
         left = beam_encode(rest, levels, p.beam)[1]
     share = count / len(x)
     return Codebooks(cells, means, levels, np.maximum(1, np.ceil(share * rows / p.block_rows)).astype(np.int64))
