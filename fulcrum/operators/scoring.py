@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,21 +125,21 @@ def bottleneck_centrality(g: PropertyGraph, edge_types: tuple[str, ...] = EDGE_T
     zero = g.nodes.select("node_id", F.lit(0.0).alias("bottleneck"))
     if n_edges == 0 or n <= 2:
         return zero
-    rows = typed.orderBy("ord").toPandas()
+    rows = typed.orderBy("ord").toArrow()
     adjacency: dict[str, list[tuple[str, float]]] = {}
-    for s, t, length in zip(rows["src"], rows["dst"], rows["length"], strict=True):
-        adjacency.setdefault(s, []).append((t, float(length)))
+    for s, t, length in zip(*(rows.column(c).to_pylist() for c in ("src", "dst", "length")), strict=True):
+        adjacency.setdefault(s, []).append((t, length))
     shared = spark.sparkContext.broadcast(adjacency)
     starts = g.nodes.select("node_id").join(typed.select(F.col("src").alias("node_id")).distinct(), "node_id", "left_semi")
     scale = 1.0
     if sources is not None:
         starts, scale = starts.orderBy(F.xxhash64("node_id")).limit(sources), n / sources
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = shared.value
         total: dict[str, float] = {}
         for b in batches:
-            for s in b["node_id"]:
+            for s in b.column("node_id").to_pylist():
                 order, before, paths = _shortest_path_counts(links, s)
                 share = dict.fromkeys(order, 0.0)
                 for w in reversed(order):
@@ -147,10 +147,10 @@ def bottleneck_centrality(g: PropertyGraph, edge_types: tuple[str, ...] = EDGE_T
                         share[v] += paths[v] / paths[w] * (1 + share[w])
                     if w != s:
                         total[w] = total.get(w, 0.0) + share[w]
-        yield pd.DataFrame({"node_id": list(total), "part": list(total.values())})
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["node_id", "part"])
 
     tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
-    parts = starts.repartition(tasks, "node_id").mapInPandas(run, "node_id string, part double")
+    parts = starts.repartition(tasks, "node_id").mapInArrow(run, "node_id string, part double")
     sums = parts.groupBy("node_id").agg((F.sum("part") * scale / ((n - 1) * (n - 2))).alias("b"))
     return g.nodes.select("node_id").join(sums, "node_id", "left").select("node_id", F.coalesce("b", F.lit(0.0)).alias("bottleneck"))
 
