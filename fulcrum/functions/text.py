@@ -81,6 +81,10 @@ def is_signal_title(c: Column | str) -> Column:
 
 def from_inverted_index(index: Column | str) -> Column:
     """Text of a word -> positions map: words by position, the later word wins a clash; null or empty gives ''."""
-    entries = F.flatten(F.transform(F.map_entries(col(index)), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    by_place = F.aggregate(F.array_sort(F.array_distinct(F.transform(entries, lambda x: x["p"]))), F.array().cast("array<string>"), lambda acc, p: F.array_append(acc, F.element_at(F.filter(entries, lambda x: x["p"] == p), -1)["w"]))
-    return F.coalesce(F.array_join(by_place, " "), F.lit(""))
+    entries = F.flatten(F.transform(F.map_entries(col(index)), lambda e, k: F.transform(F.coalesce(e["value"], F.array().cast("array<int>")), lambda p: F.struct(p.alias("p"), k.alias("k"), e["key"].alias("w")))))
+    ranked = F.array_sort(entries)
+    after = F.slice(F.concat(ranked, F.slice(ranked, -1, 1)), 2, F.greatest(F.size(ranked), F.lit(0)))
+    last = F.size(ranked) - 1
+    paired = F.zip_with(ranked, after, lambda a, b: F.struct(a["p"].alias("p"), a["w"].alias("w"), b["p"].alias("q")))
+    kept = F.filter(paired, lambda x, k: (x["p"] != x["q"]) | (k == last))
+    return F.coalesce(F.array_join(F.transform(kept, lambda x: x["w"]), " "), F.lit(""))
