@@ -125,7 +125,7 @@ def disambiguate(nodes: DataFrame, clusters: DataFrame, decide: Decision) -> Dat
     small = clusters.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n <= 1000").select("seed")
     rows = clusters.join(small, "seed", "left_semi").join(nodes.select(F.col("ord").alias("member"), "node_id", "title", "description"), "member").select("seed", "pos", "node_id", "title", "description")
 
-    def run(key: tuple, t) -> object:
+    def run(key, t):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
         members = t.sort_by("pos").to_pylist()

@@ -58,8 +58,8 @@ def decayed_confidence(nodes: DataFrame, as_of: str, rate: float = DECAY_PER_YEA
 
 def normalised_within(scores: DataFrame, by: str, value: str) -> DataFrame:
     """The value scaled to 0..1 within each group; group ends are aggregated and joined, no group is gathered."""
-    ends = scores.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    out = scores.join(ends, F.col(by).eqNullSafe(ends[by])).drop(ends[by])
+    ends = scores.groupBy(F.col(by).alias("_by")).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    out = scores.join(ends, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     return out.withColumn(value, min_max(F.col(value), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 

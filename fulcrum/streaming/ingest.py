@@ -14,8 +14,12 @@ LATE = "7 days"
 
 
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of parquet files as a stream, with the schema of what is there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A folder of parquet files, or one such file, as a stream with the schema of what is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
+        return reader.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
+    return reader.parquet(path)
 
 
 def new_edges(edges: DataFrame, late: str = LATE) -> DataFrame:
