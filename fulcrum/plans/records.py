@@ -32,10 +32,10 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def _strip_sql(c: str) -> str:
-    return f"regexp_replace(regexp_replace({c}, '^[\\s\\pZ]+', ''), '[\\s\\pZ]+$', '')"
+    return f"regexp_replace(regexp_replace({c}, '^[\\s\\pZ\\x0B\\x85]+', ''), '[\\s\\pZ\\x0B\\x85]+$', '')"
 
 
-_WORDS = "CASE WHEN trim(regexp_replace({0}, '[\\s\\pZ]+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace({0}, '[\\s\\pZ]+', ' ', 'g')), ' ')) END"
+_WORDS = "CASE WHEN trim(regexp_replace({0}, '[\\s\\pZ\\x0B\\x85]+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace({0}, '[\\s\\pZ\\x0B\\x85]+', ' ', 'g')), ' ')) END"
 
 
 # --- sources ---
@@ -106,7 +106,7 @@ def snk06_manifest(spark: SparkSession, d: str) -> DataFrame:
 # --- projections ---
 
 
-@query(r"SELECT id, trim(regexp_replace(coalesce(abstract, ''), '[\s\pZ]+', ' ', 'g')) AS abstract FROM (SELECT id, arg_max(abstract, ingested_at) AS abstract FROM papers GROUP BY id)")
+@query(r"SELECT id, trim(regexp_replace(coalesce(abstract, ''), '[\s\pZ\x0B\x85]+', ' ', 'g')) AS abstract FROM (SELECT id, arg_max(abstract, ingested_at) AS abstract FROM papers GROUP BY id)")
 def prj01_inverted_index(spark: SparkSession, d: str) -> DataFrame:
     """Abstracts turned into word -> positions and back."""
     p = table(spark, d, "papers").groupBy("id").agg(F.max_by("abstract", "ingested_at").alias("abstract"))
@@ -172,7 +172,7 @@ def prj21_edge_titles(spark: SparkSession, d: str) -> DataFrame:
 # --- filters ---
 
 
-@query("SELECT doc_id, title, n_letters FROM (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS title, length(trim(regexp_replace(substr(text, strpos(text, chr(10)) + 1), '[\\s\\pZ]+', ' ', 'g'))) AS n_letters FROM documents WHERE contains(text, chr(10))) WHERE length(title) <= 100 AND n_letters > 100 AND regexp_matches(lower(title), 'future work|open problem|limitation|challenge|conclusion|discussion|outlook|unsolved|direction')")
+@query("SELECT doc_id, title, n_letters FROM (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS title, length(trim(regexp_replace(substr(text, strpos(text, chr(10)) + 1), '[\\s\\pZ\\x0B\\x85]+', ' ', 'g'))) AS n_letters FROM documents WHERE contains(text, chr(10))) WHERE length(title) <= 100 AND n_letters > 100 AND regexp_matches(lower(title), 'future work|open problem|limitation|challenge|conclusion|discussion|outlook|unsolved|direction')")
 def flt05_signal_sections(spark: SparkSession, d: str) -> DataFrame:
     return sections.line_sections(table(spark, d, "documents"))
 
