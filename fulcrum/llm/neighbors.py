@@ -49,12 +49,13 @@ class Params:
 
 @dataclass
 class Codebooks:
-    """``cells``: unit centroids that route; ``means``: the first codewords; ``levels``: residual codebooks; ``blocks``: blocks of each cell."""
+    """``cells``: unit centroids that route; ``means``: the first codewords; ``levels``: residual codebooks; ``blocks`` and ``sizes``: blocks and expected rows of each cell."""
 
     cells: np.ndarray
     means: np.ndarray
     levels: list[np.ndarray] = field(default_factory=list)
     blocks: np.ndarray | None = None
+    sizes: np.ndarray | None = None
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, unit: bool = False, rounds: int = 10) -> np.ndarray:
@@ -111,7 +112,7 @@ def fit(x: np.ndarray, rows: int, p: Params) -> Codebooks:
         levels.append(kmeans(left, min(256, p.codewords), rng, rounds=5))
         left = beam_encode(rest, levels, p.beam)[1]
     share = count / len(x)
-    return Codebooks(cells, means, levels, np.maximum(1, np.ceil(share * rows / p.block_rows)).astype(np.int64))
+    return Codebooks(cells, means, levels, np.maximum(1, np.ceil(share * rows / p.block_rows)).astype(np.int64), share * rows)
 
 
 def _bytes_column(rows: np.ndarray) -> pa.Array:
@@ -266,10 +267,12 @@ def top_neighbors(vectors: DataFrame, id_col: str = "node_id", vector_col: str =
             codes, left = beam_encode(shape, c.levels, p.beam)
             norms = np.linalg.norm(x - left * gain[:, None], axis=1).astype(np.float32)
             block = _spread(ids, c.blocks[cell])
-            probes = min(p.max_probes, near.shape[1])
+            probes = min(2 * p.max_probes, near.shape[1])
             best = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
-            own = np.take_along_axis(near, cell[:, None], 1)
-            visit = np.take_along_axis(near, best, 1) >= own - p.margin
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, 1), axis=1, kind="stable"), 1)
+            close = np.take_along_axis(near, best, 1) >= near.max(1, keepdims=True) - p.margin
+            held = np.cumsum(c.sizes[best], axis=1) - c.sizes[best]  # rows of the cells visited before
+            visit = (close & (np.arange(probes) < p.max_probes)) | (held < 2 * p.rerank)
             q, at = np.nonzero(visit)
             target = best[q, at]
             times = c.blocks[target]
