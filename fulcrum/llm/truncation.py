@@ -151,11 +151,12 @@ def cut_values(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     titles = placed.filter("field_name = 'title' AND NOT terminated").select("node_id", "field_name", "pos", "at_spike", "marked", "tail", "words", F.lit(False).alias("sentence"))
     loose = work.put(judged.unionByName(titles), "loose")  # everything without terminal punctuation
     headed = loose.filter("NOT sentence")
-    stats = _endings(headed.select("words", (~F.col("marked") & ~F.col("at_spike")).alias("whole")))
+    # headline-like quotes are of much the same length by nature, so a spike says little about them
+    suspect = F.col("at_spike") & (F.col("field_name") == "title")
+    stats = _endings(headed.select("words", (~F.col("marked") & ~suspect).alias("whole")))
     verdict = work.put(_verdicts(headed, stats), "verdicts")
-    # headline-like quotes are of much the same length by nature, so a spike alone says little about them
     weighed = spread_join(headed.select("node_id", "field_name", "pos", "at_spike", "marked", "tail"), verdict.withColumnRenamed("at_spike", "spike_cut"), "tail", values.count())
-    cut_heads = weighed.filter(F.col("marked") | F.col("plain") | (F.col("at_spike") & F.col("spike_cut") & (F.col("field_name") == "title"))).select("node_id", "field_name", "pos", "at_spike")
+    cut_heads = weighed.filter(F.col("marked") | F.col("plain") | (suspect & F.col("spike_cut"))).select("node_id", "field_name", "pos", "at_spike")
     return cut_heads.unionByName(loose.filter("sentence").select("node_id", "field_name", "pos", "at_spike")), found
 
 
