@@ -165,13 +165,15 @@ def normalise(df: DataFrame, *columns: str) -> DataFrame:
 def leverage_index(g: PropertyGraph, weights: dict[str, float] | None = None, max_rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """``(node_id, ord, cascade, cross_field, bottleneck, leverage)``, components normalised."""
     w = weights or WEIGHTS
+    work = Workspace(g.nodes.sparkSession, "leverage")  # three metrics read the graph many times: build it once
+    g = PropertyGraph(work.put(g.nodes, "nodes"), work.put(g.edges, "edges"))
     parts = (
         g.nodes.select("node_id", "ord")
         .join(cascade_scores(g, max_rounds, tolerance=tolerance).select("node_id", "cascade"), "node_id")
         .join(cross_field_leverage(g).select("node_id", "cross_field"), "node_id")
         .join(bottleneck_centrality(g), "node_id")
     )
-    scaled = normalise(parts, *WEIGHTS)
+    scaled = normalise(work.put(parts, "parts"), *WEIGHTS)
     return scaled.withColumn("leverage", sum((w[c] * F.col(c) for c in WEIGHTS), F.lit(0.0)))
 
 
