@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fulcrum.durable import Workspace
+from fulcrum.operators.skew import numbered
 
 
 def star_clusters(links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -37,10 +38,7 @@ def star_clusters(links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     if seeds is None:
         return edges.select(F.col("a").alias("seed"), F.col("b").alias("member"), F.lit(0).cast("long").alias("pos"))
     stars = edges.join(seeds, edges.a == seeds.seed).select("seed", F.col("b").alias("member")).union(seeds.select("seed", F.col("seed").alias("member")))
-    before = F.when(F.col("member") == F.col("seed"), F.lit(-1)).otherwise(F.col("member"))
-    from pyspark.sql import Window
-
-    return stars.withColumn("pos", (F.row_number().over(Window.partitionBy("seed").orderBy(before)) - 1).cast("long"))
+    return numbered(stars, "seed", [F.when(F.col("member") == F.col("seed"), F.lit(-1)).otherwise(F.col("member"))])
 
 
 def _union_sources(clusters: DataFrame, base: DataFrame, listed: DataFrame) -> DataFrame:

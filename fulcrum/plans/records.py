@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fulcrum.durable import Workspace
 from fulcrum.functions import text as tx
 from fulcrum.operators import basics, extract, sections
+from fulcrum.operators.skew import numbered, spread_join
 from fulcrum.plans.tables import table
 from fulcrum.schemas import EDGE, NODE, edge_is_valid, node_is_valid, split_valid
 from fulcrum.sources import readers, sinks
@@ -159,8 +160,6 @@ def prj19_clamped_titles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH t AS (SELECT node_id, arg_max(title, ord) AS title FROM nodes WHERE node_id IS NOT NULL GROUP BY 1) SELECT e.ord, coalesce(a.title, e.source_node_id) AS source, coalesce(b.title, e.target_node_id) AS target FROM edges e LEFT JOIN t a ON a.node_id = e.source_node_id LEFT JOIN t b ON b.node_id = e.target_node_id")
 def prj21_edge_titles(spark: SparkSession, d: str) -> DataFrame:
-    from fulcrum.operators.skew import spread_join
-
     e = table(spark, d, "edges").select("ord", "source_node_id", "target_node_id")
     t = table(spark, d, "nodes").filter("node_id IS NOT NULL").groupBy("node_id").agg(F.max_by("title", "ord").alias("t"))
     rows = e.count()
@@ -230,7 +229,7 @@ def agg18_papers_per_field(spark: SparkSession, d: str) -> DataFrame:
 def agg20_papers_by_field(spark: SparkSession, d: str) -> DataFrame:
     """Papers listed per field in ingest order, one row each."""
     rows = table(spark, d, "papers").select(F.explode("fields").alias("field"), "id", "ingested_at")
-    return rows.select("field", F.row_number().over(Window.partitionBy("field").orderBy("ingested_at", "id")).cast("long").alias("pos"), "id")
+    return numbered(rows, "field", [F.col("ingested_at"), F.col("id")]).select("field", (F.col("pos") + 1).alias("pos"), "id")
 
 
 @query(f"SELECT key AS title_key, id FROM (SELECT substr({_strip_sql('lower(title)')}, 1, 60) AS key, id, row_number() OVER (PARTITION BY substr({_strip_sql('lower(title)')}, 1, 60) ORDER BY ingested_at, id) AS k FROM papers) WHERE k = 1")

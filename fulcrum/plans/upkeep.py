@@ -31,7 +31,9 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gr01_jn04_similar_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.similar_pairs(table(spark, d, "embeddings"), LINK, "vec_id").select("i", "j", F.round("sim", 6).alias("sim"))
+    """Pairs between the representatives of equal vectors."""
+    different, _ = similarity.exact_copies(table(spark, d, "embeddings"), "vec_id")
+    return similarity.similar_pairs(different, LINK, "vec_id").select("i", "j", F.round("sim", 6).alias("sim"))
 
 
 def gr02_star_clusters(spark: SparkSession, d: str) -> DataFrame:

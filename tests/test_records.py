@@ -131,6 +131,21 @@ def test_spread_join_cuts_hot_keys(spark):
     assert len(rows) == 502 and sum(r.w == "x" for r in rows) == 500 and [r.w for r in rows if r.k is None] == [None]
 
 
+def test_numbering_spreads_groups(spark):
+    rows = [("h", i * 7 % 500) for i in range(500)] + [("c", 3), ("c", 1), (None, 5), (None, 4)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(5)
+    got = skew.numbered(df, "k", [F.col("v")]).collect()
+    assert {(r.k, r.v, r.pos) for r in got} == {("h", i, i) for i in range(500)} | {("c", 1, 0), ("c", 3, 1), (None, 4, 0), (None, 5, 1)}
+    assert skew.numbered(df.limit(0), "k", [F.col("v")]).count() == 0
+
+
+def test_exact_copies(spark):
+    df = spark.createDataFrame([(3, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [2.0, 1.0]), (4, None)], "id long, embedding array<double>")
+    reps, members = similarity.exact_copies(df, "id")
+    assert {r.id for r in reps.filter("embedding IS NOT NULL").collect()} == {1, 2}
+    assert {(r.id, r.representative, r.n_copies) for r in members.collect()} == {(1, 1, 2), (3, 1, 2), (2, 2, 1)}
+
+
 def test_basics(spark):
     docs = spark.createDataFrame([("A b", 1, "x"), (" a B ", 2, "x"), (None, 3, None), ("", 4, "y")], "title string, ord int, lang string")
     assert sorted(r.ord for r in basics.first_per_title(docs, ["ord"]).collect()) == [1, 3]
