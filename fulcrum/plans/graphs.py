@@ -150,6 +150,14 @@ def _between_sql() -> str:
 , bc AS (SELECT n.node_id, coalesce(c.c, 0) / (24.0 * 23.0) AS bottleneck FROM tn n LEFT JOIN bc0 c ON c.v = n.ord)"""
 
 
+def _reach_sql(levels: int) -> str:
+    typed = "(SELECT src, dst FROM ge WHERE type IN ('ENABLES', 'PRODUCES_FOR'))"
+    out = f", h0 AS MATERIALIZED (SELECT src AS node_id, 0 AS depth FROM {typed} GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 1), k0 AS (SELECT * FROM h0)"
+    for k in range(1, levels + 1):
+        out += f", h{k} AS MATERIALIZED (SELECT DISTINCT e.dst AS node_id, {k} AS depth FROM h{k - 1} f JOIN {typed} e ON e.src = f.node_id WHERE e.dst NOT IN (SELECT node_id FROM k{k - 1})), k{k} AS MATERIALIZED (SELECT * FROM k{k - 1} UNION ALL SELECT * FROM h{k})"
+    return out + f" SELECT node_id, depth FROM k{levels}"
+
+
 _T, _G = "WITH RECURSIVE" + TRADE_SQL, "WITH RECURSIVE" + PROBLEM_SQL
 _CROSS = "SELECT e.* FROM ge e JOIN gd a ON a.node_id = e.src JOIN gd b ON b.node_id = e.dst WHERE len(a.d) > 0 AND len(b.d) > 0 AND NOT list_has_any(a.d, b.d)"
 _ORPHAN = "SELECT node_id, ord FROM gn WHERE node_id NOT IN (SELECT src FROM ge UNION SELECT dst FROM ge)"
@@ -187,6 +195,7 @@ FROM lev ORDER BY 1 LIMIT 15""",
     "agg04_edge_types": _G + " SELECT type, count(*) AS n, min(ord) AS first_ord FROM ge GROUP BY 1",
     "agg05_cross_field_edges": _G + f", x AS ({_CROSS}) SELECT src, dst, type FROM x",
     "q02_roots_of_field": _T + ", r AS (SELECT node_id, 0 AS depth FROM tn WHERE dom = 'ASIA' UNION SELECT e.src, r.depth + 1 FROM r JOIN te e ON e.dst = r.node_id) SELECT node_id, min(depth) AS depth FROM r GROUP BY 1",
+    "q03_unlocked_by": _G + _reach_sql(24),
     "q04_blocks": _T + " SELECT src AS node_id, type, round(w, 6) AS weight FROM te WHERE dst = 'n20'",
     "q05_common_ancestors": _T + f", {_UP.format('x', 'n12')}, {_UP.format('y', 'n17')} SELECT node_id, min(x.depth) AS depth_x, min(y.depth) AS depth_y FROM x JOIN y USING (node_id) WHERE x.depth > 0 AND y.depth > 0 GROUP BY 1",
     "dg01_blocker_degree": "SELECT source_node_id AS src, count(DISTINCT target_node_id) AS n FROM edges WHERE type = 'ENABLES' AND source_node_id IS NOT NULL AND target_node_id IS NOT NULL GROUP BY 1",
