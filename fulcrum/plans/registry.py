@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fulcrum.plans import graphs, integrity, records, upkeep
+from fulcrum.plans import graphs, integrity, payloads, records, upkeep
 
-_MODULES = (graphs, integrity, records, upkeep)
+_MODULES = (graphs, integrity, records, payloads, upkeep)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.SQL.items()}
