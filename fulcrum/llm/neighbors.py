@@ -236,7 +236,7 @@ def top_neighbors(vectors: DataFrame, id_col: str = "node_id", vector_col: str =
         return empty.select("id", "neighbor", (F.col("cosine") / 1e9).alias("cosine"))
 
     hot, firsts = _hot_copies(spark, source, rows, p)
-    wanted = min(p.sample_max, max(20_000, 40 * min(p.max_cells, rows // p.cell_rows)))
+    wanted = min(p.sample_max, max(20_000, 100 * min(p.max_cells, rows // p.cell_rows)))
     part = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(min(1.0, wanted / rows) * 1_000_000) + 1
 
     def vectors_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.neighbor_pairs(neighbors.top_neighbors(_t(spark, d, "node_vectors")))
 
 
+def p1_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector's five nearest with their cosine."""
+    return neighbors.top_neighbors(_t(spark, d, "node_vectors")).select("id", "neighbor", F.round("cosine", 6).alias("cosine"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.components(groups.linking_pairs(_t(spark, d, "match_pairs")))
 
@@ -94,6 +99,7 @@ def p9_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_neighbors": p1_neighbors,
     "p2_found": p2_found,
     "p2_group_sizes": p2_group_sizes,
     "p3_found": p3_found,

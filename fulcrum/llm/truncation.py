@@ -47,10 +47,12 @@ def values_of(nodes: DataFrame, papers: DataFrame, grants: DataFrame) -> DataFra
     items = F.transform(F.coalesce("sources", F.array()), lambda s, k: F.struct(F.lit("evidence_quote").alias("field_name"), k.cast("int").alias("pos"), s["source_type"].alias("source_type"), s["source_id"].alias("source_id"), s["evidence_quote"].alias("text")))
     title = F.struct(F.lit("title").alias("field_name"), F.lit(-1).alias("pos"), first["s"]["source_type"].alias("source_type"), first["s"]["source_id"].alias("source_id"), F.col("title").alias("text"))
     rows = once.withColumn("_first", first).select("node_id", F.explode(F.concat(F.array(title), items)).alias("v")).select("node_id", "v.*").filter(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    key = F.concat_ws("\u0001", "source_type", "source_id")
+    rows = Workspace(nodes.sparkSession, "quotes").put(rows.withColumn("source_id", trim_blanks("source_id")).withColumn("key", key).drop("source_id"), "raw")
     feeds = papers.select(F.lit("paper").alias("source_type"), trim_blanks("id").alias("source_id"), "source").unionByName(grants.select(F.lit("grant").alias("source_type"), trim_blanks("id").alias("source_id"), "source"))
-    feeds = feeds.groupBy("source_type", "source_id").agg(F.min("source").alias("feed"))
-    rows = rows.withColumn("source_id", trim_blanks("source_id"))
-    return rows.join(feeds, ["source_type", "source_id"], "left").select("node_id", "field_name", "pos", F.coalesce("feed", "source_type", F.lit("(none)")).alias("feed"), "text")
+    feeds = feeds.filter("source_id IS NOT NULL").groupBy(key.alias("key")).agg(F.min("source").alias("feed"))
+    placed = spread_join(rows, feeds, "key", rows.count())  # one paper may be quoted by a large part of all nodes
+    return placed.select("node_id", "field_name", "pos", F.coalesce("feed", "source_type", F.lit("(none)")).alias("feed"), "text")
 
 
 def spikes(values: DataFrame) -> DataFrame:
