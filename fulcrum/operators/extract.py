@@ -3,6 +3,8 @@
 An extractor is a function from a text to node dicts (pass 1), or from a context
 and known titles to edge dicts (pass 2).  The built-in ones are rules, so that
 results are repeatable; remote models can be plugged in as the same functions.
+Extractors get whole texts; ``letters`` names the limit of one that has a limit, and
+it then gets consecutive windows that together cover the text.
 """
 
 from __future__ import annotations
@@ -18,13 +20,30 @@ from pyspark.sql import functions as F
 from fulcrum.functions.text import REVIEW_PHRASES, clamp_title, or_else, strip
 from fulcrum.schemas import EDGE_TYPES, GRANULARITIES, NODE_TYPES
 
-PASS1_LETTERS, PASS2_LETTERS, QUOTE_LETTERS = 6_000, 4_000, 500
+# The prompt limit of section texts, the quote limit.
+PASS1_LETTERS, QUOTE_LETTERS = 6_000, 500
+_BREAKS = (re.compile(r"(?<=[.!?])\s+"), re.compile(r"\s+"))
 NodeExtractor = Callable[[str], list[dict]]
 EdgeExtractor = Callable[[str, list[str]], list[dict]]
 _NODE_COLUMNS = "doc_id string, n int, type string, granularity string, title string, description string, confidence double, evidence_quote string, suggested_parent string"
 _EDGE_COLUMNS = "doc_id string, n int, source_title string, target_title string, type string, strength double, confidence double, mechanism string, evidence_quote string, source_is_new boolean, target_is_new boolean, sound boolean"
 
 
+def windows(text: str, letters: int | None) -> list[str]:
+    """Consecutive pieces of at most ``letters`` letters that together are the text; one piece without a limit.
+
+    A piece ends behind its last whole sentence, without one behind its last word,
+    without one at the limit.
+    """
+    out, at = [], 0
+    while letters and len(text) - at > letters:
+        ends = ([m.end() for m in b.finditer(text, at, at + letters)] for b in _BREAKS)
+        end = next((e[-1] for e in ends if e), at + letters)
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
 def rule_nodes(text: str) -> list[dict]:
     """A capability gap for each sentence with dependency language."""
     out = []
@@ -46,13 +65,14 @@ def section_prompt(title: F.Column, text: F.Column) -> F.Column:  # type: ignore
     return F.left(F.concat(F.lit("[Section: "), title, F.lit("]\n\n"), text), F.lit(PASS1_LETTERS))
 
 
-def pass_one(docs: DataFrame, extract: NodeExtractor = rule_nodes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Raw nodes of every text: blank texts are filtered and long ones cut before Python sees them.
+def pass_one(docs: DataFrame, extract: NodeExtractor = rule_nodes, id_col: str = "doc_id", text_col: str = "text", letters: int | None = None) -> DataFrame:
+    """Raw nodes of every whole text: blank texts are filtered before Python sees them.
 
-    ``n`` numbers a document's nodes; a missing confidence is 0.7, a null one makes
+    With ``letters`` the extractor gets windows of at most that many letters, blank
+    ones left out.  ``n`` numbers a document's nodes over all its windows; a missing confidence is 0.7, a null one makes
     the node invalid, quotes are cut at 500 letters.
     """
-    source = docs.filter(strip(F.coalesce(text_col, F.lit(""))) != "").select(F.col(id_col).cast("string"), F.left(text_col, F.lit(PASS1_LETTERS)))
+    source = docs.filter(strip(F.coalesce(text_col, F.lit(""))) != "").select(F.col(id_col).cast("string"), F.col(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int32(), *[pa.string()] * 4, pa.float64(), pa.string(), pa.string()]
@@ -60,7 +80,7 @@ def pass_one(docs: DataFrame, extract: NodeExtractor = rule_nodes, id_col: str =
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for n, g in enumerate(extract(text)):
+                for n, g in enumerate(g for w in windows(text, letters) if w.strip() for g in extract(w)):
                     rows.append((doc, n, g.get("type"), g.get("granularity"), g.get("title"), g.get("description"), g.get("confidence", 0.7), (g.get("evidence_quote") or "")[:QUOTE_LETTERS], g.get("suggested_parent")))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
@@ -72,33 +92,45 @@ def pass_one(docs: DataFrame, extract: NodeExtractor = rule_nodes, id_col: str =
 
 
 def contexts(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, context, titles)`` for pass 2: the text's beginning and a bullet list of its nodes, in order."""
-    listed = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "title", "type"))).alias("x"))  # a text's own nodes: bounded by its first 6,000 letters
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.left(F.coalesce(text_col, F.lit("")), F.lit(PASS2_LETTERS)).alias("head")).join(listed, "doc_id")
+    """``(doc_id, context, titles, n_letters)`` for pass 2: the whole text, ``n_letters`` long, and a bullet list of its nodes, in order."""
+    listed = nodes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "title", "type"))).alias("x"))  # a text's own nodes: bounded by its length
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(listed, "doc_id")
     bullets = F.array_join(F.transform("x", lambda e: F.concat(F.lit("- "), e["title"], F.lit(" ("), e["type"], F.lit(")"))), "\n")
-    return rows.select("doc_id", F.concat_ws("\n\n", "head", bullets).alias("context"), F.transform("x", lambda e: e["title"]).alias("titles"))
+    return rows.select("doc_id", F.concat_ws("\n\n", "text", bullets).alias("context"), F.transform("x", lambda e: e["title"]).alias("titles"), F.length("text").alias("n_letters"))
 
 
-def pass_two(context: DataFrame, extract: EdgeExtractor = rule_edges) -> DataFrame:
+def pass_two(context: DataFrame, extract: EdgeExtractor = rule_edges, letters: int | None = None) -> DataFrame:
     """Raw edges of every context, numbered.
 
-    A missing strength is 0.5, a missing confidence 0.7, a missing mechanism '';
-    explicit nulls of these make the edge unsound.
+    With ``letters`` the text comes in windows of at most that many letters, each
+    followed by all bullets; edges are numbered over all windows, and of edges with
+    the same titles and type found in several windows the first counts.  A missing
+    strength is 0.5, a missing confidence 0.7, a missing mechanism ''; explicit
+    nulls of these make the edge unsound.
     """
 
+    def found(text: str, titles: list[str], size: int) -> Iterator[dict]:
+        pieces = windows(text[:size], letters)
+        earlier: set = set()
+        for w in pieces:
+            fresh = [(g, (g.get("source_title"), g.get("target_title"), g.get("type"))) for g in extract(w + text[size:], titles)]
+            yield from (g for g, key in fresh if key not in earlier)
+            if len(pieces) > 1:
+                earlier.update(key for _, key in fresh)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int32(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_()]
         names = [c.split()[0] for c in _EDGE_COLUMNS.split(", ")]
         for b in batches:
             rows = []
-            for doc, text, titles in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                for n, g in enumerate(extract(text, titles)):
+            for doc, text, titles, size in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                for n, g in enumerate(found(text, titles, size)):
                     s, c, m = g.get("strength", 0.5), g.get("confidence", 0.7), g.get("mechanism", "")
                     sound = None not in (s, c, m) and g.get("type") in EDGE_TYPES
                     rows.append((doc, n, g.get("source_title"), g.get("target_title"), g.get("type"), s, c, m, (g.get("evidence_quote") or "")[:QUOTE_LETTERS], bool(g.get("source_is_new", False)), bool(g.get("target_is_new", False)), sound))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
-    return context.select("doc_id", "context", "titles").mapInArrow(run, _EDGE_COLUMNS)
+    return context.select("doc_id", "context", "titles", "n_letters").mapInArrow(run, _EDGE_COLUMNS)
 
 
 def resolve_titles(raw_edges: DataFrame, nodes: DataFrame, group: str = "doc_id") -> tuple[DataFrame, DataFrame]:

@@ -68,6 +68,25 @@ def test_pass_one_rules_and_defaults(spark):
     assert ctx.first().titles == ["Progress requires a shared platform for everyone"]
 
 
+def test_extractors_get_whole_texts(spark):
+    filler = "Nothing of note here. " * 400
+    text = f"Progress requires a shared platform one. {filler}Progress requires a shared platform two. {filler}Progress requires a shared platform three."
+    docs = spark.createDataFrame([("a", text)], "doc_id string, text string")
+    titles = [f"Progress requires a shared platform {k}" for k in ("one", "two", "three")]
+    nodes = extract.pass_one(docs)
+    assert [(r.n, r.title) for r in nodes.orderBy("n").collect()] == list(enumerate(titles))
+    ctx = extract.contexts(docs, nodes)
+    assert ctx.first().context.startswith(text) and ctx.first().titles == titles
+    assert [(r.n, r.source_title) for r in extract.pass_two(ctx).orderBy("n").collect()] == list(enumerate(titles[:2]))
+    windowed = extract.pass_one(docs, letters=6_000)
+    assert [(r.n, r.title) for r in windowed.orderBy("n").collect()] == list(enumerate(titles))
+    sizes = lambda c, t: [{"source_title": t[0], "target_title": c[:9] + str(len(c)), "type": "ENABLES"}, {"source_title": t[0], "target_title": t[1], "type": "ENABLES"}]
+    told = [(r.n, r.target_title) for r in extract.pass_two(ctx, sizes, 4_000).orderBy("n").collect()]
+    assert [n for n, _ in told] == list(range(len(told))) and sum(t == titles[1] for _, t in told) == 1
+    for t in (text, "x" * 25, "", "ab " * 9):
+        assert "".join(extract.windows(t, 10)) == t and max(map(len, extract.windows(t, 10))) <= 10
+
+
 def test_star_clusters_and_merge_golden(spark):
     links = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (5, 6)], "i long, j long")
     stars = {}
