@@ -120,6 +120,63 @@ def dg13_subgraph(spark: SparkSession, d: str) -> DataFrame:
     return graph.subgraph(problem_graph(spark, d), field="agronomy", node_type="data_gap").edges.select("src", "dst")
 
 
+# --- the scores over the tables nodes and edges; they follow paths of any length, so SQL has no twin ---
+
+
+def _typed_ends(g: graph.PropertyGraph, end: str, n: int) -> DataFrame:
+    """The ``n`` nodes most often at this end of an edge."""
+    return graph.of_types(g.edges).groupBy(F.col(end).alias("node_id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "node_id").limit(n).select("node_id")
+
+
+def gr10_cascade_whole_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Rounds until no score moves by the tolerance, at most 100; ``converged`` tells which."""
+    s = scoring.cascade_scores(problem_graph(spark, d))
+    return s.select("node_id", F.round("cascade", 6).alias("cascade"), "rounds", "converged")
+
+
+def gr11_cross_field_problems(spark: SparkSession, d: str) -> DataFrame:
+    s = scoring.cross_field_leverage(problem_graph(spark, d))
+    return s.select("node_id", F.round("cross_field", 6).alias("cross_field"), "n_domains")
+
+
+def gr12_bottleneck_problems(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.bottleneck_centrality(problem_graph(spark, d)).select("node_id", F.round("bottleneck", 9).alias("bottleneck"))
+
+
+def leverage_index_problems(spark: SparkSession, d: str) -> DataFrame:
+    """The top 15 of the problem graph with their components."""
+    g = problem_graph(spark, d)
+    top = scoring.leaderboard(scoring.leverage_index(g), g.nodes, 15)
+    return top.select("rank", "node_id", "title", "fields", *(F.round(c, 6).alias(c) for c in (*scoring.WEIGHTS, "leverage")))
+
+
+def dg02_reach_strength_problems(spark: SparkSession, d: str) -> DataFrame:
+    g = problem_graph(spark, d)
+    return graph.reach_strength(g.edges, g.nodes).select("node_id", F.round("strength", 6).alias("strength"))
+
+
+def q02_roots_of_field_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes from which a node of the domain agronomy can be reached, with their distance."""
+    g = problem_graph(spark, d)
+    inside = graph.subgraph(g, field="agronomy").nodes.select("node_id")
+    return graph.reachable(graph.of_types(g.edges), inside, reverse=True)
+
+
+def q04_blocks_problems(spark: SparkSession, d: str) -> DataFrame:
+    """What blocks the node with most predecessors."""
+    g = problem_graph(spark, d)
+    top = [r.node_id for r in _typed_ends(g, "dst", 1).collect()]
+    return graph.blocked_by(g.edges, top[0] if top else "").select("node_id", "type", F.round("weight", 6).alias("weight"))
+
+
+def q05_common_ancestors_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Common ancestors of the two nodes with most predecessors."""
+    g = problem_graph(spark, d)
+    one, two = ([r.node_id for r in _typed_ends(g, "dst", 2).collect()] + [None, None])[:2]
+    start = lambda i: spark.createDataFrame([(i,)], "node_id string")
+    return graph.common_ancestors(graph.of_types(g.edges), start(one), start(two))
+
+
 def _cascade_sql(nodes: str, edges: str, rounds: int, typed: str = "TRUE") -> str:
     out = f", s0 AS (SELECT node_id, 0.0::DOUBLE AS s FROM {nodes})"
     for k in range(1, rounds + 1):
@@ -168,7 +225,8 @@ QUERIES = {
     for f in (
         gr06_build_graph, gr06_problem_edges, gr07_graph_stats, gr08_typed_subgraph, gr09_normalised, gr10_cascade, gr10_cascade_problems, gr11_cross_field, gr12_bottleneck, leverage_index,
         agg01_node_types, agg02_field_distribution, agg03_orphans, agg04_edge_types, agg05_cross_field_edges, q02_roots_of_field, q03_unlocked_by, q04_blocks, q05_common_ancestors,
-        dg01_blocker_degree, dg02_reach_strength, dg13_subgraph,
+        dg01_blocker_degree, dg02_reach_strength, dg13_subgraph, gr10_cascade_whole_problems, gr11_cross_field_problems, gr12_bottleneck_problems, leverage_index_problems, dg02_reach_strength_problems,
+        q02_roots_of_field_problems, q04_blocks_problems, q05_common_ancestors_problems,
     )
 }
 

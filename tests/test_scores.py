@@ -5,6 +5,7 @@ import random
 import pytest
 
 from fulcrum.operators import graph, scoring
+from fulcrum.plans import registry
 
 FIELDS = {"A": ["materials_science.batteries"], "B": ["ai_ml.nlp", "ai_ml.optimization"], "C": ["drug_discovery.general"], "D": ["cross_domain"], "E": [], "F": ["ai_ml.general"]}
 EDGES = [("A", "B", "ENABLES", 0.8, 0.9), ("A", "C", "ENABLES", 0.2, 0.5), ("B", "C", "PRODUCES_FOR", 1.0, 0.9), ("C", "D", "ENABLES", 0.5, 0.8), ("A", "B", "PRODUCES_FOR", 0.6, 0.5), ("D", "A", "ENABLES", 0.5, 0.4), ("D", "D", "ENABLES", 1.0, 1.0), ("A", "Z", "ENABLES", 1.0, 1.0), ("B", "D", "ENABLES", 0.4, 0.5), ("D", "E", "ENABLES", 1.0, 1.0)]
@@ -110,3 +111,62 @@ def test_reach_with_cycle_and_ancestors(toy, spark):
     one = lambda x: spark.createDataFrame([(x,)], "node_id string")
     assert {r.node_id: r.depth for r in graph.reachable(toy.edges, one("A")).collect()} == {"A": 0, "B": 1, "C": 1, "D": 2, "E": 3}
     assert {r.node_id for r in graph.common_ancestors(toy.edges, one("C"), one("E")).collect()} == {"A", "B", "C", "D"} - {"C"} | {"D"}
+
+
+def betweenness(nodes, edges):
+    """Every simple path, one pair at a time; shortest ones share."""
+    adj = {}
+    for s, t, w in edges:
+        adj.setdefault(s, []).append((t, 1 / w))
+    out = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        paths, stack = {}, [((s,), 0.0)]
+        while stack:
+            p, far = stack.pop()
+            paths.setdefault(p[-1], []).append((far, p))
+            stack += [((*p, v), far + x) for v, x in adj.get(p[-1], []) if v not in p]
+        for t in set(paths) - {s}:
+            best = [p for far, p in paths[t] if far == min(paths[t])[0]]
+            for p in best:
+                for v in p[1:-1]:
+                    out[v] += 1 / len(best)
+    return {v: b / ((len(nodes) - 1) * (len(nodes) - 2)) for v, b in out.items()}
+
+
+def test_scores_of_the_problem_tables(spark, tmp_path):
+    """A cycle through all nodes, so no fixed number of rounds or levels ends the walks."""
+    rnd = random.Random(11)
+    n = 14
+    fields = {f"p{i}": rnd.sample(["a.x", "b", "c.y", "agronomy.z"], rnd.randint(0, 2)) for i in range(n)}
+    pairs = [(i, (i + 1) % n) for i in range(n)] + [(i, j) for i in range(n) for j in range(n) if (j - i) % n > 1 and rnd.random() < 0.06]
+    rnd.shuffle(pairs)
+    edges = [(f"p{i}", f"p{j}", rnd.choice([0.25, 0.5, 1.0]) * (0.5 if i % 2 else 1)) for i, j in pairs]
+    spark.createDataFrame([(k, i, "data_gap", k.upper(), f) for i, (k, f) in enumerate(fields.items())], "node_id string, ord long, type string, title string, fields array<string>").write.parquet(str(tmp_path / "nodes.parquet"))
+    spark.createDataFrame([(s, t, "ENABLES", w, 1.0, i) for i, (s, t, w) in enumerate(edges)], EDGE).write.parquet(str(tmp_path / "edges.parquet"))
+    run = lambda q: registry.QUERIES[q](spark, str(tmp_path))
+    score, rounds = dict.fromkeys(fields, 0.0), 0
+    while rounds < 100:
+        new = {k: sum(w * (1 + (0.85 if rounds else 0) * score[t]) for s, t, w in edges if s == k) for k in fields}
+        rounds, move, score = rounds + 1, max(abs(new[k] - score[k]) for k in fields), new
+        if move < 1e-7:
+            break
+    got = run("gr10_cascade_whole_problems")
+    assert rounds > 10 and {r.converged for r in got.collect()} == {True}
+    assert column(got, "cascade") == pytest.approx(score, abs=1e-4)
+    cross, middle = fifo(fields, edges), betweenness(fields, edges)
+    assert column(run("gr11_cross_field_problems"), "cross_field") == pytest.approx(cross, abs=1e-6)
+    assert column(run("gr12_bottleneck_problems"), "bottleneck") == pytest.approx(middle, abs=1e-8)
+    scale = lambda x: {k: (v - min(x.values())) / (max(x.values()) - min(x.values())) for k, v in x.items()}
+    a, b, c = scale(score), scale(cross), scale(middle)
+    assert column(run("leverage_index_problems"), "leverage") == pytest.approx({k: 0.45 * a[k] + 0.30 * b[k] + 0.25 * c[k] for k in fields}, abs=1e-4)
+    best = {(s, t): w for s, t, w in edges}
+    for m in fields:
+        for s in fields:
+            for t in fields:
+                if len({s, m, t}) == 3:
+                    best[s, t] = max(best.get((s, t), 0), best.get((s, m), 0) * best.get((m, t), 0))
+    assert column(run("dg02_reach_strength_problems"), "strength") == pytest.approx({k: sum(w for (s, _), w in best.items() if s == k) for k in fields}, abs=1e-5)
+    assert {r.node_id for r in run("q02_roots_of_field_problems").collect()} == set(fields)
+    most = sorted(fields, key=lambda k: (-sum(t == k for _, t, _ in edges), k))
+    assert column(run("q04_blocks_problems"), "weight") == {s: w for s, t, w in edges if t == most[0]}
+    assert {r.node_id for r in run("q05_common_ancestors_problems").collect()} == set(fields) - set(most[:2])
