@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+import tempfile
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby, islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fulcrum.durable import Workspace
-from fulcrum.operators.skew import numbered
+from fulcrum.operators.skew import numbered, spread_join
 
 
 def star_clusters(links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -108,32 +112,79 @@ def remap_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return out.select(*edges.columns)
 
 
-Decision = Callable[[list[dict]], dict]
+#: Members of a cluster that a task holds in memory; the others lie in a file.
+HELD = 1_000
 
 
-def disambiguate(nodes: DataFrame, clusters: DataFrame, decide: Decision) -> DataFrame:
-    """Decisions per cluster by a pluggable function: ``(seed, decision, title, description, parent, children)``.
+class Members(Sequence):
+    """All members of a large cluster in order, read from a stream; those after the first HELD come from a file each time."""
+
+    def __init__(self, rows: Iterator[dict]) -> None:
+        self._head = list(islice(rows, HELD))
+        self._rest, self._size = tempfile.TemporaryFile(), len(self._head)
+        for r in rows:
+            pickle.dump(r, self._rest)
+            self._size += 1
+
+    def __len__(self) -> int:
+        return self._size
+
+    def __iter__(self) -> Iterator[dict]:
+        yield from self._head
+        at = 0
+        for _ in range(self._size - len(self._head)):
+            self._rest.seek(at)
+            row = pickle.load(self._rest)  # noqa: S301
+            at = self._rest.tell()
+            yield row
+
+    def __getitem__(self, k):  # noqa: ANN001, ANN204
+        if isinstance(k, slice):
+            lo, hi, step = k.indices(self._size)
+            return list(islice(self, lo, hi, step)) if step > 0 else list(self)[k]
+        k = k + self._size if k < 0 else k
+        if not 0 <= k < self._size:
+            raise IndexError(k)
+        return self._head[k] if k < len(self._head) else next(islice(self, k, None))
+
+
+Decision = Callable[[Sequence[dict]], dict]
+
+
+def decisions(nodes: DataFrame, clusters: DataFrame, decide: Decision) -> tuple[DataFrame, DataFrame]:
+    """``(seed, decision, title, description, parent)`` of every cluster, and ``(seed, pos, child)`` of those under HIERARCHY.
 
     ``decide`` gets a cluster's members in order, as dicts, and returns
     ``decision`` (MERGE, HIERARCHY, DISTINCT) and, for MERGE, a canonical title and
-    description; the title is cut at 200 letters.  Under HIERARCHY all members but
-    the first become its children.  Only clusters of at most 1,000 members are
-    asked about; larger ones are MERGE.
+    description; the title is cut at 200 letters.  Clusters of more than HELD
+    members come as Members, a sequence of all of them that is streamed from the
+    sorted partition to a file.  Under HIERARCHY all members but the first become
+    its children, by a join.
     """
-    small = clusters.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n <= 1000").select("seed")
-    rows = clusters.join(small, "seed", "left_semi").join(nodes.select(F.col("ord").alias("member"), "node_id", "title", "description"), "member").select("seed", "pos", "node_id", "title", "description")
-
-    def run(key, t):  # noqa: ANN001, ANN202
-        import pyarrow as pa
-
-        members = t.sort_by("pos").to_pylist()
-        got = decide(members)
-        kind = got.get("decision", "MERGE")
-        children = [m["node_id"] for m in members[1:]] if kind == "HIERARCHY" else []
-        row = {"seed": key[0].as_py(), "decision": kind, "title": (got.get("canonical_title") or members[0]["title"] or "")[:200], "description": got.get("canonical_description") or members[0]["description"], "parent": members[0]["node_id"] if children else None, "children": children}
-        schema = pa.schema([("seed", pa.int64()), *((c, pa.string()) for c in ("decision", "title", "description", "parent")), ("children", pa.list_(pa.string()))])
-        return pa.Table.from_pylist([row], schema=schema)
-
-    asked = rows.groupBy("seed").applyInArrow(run, "seed long, decision string, title string, description string, parent string, children array<string>")
-    large = clusters.select("seed").distinct().join(small, "seed", "left_anti").select("seed", F.lit("MERGE").alias("decision"), *(F.lit(None).cast("string").alias(c) for c in ("title", "description", "parent")), F.array().cast("array<string>").alias("children"))
-    return asked.unionByName(large)
+    work = Workspace(nodes.sparkSession, "decide")
+    named = nodes.select(F.col("ord").alias("member"), "node_id", "title", "description")
+    rows = work.put(clusters.join(named, "member").select("seed", "pos", "node_id", "title", "description"), "members")
+    schema = pa.schema([("seed", pa.int64()), *((c, pa.string()) for c in ("decision", "title", "description", "parent")), ("first", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (r for b in batches for k in range(0, b.num_rows, HELD) for r in b.slice(k, HELD).to_pylist())
+        for seed, own in groupby(stream, lambda r: r["seed"]):
+            few = list(islice(own, HELD + 1))
+            members = few if len(few) <= HELD else Members(r for part in (few, own) for r in part)
+            got = decide(members)
+            kind, first = got.get("decision", "MERGE"), members[0]
+            row = {"seed": seed, "decision": kind, "title": (got.get("canonical_title") or first["title"] or "")[:200], "description": got.get("canonical_description") or first["description"], "parent": first["node_id"] if kind == "HIERARCHY" and len(members) > 1 else None, "first": first["pos"]}
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    ordered = rows.repartition("seed").sortWithinPartitions("seed", "pos")
+    decided = work.put(ordered.mapInArrow(run, "seed long, decision string, title string, description string, parent string, first long"), "decided")
+    parents = decided.filter("decision = 'HIERARCHY'").select("seed", "first")
+    children = spread_join(rows.select("seed", "pos", "node_id"), parents, "seed", rows.count(), "inner").filter("pos > first")
+    return decided.drop("first"), children.select("seed", "pos", F.col("node_id").alias("child"))
+
+
+def disambiguate(nodes: DataFrame, clusters: DataFrame, decide: Decision) -> DataFrame:
+    """``decisions`` with each cluster's ``children`` as one array, in order; take the two tables where clusters are huge."""
+    decided, children = decisions(nodes, clusters, decide)
+    listed = children.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "child"))), lambda e: e["child"]).alias("children"))
+    return decided.join(listed, "seed", "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))

@@ -64,8 +64,9 @@ def gr04_hierarchy_decisions(spark: SparkSession, d: str) -> DataFrame:
     """UDF04: pairs become MERGE, larger clusters HIERARCHY, by a plugged-in rule."""
     nodes = _vector_nodes(spark, d).withColumns({"title": F.col("node_id"), "description": F.lit("")})
     rule = lambda members: {"decision": "MERGE" if len(members) == 2 else "HIERARCHY", "canonical_title": members[0]["title"]}
-    got = dedup.disambiguate(nodes, dedup.star_clusters(_links(spark, d).select("i", "j")), rule)
-    return got.select("seed", "decision", F.size("children").alias("n_children"))
+    decided, children = dedup.decisions(nodes, dedup.star_clusters(_links(spark, d).select("i", "j")), rule)
+    n = children.groupBy("seed").agg(F.count(F.lit(1)).cast("int").alias("n_children"))
+    return decided.join(n, "seed", "left").select("seed", "decision", F.coalesce("n_children", F.lit(0)).alias("n_children"))
 
 
 def jn11_dg03_stubs(spark: SparkSession, d: str) -> DataFrame:

@@ -107,6 +107,19 @@ def test_star_clusters_and_merge_golden(spark):
     assert tuple(dedup.remap_edges(edges, ids).first()) == ("n1", "n4")
 
 
+def test_large_clusters_are_decided(spark):
+    clusters = spark.createDataFrame([(0, m, m) for m in range(2_501)] + [(5_000, 5_000 + m, m) for m in range(2)] + [(6_000, 6_000 + m, m) for m in range(1_001)], "seed long, member long, pos long")
+    nodes = clusters.select(F.col("member").alias("ord"), F.concat(F.lit("v"), "member").alias("node_id"), F.concat(F.lit("t"), "member").alias("title"), F.lit("").alias("description"))
+
+    def rule(m):
+        assert [x["pos"] for x in m] == list(range(len(m))) == [x["pos"] for x in m] and m[len(m) - 1] == m[-1] == list(m)[-1] and m[1:3] == list(m)[1:3]
+        return {"decision": "MERGE" if len(m) == 2 else "HIERARCHY", "canonical_title": m[-1]["title"]}
+
+    got = {r.seed: r for r in dedup.disambiguate(nodes, clusters, rule).collect()}
+    assert {k: (r.decision, r.title, r.parent) for k, r in got.items()} == {0: ("HIERARCHY", "t2500", "v0"), 5_000: ("MERGE", "t5001", None), 6_000: ("HIERARCHY", "t7000", "v6000")}
+    assert {k: r.children for k, r in got.items()} == {0: [f"v{k}" for k in range(1, 2_501)], 5_000: [], 6_000: [f"v{k}" for k in range(6_001, 7_001)]}
+
+
 def test_similar_pairs_against_all_pairs(spark):
     import numpy as np
 
