@@ -31,11 +31,17 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gr01_jn04_similar_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs between the representatives of equal vectors."""
+    """Pairs between the representatives of equal vectors; gr01_copies says which vectors these stand for."""
     different, _ = similarity.exact_copies(table(spark, d, "embeddings"), "vec_id")
     return similarity.similar_pairs(different, LINK, "vec_id").select("i", "j", F.round("sim", 6).alias("sim"))
 
 
+def gr01_copies(spark: SparkSession, d: str) -> DataFrame:
+    """The class of each vector: its smallest id and its size."""
+    _, members = similarity.exact_copies(table(spark, d, "embeddings"), "vec_id")
+    return members.select(F.col("id").alias("vec_id"), "representative", "n_copies")
+
+
 def gr02_star_clusters(spark: SparkSession, d: str) -> DataFrame:
     return dedup.star_clusters(_links(spark, d).select("i", "j"))
 
@@ -169,7 +175,7 @@ _G = "WITH RECURSIVE" + PROBLEM_SQL
 QUERIES = {
     f.__name__: f
     for f in (
-        gr01_jn04_similar_pairs, gr02_star_clusters, gr03_gr05_merged, gr04_hierarchy_decisions, gr05_dedup, jn11_dg03_stubs, jn12_dg04_seeds, dg05_clean_edges, dg06_permanent_ids, dg07_jn14_hierarchy,
+        gr01_jn04_similar_pairs, gr01_copies, gr02_star_clusters, gr03_gr05_merged, gr04_hierarchy_decisions, gr05_dedup, jn11_dg03_stubs, jn12_dg04_seeds, dg05_clean_edges, dg06_permanent_ids, dg07_jn14_hierarchy,
         dg08_decay, dg09_level_scores, dg10_coverage, dg11_q6_decomposability, dg12_as_of_2024, dg14_search, q07_win09_emerging, agg21_gates, stream_windowed_degrees, stream_sessions,
     )
 }
@@ -177,6 +183,7 @@ QUERIES = {
 _KEY = "substr(regexp_replace(regexp_replace(lower(title), '^[\\s\\pZ]+', ''), '[\\s\\pZ]+$', ''), 1, 60)"
 SQL = {
     "gr01_jn04_similar_pairs": f"WITH {_LINKS} SELECT i, j, round(sim, 6) AS sim FROM links",
+    "gr01_copies": "SELECT vec_id, min(vec_id) OVER (PARTITION BY embedding) AS representative, count(*) OVER (PARTITION BY embedding) AS n_copies FROM embeddings",
     "gr02_star_clusters": _stars_sql() + " SELECT seed, member, pos FROM placed",
     "gr04_hierarchy_decisions": _stars_sql() + " SELECT seed, CASE WHEN count(*) = 2 THEN 'MERGE' ELSE 'HIERARCHY' END AS decision, (CASE WHEN count(*) = 2 THEN 0 ELSE count(*) - 1 END)::INT AS n_children FROM placed GROUP BY 1",
     "gr03_gr05_merged": _stars_sql()

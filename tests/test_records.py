@@ -3,11 +3,13 @@ import io
 import json
 import tarfile
 
+import duckdb
 from pyspark.sql import functions as F
 
 from fulcrum.functions import text as tx
 from fulcrum.functions.numbers import round_binary
 from fulcrum.operators import basics, dedup, extract, maintenance, orphans, sections, similarity, skew
+from fulcrum.plans import registry
 from fulcrum.sources import paged, readers, sinks
 from fulcrum.streaming import ingest
 
@@ -178,6 +180,24 @@ def test_exact_copies(spark):
     assert {(r.id, r.representative, r.n_copies) for r in members.collect()} == {(1, 1, 2), (3, 1, 2), (2, 2, 1)}
 
 
+def test_copies_keep_their_links(spark, data, tmp_path):
+    """Pairs of representatives and the membership make up the SQL's pairs, a third of the vectors being alike."""
+    e = spark.read.parquet(f"{data}/embeddings.parquet").filter("vec_id < 60")
+    one = e.filter("vec_id = 7").select(F.col("embedding").alias("same"))
+    copied = e.crossJoin(one).withColumn("embedding", F.when(F.col("vec_id") % 3 == 1, F.col("same")).when(F.col("vec_id") == 50, F.transform("same", lambda x: -x)).otherwise(F.col("embedding"))).drop("same")
+    copied = copied.unionByName(copied.filter("vec_id = 50").withColumn("vec_id", F.lit(60).cast(copied.schema["vec_id"].dataType)))
+    copied.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    run = lambda q: registry.QUERIES[q](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    members = run("gr01_copies")
+    assert {tuple(r) for r in members.collect()} == set(con.execute(registry.SQL["gr01_copies"]).fetchall())
+    assert {(r.representative, r.n_copies) for r in members.filter("n_copies > 1").collect()} == {(1, 20), (50, 2)}
+    got = similarity.with_copies(run("gr01_jn04_similar_pairs"), members.withColumnRenamed("vec_id", "id")).collect()
+    want = con.execute(registry.SQL["gr01_jn04_similar_pairs"]).fetchall()
+    assert sorted((r.i, r.j, round(r.sim, 6)) for r in got) == sorted((i, j, round(s, 6)) for i, j, s in want) and len(want) > 190
+
+
 def test_basics(spark):
     docs = spark.createDataFrame([("A b", 1, "x"), (" a B ", 2, "x"), (None, 3, None), ("", 4, "y")], "title string, ord int, lang string")
     assert sorted(r.ord for r in basics.first_per_title(docs, ["ord"]).collect()) == [1, 3]
