@@ -1,24 +1,29 @@
 """Most similar vectors of every vector: additive quantisation with exact reranking.
 
-A first codebook of unit centroids sends every vector to one cell (the vector's
-first code) and every query to the few cells whose centroids are about as close
-as its own.  Inside a cell, a vector is the cell's mean plus its gain times a sum of
-full-dimensional residual codewords found by beam search, so regions of any
+A tree of unit centroids, two levels deep, sends every vector to one cell (the
+vector's first code) and every query to the few cells whose centroids are about as
+close as its own.  Inside a cell, a vector is the cell's mean plus its gain times a
+sum of full-dimensional residual codewords found by beam search, so regions of any
 density are coded equally well.  Gains and reconstruction norms are stored; a
 query scores the codes through lookup tables and the best ones are reranked
 with the vectors themselves.
 
-Bounds, all parameters: codebooks are fitted on at most ``sample_max`` rows,
-every row is indexed.  Cells aim at ``cell_rows`` rows; one that holds more is
-cut into blocks of ``block_rows`` and its queries visit every block, so no task
-holds a whole dense region.  Vectors that occur more often than
-``max(64, N / 10000)`` times are answered from their group's smallest ids: at
-most 10,000 such groups can exist, which bounds what is broadcast.
+Bounds, all parameters.  There are as many cells as ``cell_rows`` rows a cell ask
+for, whatever the table's size.  The coarse centroids and the codebooks are fitted on
+at most ``sample_max`` rows on the driver; each coarse centroid's cells are fitted in a
+task of their own, on at most ``64 * max_fine`` rows; every row is indexed.  The table of
+cells that is broadcast holds at most about ``region_rows / cell_rows`` rows of 528 bytes (35 MB): a
+larger collection is first cut into regions, which are written, indexed and searched
+one after the other, and queries also visit the regions next to their own.  A cell that holds more
+than ``block_rows`` rows is cut into blocks, one with more than ``query_rows`` queries deals
+them to several tasks, so no task holds a whole dense region.  Vectors that
+occur more often than ``max(64, N / 10000)`` times are answered from their group's
+smallest ids: at most 10,000 such groups can exist, which bounds what is broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fulcrum.durable import Workspace
 from fulcrum.functions.keys import same_id
 
 
@@ -36,7 +42,13 @@ class Params:
     k: int = 5
     cell_rows: int = 4000
     block_rows: int = 8000
-    max_cells: int = 4096
+    query_rows: int = 32_000
+    fine: int = 256
+    max_fine: int = 1024
+    coarse_probes: int = 6
+    region_rows: int = 1 << 28
+    region_margin: float = 0.05
+    region_probes: int = 3
     margin: float = 0.05
     max_probes: int = 6
     levels: int = 6
@@ -48,14 +60,59 @@ class Params:
 
 
 @dataclass
-class Codebooks:
-    """``cells``: unit centroids that route; ``means``: the first codewords; ``levels``: residual codebooks; ``blocks`` and ``sizes``: blocks and expected rows of each cell."""
+class Router:
+    """Coarse centroids, and below each of them its cells: ``cells`` of coarse centroid c are rows ``first[c]`` to ``first[c + 1]``.
+
+    ``cells``: unit centroids that route; ``means``: the first codewords; ``sizes``: expected rows of each cell.
+    """
 
+    coarse: np.ndarray
+    first: np.ndarray
     cells: np.ndarray
     means: np.ndarray
+    sizes: np.ndarray
+
+    def probe(self, x: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+        """The ``2 * max_probes`` nearest cells of each vector below its nearest coarse centroids, nearest first, and their cosines."""
+        width = min(2 * p.max_probes, len(self.cells))
+        if len(self.coarse) == 1:
+            s = x @ self.cells.T
+            best = np.argpartition(-s, width - 1, axis=1)[:, :width]
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(s, best, 1), axis=1, kind="stable"), 1)
+            return best, np.take_along_axis(s, best, 1)
+        tries = min(p.coarse_probes, len(self.coarse))
+        towards = x @ self.coarse.T
+        top = np.argpartition(-towards, tries - 1, axis=1)[:, :tries]
+        score = np.full((len(x), tries * width), -2.0, np.float32)
+        cell = np.zeros((len(x), tries * width), np.int64)
+        for slot in range(tries):
+            order = np.argsort(top[:, slot], kind="stable")
+            for rows in np.split(order, np.nonzero(np.diff(top[order, slot]))[0] + 1):
+                c = top[rows[0], slot] if len(rows) else 0
+                lo, hi = self.first[c], self.first[c + 1]
+                s = x[rows] @ self.cells[lo:hi].T
+                w = min(width, s.shape[1])
+                best = np.argpartition(-s, w - 1, axis=1)[:, :w]
+                score[rows, slot * width : slot * width + w] = np.take_along_axis(s, best, 1)
+                cell[rows, slot * width : slot * width + w] = lo + best
+        pick = np.argsort(-score, axis=1, kind="stable")[:, :width]
+        return np.take_along_axis(cell, pick, 1), np.take_along_axis(score, pick, 1)
+
+    def visits(self, cell: np.ndarray, near: np.ndarray, p: Params) -> np.ndarray:
+        """Which of its probed cells a query visits: those about as near as its own, and further ones until enough rows are met."""
+        close = near >= near[:, :1] - p.margin
+        held = np.cumsum(self.sizes[cell], axis=1) - self.sizes[cell]  # rows of the cells visited before
+        return (near > -1.5) & ((close & (np.arange(near.shape[1]) < p.max_probes)) | (held < 2 * p.rerank))
+
+
+@dataclass
+class Codebooks:
+    """The router, the residual codebooks, and how many blocks and dealt query lots each cell has."""
+
+    router: Router
     levels: list[np.ndarray] = field(default_factory=list)
     blocks: np.ndarray | None = None
-    sizes: np.ndarray | None = None
+    lots: np.ndarray | None = None
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, unit: bool = False, rounds: int = 10) -> np.ndarray:
@@ -97,22 +154,30 @@ def unit_residuals(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rest / gain[:, None], gain
 
 
-def fit(x: np.ndarray, rows: int, p: Params) -> Codebooks:
-    """Codebooks from sampled unit vectors; cells are counted in the sample to size their blocks."""
+def fit_cells(x: np.ndarray, cells: int, weight: float, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit centroids, means and expected rows of the cells of sampled vectors that stand for ``weight`` rows each."""
+    cents = kmeans(x, cells, np.random.default_rng(p.seed), unit=True)
+    cell = (x @ cents.T).argmax(1)
+    count = np.bincount(cell, minlength=len(cents))
+    means = np.stack([np.bincount(cell, weights=x[:, j], minlength=len(cents)) for j in range(x.shape[1])], axis=1)
+    return cents, (means / np.maximum(count, 1)[:, None]).astype(np.float32), count * weight
+
+
+def fit(x: np.ndarray, router: Router, rows: float, asked: float, p: Params) -> Codebooks:
+    """Residual codebooks from sampled unit vectors; ``rows`` are indexed and ``asked`` ask, of which the sample tells how they spread."""
+    cell, near = router.probe(x, p)
+    rest = unit_residuals(x - router.means[cell[:, 0]])[0]
     rng = np.random.default_rng(p.seed)
-    cells = kmeans(x, max(1, min(p.max_cells, rows // p.cell_rows)), rng, unit=True)
-    cell = (x @ cells.T).argmax(1)
-    count = np.bincount(cell, minlength=len(cells))
-    means = np.stack([np.bincount(cell, weights=x[:, j], minlength=len(cells)) for j in range(x.shape[1])], axis=1)
-    means = (means / np.maximum(count, 1)[:, None]).astype(np.float32)
-    rest = unit_residuals(x - means[cell])[0]
     levels: list[np.ndarray] = []
     left = rest
     for _ in range(p.levels):
         levels.append(kmeans(left, min(256, p.codewords), rng, rounds=5))
         left = beam_encode(rest, levels, p.beam)[1]
-    share = count / len(x)
-    return Codebooks(cells, means, levels, np.maximum(1, np.ceil(share * rows / p.block_rows)).astype(np.int64), share * rows)
+    n = len(router.cells)
+    own = np.bincount(cell[:, 0], minlength=n) / len(x) * rows
+    blocks = np.maximum(1, np.ceil(np.maximum(own, router.sizes) / p.block_rows)).astype(np.int64)
+    visits = np.bincount(cell[router.visits(cell, near, p)], minlength=n) / len(x) * asked
+    return Codebooks(router, levels, blocks, np.maximum(1, np.ceil(visits / p.query_rows)).astype(np.int64))
 
 
 def _bytes_column(rows: np.ndarray) -> pa.Array:
@@ -161,12 +226,11 @@ def _digest(x: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _spread(ids: pa.Array, n: np.ndarray) -> np.ndarray:
-    """A block number below ``n`` for every id, the same on every run."""
+def _crc(ids: pa.Array) -> np.ndarray:
+    """32 bits of every id, the same on every run."""
     import zlib
 
-    crc = np.fromiter((zlib.crc32(s.encode()) for s in ids.to_pylist()), np.int64, len(ids))
-    return crc % n
+    return np.fromiter((zlib.crc32(s.encode()) for s in ids.to_pylist()), np.int64, len(ids))
 
 
 def _search_block(q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, gains: np.ndarray, norms: np.ndarray, base: np.ndarray, levels: list[np.ndarray], p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,6 +283,10 @@ def _search_block(q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, x: np.ndarr
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))  # type: ignore[return-value]
 
 
+PREPARED = "id string, x binary, own boolean"
+FOUND = "id string, neighbor string, cosine long"
+
+
 def top_neighbors(vectors: DataFrame, id_col: str = "node_id", vector_col: str = "embedding", params: Params | None = None) -> DataFrame:
     """``(id, neighbor, cosine)``: the k most similar vectors of every vector.
 
@@ -231,62 +299,149 @@ def top_neighbors(vectors: DataFrame, id_col: str = "node_id", vector_col: str =
     spark = vectors.sparkSession
     source = vectors.select(same_id(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
     rows = vectors.count()
-    empty = spark.createDataFrame([], "id string, neighbor string, cosine bigint")
     if rows == 0:
-        return empty.select("id", "neighbor", (F.col("cosine") / 1e9).alias("cosine"))
-
+        return spark.createDataFrame([], FOUND).select("id", "neighbor", (F.col("cosine") / 1e9).alias("cosine"))
     hot, firsts = _hot_copies(spark, source, rows, p)
-    wanted = min(p.sample_max, max(20_000, 100 * min(p.max_cells, rows // p.cell_rows)))
-    part = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(min(1.0, wanted / rows) * 1_000_000) + 1
 
-    def vectors_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, x = unit_vectors(b, p.dim)
-            yield pa.RecordBatch.from_arrays([ids, _bytes_column(x)], names=["id", "x"])
+            if hot:
+                group = [hot.get(tuple(d)) for d in _digest(x).tolist()]
+                keep = np.fromiter((g is None or i in firsts[g] for g, i in zip(group, ids.to_pylist(), strict=True)), bool, len(x))
+                ids, x = ids.filter(pa.array(keep)), x[keep]
+            yield pa.RecordBatch.from_arrays([ids, _bytes_column(x), pa.array(np.ones(len(x), bool))], names=["id", "x", "own"])
+
+    found = _search(source, rows, rows, prepare, p)
+    best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbor")
+    out = found.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= p.k).drop("rn")
+    if hot:
+        out = out.join(F.broadcast(spark.createDataFrame([(i,) for g in firsts for i in g], "id string")), "id", "left_anti").unionByName(_of_copies(source, hot, firsts, p))
+    return out.select("id", "neighbor", (F.col("cosine") / 1e9).alias("cosine"))
+
+
+Prepare = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _as_is(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from batches
+
 
-    sample = source.filter(part).mapInArrow(vectors_only, "id string, x binary").limit(2 * wanted).toArrow().sort_by("id")
-    x = _matrix(sample.column("x"), np.float32, p.dim)
+def _sampled(rows: DataFrame, n: int, wanted: int, prepare: Prepare, p: Params) -> np.ndarray:
+    """At most ``2 * wanted`` of the indexed vectors, chosen by the hash of their ids."""
+    part = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(min(1.0, wanted / n) * 1_000_000) + 1
+    sample = rows.filter(part).mapInArrow(prepare, PREPARED).filter("own").select("id", "x").limit(2 * wanted).toArrow().sort_by("id")
+    return _matrix(sample.column("x"), np.float32, p.dim)
+
+
+def _search(rows: DataFrame, n: int, asked: int, prepare: Prepare, p: Params) -> DataFrame:
+    """Nearest indexed vectors, unmerged, of every row; ``n`` rows are indexed (``own``), ``asked`` ask."""
+    if n <= p.region_rows:
+        return _search_region(rows, n, asked, prepare, p)
+    spark = rows.sparkSession
+    x = _sampled(rows, n, p.sample_max, prepare, p)
+    if len(x) == 0:
+        return spark.createDataFrame([], FOUND)
+    shared = spark.sparkContext.broadcast(kmeans(x, -(-2 * n // p.region_rows), np.random.default_rng(p.seed), unit=True))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in prepare(batches):
+            near = _matrix(b.column(1), np.float32, p.dim) @ shared.value.T
+            far = np.sort(near, axis=1)[:, -min(p.region_probes, near.shape[1])]
+            r, region = np.nonzero((near >= near.max(1, keepdims=True) - p.region_margin) & (near >= far[:, None]))
+            own = (near.argmax(1)[r] == region) & b.column(2).to_numpy(zero_copy_only=False)[r]
+            for lo in range(0, len(r), 20_000):
+                sel = pa.array(r[lo : lo + 20_000])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(sel), b.column(1).take(sel), pa.array(own[lo : lo + 20_000]), pa.array(region[lo : lo + 20_000].astype(np.int32))], names=["id", "x", "own", "region"])
+
+    dealt = Workspace(spark, "regions").put(rows.mapInArrow(deal, f"{PREPARED}, region int"), "dealt", by="region")
+    sizes = dealt.groupBy("region").agg(F.count_if("own").alias("n"), F.count(F.lit(1)).alias("asked")).orderBy("region").collect()  # a row a region
+    out = spark.createDataFrame([], FOUND)
+    for r in sizes:
+        mine = dealt.filter(F.col("region") == r.region).select("id", "x", "own")
+        if r.n < n:
+            out = out.unionByName(_search(mine, r.n, r.asked, _as_is, p))
+        else:  # a region that can't be cut any further
+            out = out.unionByName(_search_region(mine, r.n, r.asked, _as_is, p))
+    return out
+
+
+def _fine_cells(rows: DataFrame, x: np.ndarray, n: int, prepare: Prepare, p: Params) -> Router:
+    """The router: coarse centroids from the sample, each one's cells fitted by a task of its own where there are many."""
+    cells = max(1, n // p.cell_rows)
+    if cells <= p.fine:
+        cents, means, sizes = fit_cells(x, cells, n / len(x), p)
+        return Router(np.ones((1, x.shape[1]), np.float32), np.array([0, len(cents)]), cents, means, sizes)
+    spark = rows.sparkSession
+    coarse = kmeans(x, -(-cells // p.fine), np.random.default_rng(p.seed), unit=True)
+    held = np.bincount((x @ coarse.T).argmax(1), minlength=len(coarse)) / len(x) * n
+    below = np.clip(np.ceil(held / p.cell_rows), 1, p.max_fine).astype(np.int64)
+    rate = np.minimum(1.0, 64 * below / np.maximum(held, 1))
+    shared = spark.sparkContext.broadcast((coarse, below, rate))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, _, share = shared.value
+        for b in prepare(batches):
+            c = (_matrix(b.column(1), np.float32, p.dim) @ centres.T).argmax(1)
+            take = b.column(2).to_numpy(zero_copy_only=False) & (_crc(b.column(0)) % (1 << 20) < share[c] * (1 << 20))
+            yield pa.RecordBatch.from_arrays([pa.array(c[take].astype(np.int32)), b.column(0).filter(pa.array(take)), b.column(1).filter(pa.array(take))], names=["coarse", "id", "x"])
+
+    def cells_of(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks().sort_by("id")
+        c = t.column("coarse")[0].as_py()
+        _, many, share = shared.value
+        cents, means, sizes = fit_cells(_matrix(t.column("x"), np.float32, p.dim), int(many[c]), 1 / share[c], p)
+        return pa.table({"coarse": pa.array([c] * len(cents), pa.int32()), "cell": _bytes_column(cents), "mean": _bytes_column(means), "size": pa.array(sizes, pa.float64())})
+
+    made = rows.mapInArrow(choose, "coarse int, id string, x binary").groupBy("coarse").applyInArrow(cells_of, "coarse int, cell binary, mean binary, size double").toArrow().sort_by("coarse")
+    there, first = np.unique(made.column("coarse").to_numpy(), return_index=True)
+    table = lambda c: _matrix(made.column(c), np.float32, p.dim)
+    return Router(coarse[there], np.append(first, made.num_rows), table("cell"), table("mean"), made.column("size").to_numpy())
+
+
+def _search_region(rows: DataFrame, n: int, asked: int, prepare: Prepare, p: Params) -> DataFrame:
+    spark = rows.sparkSession
+    x = _sampled(rows, max(n, 1), min(p.sample_max, max(20_000, 100 * (n // p.cell_rows))), prepare, p)
     if len(x) == 0:
-        return empty.select("id", "neighbor", (F.col("cosine") / 1e9).alias("cosine"))
-    books = spark.sparkContext.broadcast(fit(x, rows, p))
+        return spark.createDataFrame([], FOUND)
+    books = spark.sparkContext.broadcast(fit(x, _fine_cells(rows, x, n, prepare, p), n, asked, p))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = books.value
-        width = int(c.blocks.max())
-        for b in batches:
-            ids, x = unit_vectors(b, p.dim)
-            if hot:
-                group = [hot.get(tuple(d)) for d in _digest(x).tolist()]
-                keep = np.fromiter((g is None or i in firsts[g] for g, i in zip(group, ids.to_pylist(), strict=True)), bool, len(x))
-                ids, x = ids.filter(pa.array(keep)), x[keep]
-            if len(x) == 0:
-                continue
-            near = x @ c.cells.T
-            cell = near.argmax(1)
-            shape, gain = unit_residuals(x - c.means[cell])
-            codes, left = beam_encode(shape, c.levels, p.beam)
-            norms = np.linalg.norm(x - left * gain[:, None], axis=1).astype(np.float32)
-            block = _spread(ids, c.blocks[cell])
-            probes = min(2 * p.max_probes, near.shape[1])
-            best = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
-            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, 1), axis=1, kind="stable"), 1)
-            close = np.take_along_axis(near, best, 1) >= near.max(1, keepdims=True) - p.margin
-            held = np.cumsum(c.sizes[best], axis=1) - c.sizes[best]  # rows of the cells visited before
-            visit = (close & (np.arange(probes) < p.max_probes)) | (held < 2 * p.rerank)
-            q, at = np.nonzero(visit)
-            target = best[q, at]
-            times = c.blocks[target]
-            q, target = np.repeat(q, times), np.repeat(target, times)
-            nth = np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)
-            owner = (target == cell[q]) & (nth == block[q])
-            code = pa.array([None] * len(q), pa.binary()) if not owner.any() else _bytes_column(codes).take(pa.array(np.where(owner, q, 0), mask=~owner))
-            for lo in range(0, len(q), 20_000):  # bounded batches, however often a query is sent
-                hi = min(lo + 20_000, len(q))
-                sel = q[lo:hi]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(target[lo:hi] * width + nth[lo:hi]), pa.array(cell[sel].astype(np.int32)), ids.take(pa.array(sel)), _bytes_column(x[sel]), code[lo:hi], pa.array(gain[sel]), pa.array(norms[sel])],
-                    names=["part", "cell", "id", "x", "code", "gain", "norm"],
-                )
+        r = c.router
+        width, lots = int(c.blocks.max()), int(c.lots.max())
+        for b in prepare(batches):
+            for lo in range(0, b.num_rows, 10_000):
+                ids, own = b.column(0).slice(lo, 10_000), b.column(2).slice(lo, 10_000).to_numpy(zero_copy_only=False)
+                x = _matrix(b.column(1).slice(lo, 10_000), np.float32, p.dim)
+                best, near = r.probe(x, p)
+                cell = best[:, 0]
+                shape, gain = unit_residuals(x - r.means[cell])
+                codes, left = beam_encode(shape, c.levels, p.beam)
+                norms = np.linalg.norm(x - left * gain[:, None], axis=1).astype(np.float32)
+                crc = _crc(ids)
+                block, lot = crc % c.blocks[cell], crc >> 12
+                q, at = np.nonzero(r.visits(best, near, p))
+                target = best[q, at]
+                q, target, nth = _repeated(q, target, c.blocks[target])
+                dealt = lot[q] % c.lots[target]
+                ask = np.ones(len(q), bool)
+                # an indexed vector lies with every lot of queries that its block is asked by
+                if lots > 1:
+                    k, home, turn = _repeated(np.nonzero(own)[0], cell[own], c.lots[cell[own]])
+                    spare = turn != lot[k] % c.lots[home]
+                    q, target, nth = np.append(q, k[spare]), np.append(target, home[spare]), np.append(nth, block[k[spare]])
+                    dealt, ask = np.append(dealt, turn[spare]), np.append(ask, np.zeros(int(spare.sum()), bool))
+                owner = own[q] & (target == cell[q]) & (nth == block[q])
+                code = pa.array([None] * len(q), pa.binary()) if not owner.any() else _bytes_column(codes).take(pa.array(np.where(owner, q, 0), mask=~owner))
+                part = (target * width + nth) * lots + dealt
+                for at in range(0, len(q), 20_000):  # bounded batches, however often a query is sent
+                    hi = min(at + 20_000, len(q))
+                    sel = q[at:hi]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(part[at:hi]), pa.array(cell[sel].astype(np.int32)), ids.take(pa.array(sel)), _bytes_column(x[sel]), code[at:hi], pa.array(gain[sel]), pa.array(norms[sel]), pa.array(ask[at:hi])],
+                        names=["part", "cell", "id", "x", "code", "gain", "norm", "ask"],
+                    )
 
     def search(table: pa.Table) -> pa.Table:
         c = books.value
@@ -294,25 +449,28 @@ def top_neighbors(vectors: DataFrame, id_col: str = "node_id", vector_col: str =
         q = _matrix(table.column("x"), np.float32, p.dim)
         q_ids = table.column("id").to_numpy(zero_copy_only=False)
         there = table.column("code").is_valid().to_numpy(zero_copy_only=False)
+        asks = np.nonzero(table.column("ask").to_numpy(zero_copy_only=False))[0]
         mine = np.nonzero(there)[0]
-        if len(mine):
+        if len(mine) and len(asks):
             _, once = np.unique(q_ids[mine], return_index=True)  # ascending ids, each once
             mine = mine[once]
             codes = _matrix(table.column("code").filter(pa.array(there)), np.uint8, len(c.levels))[once]
             gains, norms = (table.column(n).to_numpy(zero_copy_only=False)[mine] for n in ("gain", "norm"))
-            _, ask = np.unique(q_ids, return_index=True)
+            _, first = np.unique(q_ids[asks], return_index=True)
+            ask = asks[first]
             cell = table.column("cell").to_numpy(zero_copy_only=False)[mine[0]]
-            r, n, cos = _search_block(q[ask], q_ids[ask], q_ids[mine], q[mine], codes, gains, norms, c.means[cell], c.levels, p)
+            r, n, cos = _search_block(q[ask], q_ids[ask], q_ids[mine], q[mine], codes, gains, norms, c.router.means[cell], c.levels, p)
             return pa.table({"id": pa.array(q_ids[ask][r], pa.string()), "neighbor": pa.array(q_ids[mine][n], pa.string()), "cosine": pa.array(cos, pa.int64())})
         return pa.table({"id": pa.array([], pa.string()), "neighbor": pa.array([], pa.string()), "cosine": pa.array([], pa.int64())})
 
-    routed = source.mapInArrow(route, "part long, cell int, id string, x binary, code binary, gain float, norm float")
-    found = routed.groupBy("part").applyInArrow(search, "id string, neighbor string, cosine long")
-    best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbor")
-    out = found.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= p.k).drop("rn")
-    if hot:
-        out = out.join(F.broadcast(spark.createDataFrame([(i,) for g in firsts for i in g], "id string")), "id", "left_anti").unionByName(_of_copies(source, hot, firsts, p))
-    return out.select("id", "neighbor", (F.col("cosine") / 1e9).alias("cosine"))
+    routed = rows.mapInArrow(route, "part long, cell int, id string, x binary, code binary, gain float, norm float, ask boolean")
+    return routed.groupBy("part").applyInArrow(search, FOUND)
+
+
+def _repeated(q: np.ndarray, target: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every entry as often as ``times`` says, with its count from 0."""
+    many = np.repeat(np.cumsum(times) - times, times)
+    return np.repeat(q, times), np.repeat(target, times), np.arange(len(many)) - many
 
 
 def _hot_copies(spark: SparkSession, source: DataFrame, rows: int, p: Params) -> tuple[dict[tuple[int, int], int], list[list[str]]]:

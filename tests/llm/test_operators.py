@@ -46,6 +46,28 @@ def test_neighbors_recall_with_many_cells(spark):
     assert all(len(v) == 5 for v in got.values())
 
 
+def found(df, **params):
+    got = {}
+    for r in neighbors.top_neighbors(df, params=neighbors.Params(**params)).collect():
+        got.setdefault(r.id, set()).add(r.neighbor)
+    return got
+
+
+def test_neighbors_by_tree_lots_and_regions(spark):
+    """Many coarse centroids, dealt queries and regions keep the answers, and every vector gets its five."""
+    x = vectors(900, 5)
+    ids = [f"n{i:04d}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in zip(ids, x, strict=True)], VECTOR)
+    want = brute(ids, x)
+    small = {"cell_rows": 40, "block_rows": 50, "rerank": 40, "margin": 0.2}
+    whole = found(df, **small)
+    assert found(df, **small, query_rows=30) == whole  # dealing the queries of a cell changes nothing
+    for more in ({}, {"fine": 4, "coarse_probes": 4}, {"region_rows": 300, "region_margin": 0.3}, {"fine": 4, "coarse_probes": 4, "region_rows": 300, "region_margin": 0.3, "query_rows": 30}):
+        got = found(df, **small, **more)
+        assert np.mean([len(got[i] & set(w)) / 5 for i, w in want.items()]) >= 0.9
+        assert all(len(v) == 5 for v in got.values()) and len(got) == 900
+
+
 def test_neighbors_ties_copies_and_unusable_rows(spark):
     x = vectors(40)
     rows = [(f"n{i:03d}", v.tolist(), 1) for i, v in enumerate(x)]
