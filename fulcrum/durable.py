@@ -2,7 +2,8 @@
 
 Loops and multi-pass operators write their intermediate state as parquet under
 the folder every executor shares (``spark.checkpoint.dir``).  A machine-local
-folder is only ever used when that setting is missing, as in tests.
+folder is only ever used by a local master without that setting, as in tests; a
+cluster without one raises.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only where none is named."""
+    """The cluster's shared checkpoint folder; a fresh local one only for a local master that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="fulcrum-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -40,10 +43,11 @@ class Workspace:
         self._fs.deleteOnExit(self._path(self.root))
         self._made = 0
 
-    def put(self, df: DataFrame, label: str) -> DataFrame:
+    def put(self, df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+        """The written table; with ``by`` in one folder for each value of that column, which a filter on it prunes."""
         self._made += 1
         path = f"{self.root}/{self._made:04d}-{label}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._fulcrum_path = path  # type: ignore[attr-defined]
         return back
