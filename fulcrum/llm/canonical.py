@@ -8,9 +8,12 @@ every form within the threshold is found.  The tree is walked once for a whole
 batch of values; at each node the distances to all values still in play are
 computed together, bit-parallel.
 
-Trees hold at most ``SHARD_FORMS`` forms and are broadcast one by one; a larger
-reference list makes several shards, whose winners are merged by a grouped
-minimum.
+A list of at most ``SHARD_FORMS`` forms (its forms are counted first) makes one tree,
+which is broadcast.  A longer one is dealt into shards of about that many forms by the
+hash of their entries, and never gathered anywhere: each shard meets the different
+values in lots of ``LOT_VALUES``, and of the shards' nearest entries the nearest count.
+Each shard gives its first and last tag at its smallest distance, so that a tie between
+entries is seen wherever they lie.
 """
 
 from __future__ import annotations
@@ -25,7 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fulcrum.durable import Workspace
+from fulcrum.functions.keys import same_id, trim_blanks
+from fulcrum.operators.skew import spread_join
+
 SHARD_FORMS = 50_000
+LOT_VALUES = 50_000
 CACHE_VALUES = 200_000
 
 
@@ -40,6 +48,15 @@ class Match(NamedTuple):
     tag: str
 
 
+class Nearest(NamedTuple):
+    """The best of a shard for a value: abbreviations spelled out come first (turn 0), then the distance; the tags there."""
+
+    turn: int
+    distance: int
+    first: str
+    last: str
+
+
 def words(value: str) -> list[str]:
     """Lower-case words; an abbreviating full stop stays on its word; camel case is split."""
     v = unicodedata.normalize("NFKC", value)
@@ -72,7 +89,7 @@ class Texts:
 
     def __init__(self, strings: list[str], alphabet: dict[str, int]) -> None:
         self.length = np.array([len(s) for s in strings], np.int64)
-        self.codes = np.zeros((len(strings), int(self.length.max(initial=0))), np.uint8)
+        self.codes = np.zeros((len(strings), int(self.length.max(initial=0))), np.uint8 if len(alphabet) < 256 else np.uint32)
         for n, s in enumerate(strings):
             self.codes[n, : len(s)] = [alphabet.get(ch, 0) for ch in s]
 
@@ -90,7 +107,7 @@ def distances(pattern: str, texts: Texts, rows: np.ndarray, alphabet: dict[str,
         back = {v: k for k, v in alphabet.items()}
         return np.array([levenshtein(pattern, "".join(back.get(c, "\0") for c in texts.codes[r, :n])) for r, n in zip(rows.tolist(), length.tolist(), strict=True)], np.int64)
     one = np.uint64(1)
-    at = np.zeros(256, np.uint64)
+    at = np.zeros(len(alphabet) + 1, np.uint64)
     for j, ch in enumerate(pattern):
         at[alphabet[ch]] |= one << np.uint64(j)
     at[0] = 0
@@ -124,9 +141,7 @@ class BKTree:
         self.keys = sorted(by_key)
         self.tags = [sorted(by_key[k]) for k in self.keys]
         letters = sorted({ch for k in self.keys for ch in k})
-        self.alphabet = {ch: n + 1 for n, ch in enumerate(letters[:255])}
-        for ch in letters[255:]:  # alphabets beyond 255 letters share codes, so distances could be too small there
-            raise ValueError(f"too many different letters in the reference forms: {ch!r}")
+        self.alphabet = {ch: n + 1 for n, ch in enumerate(letters)}
         self.children: list[dict[int, int]] = [{} for _ in self.keys]
         texts = Texts(self.keys, self.alphabet)
         # place all keys level by level: those at one node are split by their distance to it
@@ -173,33 +188,31 @@ class Reference:
         self.longest = max((len(k) for k in self.tree.keys), default=0)
 
     def spelled_out(self, value: str) -> list[str]:
-        """The reference phrases a value with abbreviated words can stand for."""
+        """The tags of the phrases that a value with abbreviated words can stand for, sorted."""
         w = words(value)
         if not any(x.endswith(".") and len(x) > 3 for x in w):
             return []
         fits = lambda x, y: y.startswith(x[:-1]) if x.endswith(".") else x == y
-        return sorted({" ".join(p) for p, _ in self.by_size.get(len(w), ()) if all(map(fits, w, p))})
+        return sorted({tag for p, tag in self.by_size.get(len(w), ()) if all(map(fits, w, p))})
 
-    def lookup(self, values: list[str]) -> list[Match | None]:
-        """The nearest entry of each value; a tie between entries, or nothing near, gives None."""
+    def lookup(self, values: list[str]) -> list[Nearest | None]:
+        """The nearest entries of each value, None if nothing is near."""
+        best: list[Nearest | None] = [None] * len(values)
         asked: list[str] = []
         owner: list[int] = []
         for n, v in enumerate(values):
-            for form in self.spelled_out(v) or [v]:
-                key = squeeze(form)
-                if key and len(key) <= self.longest + 4:
-                    asked.append(key)
-                    owner.append(n)
-        best: list[Match | None] = [None] * len(values)
-        tied = [False] * len(values)
+            meant = self.spelled_out(v)
+            key = squeeze(v)
+            if meant:
+                best[n] = Nearest(0, 0, meant[0], meant[-1])
+            elif key and len(key) <= self.longest + 4:
+                asked.append(key)
+                owner.append(n)
         for n, found in zip(owner, self.tree.search(asked, [threshold(len(k)) for k in asked]), strict=True):
-            for m in found:
-                b = best[n]
-                if b is None or m.distance < b.distance:
-                    best[n], tied[n] = m, False
-                elif m.distance == b.distance and m.tag != b.tag:
-                    tied[n] = True
-        return [None if t else b for b, t in zip(best, tied, strict=True)]
+            if found:
+                near = [m.tag for m in found if m.distance == found[0].distance]
+                best[n] = Nearest(1, found[0].distance, min(near), max(near))
+        return best
 
 
 def entry_phrases(tag: str, domain: str, subdomain: str, label: str, aliases: list[str]) -> list[str]:
@@ -219,62 +232,81 @@ def entry_phrases(tag: str, domain: str, subdomain: str, label: str, aliases: li
     return sorted(p for p in out if p)
 
 
-def references(taxonomy: DataFrame) -> list[list[tuple[str, list[str]]]]:
-    """The canonical list in shards of at most SHARD_FORMS forms."""
-    shards: list[list[tuple[str, list[str]]]] = [[]]
-    held = 0
-    for r in taxonomy.filter("field_tag IS NOT NULL").select("field_tag", "domain", "subdomain", "label", "aliases").distinct().orderBy("field_tag").toLocalIterator():
-        phrases = entry_phrases(r.field_tag, r.domain, r.subdomain, r.label, r.aliases)
-        if held + len(phrases) > SHARD_FORMS and shards[-1]:
-            shards.append([])
-            held = 0
-        shards[-1].append((r.field_tag, phrases))
-        held += len(phrases)
-    return shards
+def entry_forms(taxonomy: DataFrame) -> DataFrame:
+    """``(field_tag, phrases)`` of the canonical list, each entry once; made on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(r["field_tag"], entry_phrases(r["field_tag"], r["domain"], r["subdomain"], r["label"], r["aliases"])) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([p for _, p in rows], pa.list_(pa.string()))], names=["field_tag", "phrases"])
+
+    once = taxonomy.filter("field_tag IS NOT NULL").select("field_tag", "domain", "subdomain", "label", "aliases").distinct()
+    return once.mapInArrow(run, "field_tag string, phrases array<string>")
 
 
-def _map_shard(rows: DataFrame, shard: list[tuple[str, list[str]]], value_col: str) -> DataFrame:
-    """``rows`` with the shard's winner: ``field_tag`` (null if none) and ``distance``."""
-    shared = rows.sparkSession.sparkContext.broadcast(shard)
+NEAREST = "turn int, distance int, first string, last string"
+
+
+def _columns(got: list[Nearest | None]) -> list[pa.Array]:
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.string())
+    return [pa.array([m and m[k] for m in got], t) for k, t in enumerate(kinds)]
+
+
+def _by_one_tree(rows: DataFrame, entries: list[tuple[str, list[str]]], value_col: str) -> DataFrame:
+    """``rows`` with the columns of Nearest, null where nothing is near."""
+    shared = rows.sparkSession.sparkContext.broadcast(entries)
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ref = Reference(shared.value)
-        known: dict[str, Match | None] = {}
+        known: dict[str, Nearest | None] = {}
         for b in batches:
             values = b.column(value_col).to_pylist()
             new = sorted({v for v in values if v is not None and v not in known})
             if len(known) + len(new) > CACHE_VALUES:
                 known, new = {}, sorted({v for v in values if v is not None})
             known.update(zip(new, ref.lookup(new), strict=True))
-            got = [known.get(v) for v in values]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(n) for n in names), pa.array([m and m.tag for m in got], pa.string()), pa.array([None if m is None else m.distance for m in got], pa.int32())],
-                names=[*names, "field_tag", "distance"],
-            )
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *_columns([known.get(v) for v in values])], names=[*names, "turn", "distance", "first", "last"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, field_tag string, distance int")
+    return rows.mapInArrow(run, f"{schema}, {NEAREST}")
+
+
+def _by_shards(values: DataFrame, forms: DataFrame, n_forms: int, value_col: str) -> DataFrame:
+    """``value_col`` and the columns of Nearest: every lot of different values meets every shard, the shards' best are merged."""
+    shards, lots = -(-n_forms // SHARD_FORMS), max(1, values.count() // LOT_VALUES)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = values.withColumn("_lot", F.pmod(F.xxhash64(value_col), F.lit(lots)).cast("int")).withColumn("_shard", every(shards))
+    listed = forms.withColumn("_shard", F.pmod(F.xxhash64("field_tag"), F.lit(shards)).cast("int")).withColumn("_lot", every(lots))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        ref = Reference(list(zip(b.column("field_tag").to_pylist(), b.column("phrases").to_pylist(), strict=True)))
+        mine = a.column(value_col).to_pylist()
+        got = [(v, m) for v, m in zip(mine, ref.lookup(mine), strict=True) if m]
+        return pa.table([pa.array([v for v, _ in got], pa.string()), *_columns([m for _, m in got])], names=[value_col, "turn", "distance", "first", "last"])
+
+    met = asked.groupBy("_shard", "_lot").cogroup(listed.groupBy("_shard", "_lot")).applyInArrow(run, f"`{value_col}` string, {NEAREST}")
+    level = met.groupBy(value_col, "turn", "distance").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    best = level.groupBy(value_col).agg(F.min(F.struct("turn", "distance", "first", "last")).alias("m"))
+    return best.select(value_col, "m.*")
 
 
 def map_values(rows: DataFrame, taxonomy: DataFrame, value_col: str = "raw_value") -> DataFrame:
     """``rows`` with ``field_tag`` and ``distance`` of the nearest canonical entry, null if none fits.
 
-    A value as near to two different entries fits neither.  Null and blank values
-    fit nothing.  An empty list matches nothing.
+    A value as near to two different entries fits neither, however the list is dealt
+    into shards.  Null and blank values fit nothing.  An empty list matches nothing.
     """
-    shards = references(taxonomy)
-    if len(shards) == 1:
-        return _map_shard(rows, shards[0], value_col)
-    values = rows.select(value_col).distinct()
-    won = None
-    for s in shards:
-        part = _map_shard(values, s, value_col).filter("field_tag IS NOT NULL")
-        won = part if won is None else won.unionByName(part)
-    nearest = won.groupBy(value_col, "distance").agg(F.min("field_tag").alias("field_tag"), F.max("field_tag").alias("_last"))
-    top = nearest.groupBy(value_col).agg(F.min(F.struct("distance", "field_tag", "_last")).alias("m"))
-    single = top.filter("m.field_tag = m._last").select(value_col, "m.field_tag", "m.distance")
-    return rows.join(single, value_col, "left")
+    forms = Workspace(rows.sparkSession, "canonical").put(entry_forms(taxonomy), "forms")
+    n_forms = forms.agg(F.sum(F.size("phrases"))).first()[0] or 0
+    if n_forms <= SHARD_FORMS:
+        entries = sorted((r.field_tag, list(r.phrases)) for r in forms.collect())  # at most SHARD_FORMS forms
+        found = _by_one_tree(rows, entries, value_col)
+    else:
+        best = _by_shards(rows.select(value_col).filter(F.col(value_col).isNotNull()).distinct(), forms, n_forms, value_col)
+        found = spread_join(rows, best, value_col, rows.count())
+    sole = F.col("first") == F.col("last")
+    return found.select(*rows.columns, F.when(sole, F.col("first")).alias("field_tag"), F.when(sole, F.col("distance")).alias("distance"))
 
 
 def typed_fields(nodes: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -282,13 +314,11 @@ def typed_fields(nodes: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
     Null and blank (spaces, tabs) values don't count; a node that comes twice counts once.
     """
-    from fulcrum.functions.keys import same_id, trim_blanks
-
-    tags = F.broadcast(taxonomy.select(F.col("field_tag").alias("raw_value")).distinct())  # the canonical list
-    return (
-        nodes.select(same_id("node_id").alias("node_id"), F.explode("fields").alias("raw_value"))
-        .filter(F.col("node_id").isNotNull() & (trim_blanks("raw_value") != ""))
-        .join(tags, "raw_value", "left_anti")
-        .select("node_id", "raw_value")
-        .distinct()
-    )
+    tags = taxonomy.filter("field_tag IS NOT NULL").select(F.col("field_tag").alias("raw_value"), F.lit(True).alias("_listed")).distinct()
+    values = nodes.select(same_id("node_id").alias("node_id"), F.explode("fields").alias("raw_value")).filter(F.col("node_id").isNotNull() & (trim_blanks("raw_value") != ""))
+    if tags.count() <= SHARD_FORMS:
+        other = values.join(F.broadcast(tags), "raw_value", "left_anti")
+    else:
+        values = values.distinct()
+        other = spread_join(values, tags, "raw_value", values.count()).filter("_listed IS NULL")
+    return other.select("node_id", "raw_value").distinct()

@@ -183,13 +183,22 @@ def test_canonical_values_against_all_distances(spark):
 
 
 def test_canonical_shards_agree(spark, monkeypatch):
-    taxonomy = spark.createDataFrame([(f"d.word{i}x", "d", f"word{i}x", None, None) for i in range(30)], "field_tag string, domain string, subdomain string, label string, aliases array<string>")
-    rows = spark.createDataFrame([("n", v) for v in ("word7x", "wordd12x", "nothing here", "word1x")], "node_id string, raw_value string")
-    one = {r.raw_value: r.field_tag for r in canonical.map_values(rows, taxonomy).collect()}
-    monkeypatch.setattr(canonical, "SHARD_FORMS", 20)
-    assert len(canonical.references(taxonomy)) > 1
-    assert {r.raw_value: r.field_tag for r in canonical.map_values(rows, taxonomy).collect()} == one
-    assert one["word7x"] == "d.word7x" and one["nothing here"] is None
+    """Ties, abbreviations and any alphabet give the same, whether the list lies in one tree or in many."""
+    listed = [(f"d.word{i}x", "d", f"word{i}x", None, None) for i in range(30)] + [(f"t.{w}", "t", w, None, None) for w in ("abcdef", "abcdeg", "abcdxx", "graph_learning", "graph_learners", "solid_matter")]
+    listed += [(f"z.{chr(0x4E00 + 4 * k)}{chr(0x4E01 + 4 * k)}{chr(0x4E02 + 4 * k)}{chr(0x4E03 + 4 * k)}", "z", None, None, None) for k in range(90)]
+    taxonomy = spark.createDataFrame([*listed, listed[0], (None, "d", "x", None, None)], "field_tag string, domain string, subdomain string, label string, aliases array<string>")
+    asked = ["word7x", "wordd12x", "nothing here", "word1x", "abcdeh", "abcdxy", "graph learn.", "solid matt.", "solid mater", None, " ", listed[-1][0][:-1] + "x"]
+    rows = spark.createDataFrame([("n", v, 1) for v in [*asked, asked[0]]], "node_id string, raw_value string, distance_ int")
+    one = {r.raw_value: (r.field_tag, r.distance) for r in canonical.map_values(rows, taxonomy).collect()}
+    assert one["word7x"] == ("d.word7x", 0) and one["nothing here"] == one["abcdeh"] == one["graph learn."] == one[None] == one[" "] == (None, None)
+    assert one["solid matt."] == ("t.solid_matter", 0) and one["abcdxy"][0] == "t.abcdxx" and one[asked[-1]] == (listed[-1][0], 1)
+    for forms, lot in ((20, 50_000), (7, 3)):
+        monkeypatch.setattr(canonical, "SHARD_FORMS", forms)
+        monkeypatch.setattr(canonical, "LOT_VALUES", lot)
+        got = canonical.map_values(rows, taxonomy)
+        assert {r.raw_value: (r.field_tag, r.distance) for r in got.collect()} == one and got.count() == len(asked) + 1
+    nodes = spark.createDataFrame([("n1", ["d.word3x", "Word 3", None]), ("N1 ", ["Word 3"])], "node_id string, fields array<string>")
+    assert [tuple(r) for r in canonical.typed_fields(nodes, taxonomy).collect()] == [("n1", "Word 3")]
 
 
 @pytest.fixture(scope="module")
