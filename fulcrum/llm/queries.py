@@ -55,8 +55,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
-    """Surviving records by trust and recency votes."""
-    return survivors.surviving_records(survivors.best_by_votes(_merge_rows(spark, d)))
+    """Surviving records by trust and recency votes, with the ids of their sources."""
+    won = survivors.surviving_records(survivors.best_by_votes(_merge_rows(spark, d)))
+    ids = F.transform(F.from_json("sources", "array<struct<source_id:string>>"), lambda s: s["source_id"])
+    return won.withColumn("sources", F.array_join(ids, ","))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

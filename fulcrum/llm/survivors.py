@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fulcrum.durable import Workspace
 from fulcrum.functions.keys import same_id, trim_blanks
 
 FIELDS = ("description", "granularity", "confidence", "sources")
@@ -19,13 +20,8 @@ FIELDS = ("description", "granularity", "confidence", "sources")
 # Trust in a record's best source type.
 TRUST = {"curated_list": 1.2, "paper": 1.0, "grant": 0.9, "patent": 0.7}
 
-# Texts that stand in for a description, lower case, and how longer ones begin.
-STAND_INS = ("n/a", "na", "-", "--", "tbd", "todo", "none", "null", "see title", "unknown", "description pending.", "no description provided.", "no description available.", "to be added.")
-STAND_IN_BEGINS = (
-    "description will be completed by the reviewing agent",
-    "this text was left blank by the extraction run",
-    "please consult the evidence quote or the original document",
-)
+#: A description that stands word for word in this share of all merged clusters, and in at least so many, says nothing about any of them.
+STAND_IN_SHARE, STAND_IN_CLUSTERS = 0.005, 3
 
 #: Days after which a record's vote counts half.
 HALF_LIFE_DAYS = 365.0
@@ -36,23 +32,21 @@ def _bare(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")
 
 
+def _plain(text: Column) -> Column:
+    """Without markup and runs of blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]*>|&nbsp;", " "), r"\s+", " "))
+
+
 def complete_sentences(text: Column, title: Column) -> Column:
     """The different complete sentences of real content, lower case, in order.
 
     Markup and runs of blanks don't count; a sentence ends in one full stop,
-    question or exclamation mark; stand-ins and the title itself are left out.
-    Null and blank texts have none.
+    question or exclamation mark; the title itself is left out.  Null and blank
+    texts have none.
     """
-    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]*>|&nbsp;", " "), r"\s+", " ")
-    marked = F.regexp_replace(F.trim(plain), r'([.!?]["”)]?) ([\p{Lu}\p{N}“"(¿¡])', "$1\u0001$2")
+    marked = F.regexp_replace(_plain(text), r'([.!?]["”)]?) ([\p{Lu}\p{N}“"(¿¡])', "$1\u0001$2")
     name = F.trim(_bare(F.coalesce(title, F.lit(""))))
-
-    def real(s: Column) -> Column:
-        begins = F.lit(False)
-        for b in STAND_IN_BEGINS:
-            begins = begins | s.startswith(b)
-        return s.rlike(r'[^.!?][.!?]["”)]?$') & ~s.isin(*STAND_INS) & ~begins & (F.trim(_bare(s)) != name)
-
+    real = lambda s: s.rlike(r'[^.!?][.!?]["”)]?$') & (F.trim(_bare(s)) != name)
     return F.array_distinct(F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.lower(F.trim(s))), real))
 
 
@@ -60,14 +54,24 @@ def members(merge_log: DataFrame, nodes: DataFrame, decision: str = "MERGE") ->
     """One row for each different node of each merged cluster of two or more nodes.
 
     Nodes that come twice count once (the later export stands); members without a
-    node row have nothing to offer and are left out, but count for the two.
+    node row have nothing to offer and are left out, but count for the two.  A
+    description repeated in very many clusters is a stand-in and becomes null: a text
+    that fits so many different problems carries no content.  Each such text takes a
+    share of all clusters, so there are at most ``members / (clusters * STAND_IN_SHARE)`` of
+    them, 200 times the mean cluster size, and their hashes may be broadcast.
     """
     rows = merge_log.filter(F.upper(trim_blanks("decision")) == decision).select("cluster_id", same_id("node_id").alias("node_id")).filter("cluster_id IS NOT NULL AND node_id IS NOT NULL").distinct()
     many = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("cluster_id")
     columns = ("title", "description", "granularity", "confidence", "sources", "created_at", "last_validated")
     offered = nodes.select(same_id("node_id").alias("node_id"), "ingested_at", F.struct(*columns).alias("r"))
     met = rows.join(many, "cluster_id", "left_semi").join(offered, "node_id")
-    return met.groupBy("cluster_id", "node_id").agg(F.max_by("r", "ingested_at").alias("r")).select("cluster_id", "node_id", "r.*")
+    once = met.groupBy("cluster_id", "node_id").agg(F.max_by("r", "ingested_at").alias("r")).select("cluster_id", "node_id", "r.*").withColumn("_text", F.xxhash64(F.lower(_plain(F.col("description")))))
+    once = Workspace(nodes.sparkSession, "survivors").put(once, "members")
+    clusters = once.agg(F.count_distinct("cluster_id").alias("_all"))  # one row
+    said = once.filter("description IS NOT NULL").select("_text", "cluster_id").distinct().groupBy("_text").agg(F.count(F.lit(1)).alias("_n"))
+    empty = said.join(F.broadcast(clusters)).filter((F.col("_n") >= STAND_IN_CLUSTERS) & (F.col("_n") >= STAND_IN_SHARE * F.col("_all"))).select("_text", F.lit(True).alias("_empty"))
+    marked = once.join(F.broadcast(empty), "_text", "left")
+    return marked.withColumn("description", F.when(F.col("_empty").isNull(), F.col("description"))).drop("_text", "_empty")
 
 
 def long_rows(rows: DataFrame) -> DataFrame:

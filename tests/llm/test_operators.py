@@ -4,11 +4,12 @@ import datetime as dt
 import os
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fulcrum.llm import bpe, canonical, encodings, groups, mixing, neighbors, queries, survivors, truncation
+from fulcrum.llm import bpe, canonical, encodings, groups, mixing, neighbors, queries, sql, survivors, truncation
 
 VECTOR = "node_id string, embedding array<float>, extra int"
 
@@ -165,6 +166,16 @@ def test_survivors_rules_and_ties(spark):
     assert survivors.best_by_merit(survivors.long_rows(survivors.members(log.limit(0), nodes))).count() == 0
 
 
+def test_survivors_texts_in_many_clusters_say_nothing(spark):
+    """The same text under four of five clusters is a stand-in, whatever it says; repeated within one cluster it is content."""
+    t = dt.datetime(2025, 1, 1)
+    rows = [(f"s{k}", f"Title {k}", " Will be  added Later. <p>Ask again.</p>" if k < 4 else "Real one. Real two.", t) for k in range(5)] + [(f"r{k}", f"Other {k}", f"Fact number {k % 5} holds.", t) for k in range(5)]
+    nodes = spark.createDataFrame([(n, ti, de, None, None, None, at, at, at) for n, ti, de, at in rows], f"node_id string, title string, description string, granularity string, confidence double, sources {REFS}, created_at timestamp_ntz, last_validated timestamp_ntz, ingested_at timestamp_ntz")
+    log = spark.createDataFrame([(k, n, "MERGE") for k in range(5) for n in (f"s{k}", f"r{k}")] + [(9, f"r{k}", "MERGE") for k in range(5)], "cluster_id long, node_id string, decision string")
+    got = {r.cluster_id: r.node_id for r in survivors.best_by_merit(survivors.long_rows(survivors.members(log, nodes))).collect()}
+    assert got == {0: "r0", 1: "r1", 2: "r2", 3: "r3", 4: "s4", 9: "r0"}
+
+
 def test_canonical_values_against_all_distances(spark):
     tax = [("a_b.solid_state", "a_b", "solid_state", "Solid state (a b)", ["hard matter"]), ("a_b.general", "a_b", "general", "General (a b)", []), ("zed.graph_learning", "zed", "graph_learning", "Graph learning (zed)", None), ("cross_domain", "cross_domain", None, "Cross domain", [])]
     taxonomy = spark.createDataFrame(tax, "field_tag string, domain string, subdomain string, label string, aliases array<string>")
@@ -308,6 +319,18 @@ def test_repair_keeps_rows_and_other_columns(spark, model):
     assert encodings.repair(df.limit(0), ("doc_id",), model=model).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(sql.SQL))
+def test_query_equals_its_sql(name, spark, data):
+    con = duckdb.connect()
+    for f in os.listdir(data):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM read_parquet('{data}/{f}')")
+    df = queries.QUERIES[name](spark, data)
+    got = con.execute(sql.SQL[name])
+    names = [x[0] for x in got.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(repr, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(repr, got.fetchall()))
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs(name, spark, data):
     df = queries.QUERIES[name](spark, data)
