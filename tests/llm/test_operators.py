@@ -310,6 +310,24 @@ def test_clean_and_citing_texts_are_left_alone(model):
     assert lost[0].chain == "lost" and lost[0].repaired is None
 
 
+def test_single_wrong_letters_are_judged_by_known_words(model):
+    text = "Ohne Messdaten fehlen belastbare Aussagen für Labors."
+    for chain in ("cp1252>cp437", "cp1252>mac_roman", "cp1252>cp850"):
+        found = encodings.inspect([encodings.garble(text, chain)], model)[0]
+        assert [f.repaired for f in found] == [text]
+    assert encodings.inspect([text, "The f³x sign stays."], model) == [[], []]
+
+
+def test_sentences_that_also_cite_are_restored_around_the_citation(model):
+    plain = "Главным препятствием остаётся долговечность, symbols “Ã©” которую нельзя предсказать."
+    cite = "“Ã©”"
+    bad = cite.join(encodings.garble(part, "cp1251>cp1252") for part in plain.split(cite))
+    found = encodings.inspect([bad], model)[0]
+    assert [f.repaired for f in found] == [plain]
+    unhelped = encodings.restore_around("plain words, symbols “Ã©” and no more", "cp1251>cp1252")
+    assert unhelped is None
+
+
 def test_repair_keeps_rows_and_other_columns(spark, model):
     bad = "Für Hände fehlen Messdaten über Auflösungsvermögen. " + encodings.garble("Größere Anlagen können Störungen zuverlässig prüfen.", "utf8>cp1252")
     df = spark.createDataFrame([(1, bad, "x"), (2, CLEAN[0], "x"), (3, None, None), (4, "", "y"), (5, bad, None)], "doc_id long, text string, chains string")
