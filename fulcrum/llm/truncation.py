@@ -1,12 +1,14 @@
 """Values cut off by field limits or mid-transfer, and how often each feed cuts.
 
 Per feed and column, histograms of character and byte lengths are searched for
-spikes: lengths far more frequent than their neighbours.  A value at a spike
-that ends without terminal punctuation is a suspect.  Two statistics of the
-whole corpus then separate cut values from whole ones that carry no terminal
-punctuation (titles, headline-like quotes), at spike lengths and elsewhere:
+spikes: lengths far more frequent than their neighbours.  A spike need not be the
+longest length, since only part of a feed passes through the limit.  A value at a spike
+that ends without terminal punctuation is a suspect, title or quote.  Whole values
+of one length (titles from one pattern) make spikes too, so two statistics of the
+whole corpus judge the suspects, and find the values cut mid-transfer at any length:
 how often sentences that begin alike are terminated, and how often the last
-words end a value, go on, or are the beginning of a longer word.
+words end a value, go on, or are the beginning of a longer word.  ``decided_by`` says what
+made a value a cut one: 'spike', or else 'mark', 'opening' or 'ending'.
 """
 
 from __future__ import annotations
@@ -76,7 +78,8 @@ def _endings(rows: DataFrame) -> DataFrame:
     them, goes on after them, or holds them with a longer last word.
 
     ``rows``: ``words`` (two pad words first) and ``whole``; of a value that may be
-    cut the last word is not used.
+    cut the last word is not used.  A word is cut into the beginnings that are as
+    long as some last word, as no others are asked for.
     """
     at = F.sequence(F.lit(3), F.when(F.col("whole"), F.size("words")).otherwise(F.size("words") - 1))
     grams = rows.filter(F.size("words") > F.when(F.col("whole"), 2).otherwise(3)).select("words", "whole", F.explode(at).alias("j"))
@@ -85,23 +88,24 @@ def _endings(rows: DataFrame) -> DataFrame:
     levels = F.explode(F.array(F.concat_ws(" ", "a", "b"), F.col("b"), F.lit("")))
     per_key = counted.select(levels.alias("ctx"), "w", "end", "n").groupBy("ctx", "w").agg(F.sum(F.when(F.col("end"), F.col("n")).otherwise(0)).alias("e"), F.sum(F.when(~F.col("end"), F.col("n")).otherwise(0)).alias("i"))
     key = lambda w: F.ltrim(F.concat_ws(" ", "ctx", w))
-    exact = per_key.select(key(F.col("w")).alias("key"), "e", "i", F.lit(0).cast("long").alias("p"))
     # a longer word counts for its beginnings; words that only ever end one value may be cut themselves
-    longer = per_key.filter((F.col("i") > 0) | (F.col("e") >= 3)).filter(F.length("w") > 1)
-    starts = longer.select("ctx", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda k: F.substring(F.col("w"), F.lit(1), k))).alias("w"), (F.col("e") + F.col("i")).alias("p"))
-    prefixes = starts.select(key(F.col("w")).alias("key"), F.lit(0).cast("long").alias("e"), F.lit(0).cast("long").alias("i"), "p")
-    return exact.unionByName(prefixes).groupBy("key").agg(F.sum("e").alias("e"), F.sum("i").alias("i"), F.sum("p").alias("p"))
+    lengths = rows.agg(F.array_sort(F.collect_set(F.length(F.element_at("words", -1)))).alias("lengths"))  # one row: the lengths of last words
+    shorter = F.filter("lengths", lambda k: (k > 0) & (k < F.length("w")))
+    longer = (F.col("i") > 0) | (F.col("e") >= 3)
+    forms = F.concat(F.array(F.struct(F.col("w").alias("w"), F.col("e").alias("e"), F.col("i").alias("i"), F.lit(0).cast("long").alias("p"))), F.when(longer, F.transform(shorter, lambda k: F.struct(F.substring(F.col("w"), F.lit(1), k).alias("w"), F.lit(0).cast("long").alias("e"), F.lit(0).cast("long").alias("i"), (F.col("e") + F.col("i")).alias("p")))).otherwise(F.array()))
+    every = per_key.join(F.broadcast(lengths)).select("ctx", F.explode(forms).alias("f"))
+    return every.groupBy(key(F.col("f.w")).alias("key")).agg(F.sum("f.e").alias("e"), F.sum("f.i").alias("i"), F.sum("f.p").alias("p"))
 
 
-def _verdicts(rows: DataFrame, stats: DataFrame) -> DataFrame:
+def _verdicts(rows: DataFrame, stats: DataFrame, work: Workspace, n: int) -> DataFrame:
     """``(tail, plain, at_spike)`` for every different last three words of ``rows``: whether they betray a cut."""
     tails = rows.select("tail").distinct().withColumn("w", F.split("tail", " "))
     asked = tails.select("tail", F.explode(F.array(F.struct(F.lit(3).alias("k"), F.col("tail").alias("key")), F.struct(F.lit(2).alias("k"), F.concat_ws(" ", F.element_at("w", 2), F.element_at("w", 3)).alias("key")), F.struct(F.lit(1).alias("k"), F.element_at("w", 3).alias("key")))).alias("q")).select("tail", "q.*")
-    met = asked.join(stats, "key", "left").na.fill(0, ["e", "i", "p"])
+    met = spread_join(work.put(asked, "asked"), stats, "key", n).na.fill(0, ["e", "i", "p"])  # very many tails may end in one word
     wide = met.groupBy("tail").agg(*(F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in (1, 2, 3) for c in ("e", "i", "p")))
     n3, n2 = F.col("e3") + F.col("i3") + F.col("p3"), F.col("e2") + F.col("i2") + F.col("p2")
     use = lambda c: F.when(n3 >= 8, F.col(f"{c}3")).when(n2 >= 3, F.col(f"{c}2")).otherwise(F.col(f"{c}1"))
-    s = wide.select("tail", use("e").alias("e"), use("i").alias("i"), use("p").alias("p"), (n3 < 8).alias("short"), "e1", "i1", (n2 < 3).alias("single"))
+    s = wide.select("tail", use("e").alias("e"), use("i").alias("i"), use("p").alias("p"), "e1", "i1", (n2 < 3).alias("single"))
     all_n = F.col("e") + F.col("i") + F.col("p")
     rate = F.when(all_n > 0, F.col("e") / all_n).otherwise(1.0)
     part = (F.col("i") == 0) & (F.col("p") >= F.when(F.col("single"), 20).otherwise(3)) & (F.col("e") * 4 <= F.col("p"))
@@ -111,41 +115,37 @@ def _verdicts(rows: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def cut_values(values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The values with ``cut`` (and ``at_spike``), and the spikes found.
+    """The cut values, ``(node_id, field_name, pos, at_spike, decided_by)``, and the spikes found.
 
     Values end properly if terminal punctuation closes them; a late beginning or a
     left-out middle doesn't matter.  An empty table gives empty results.
     """
     spark = values.sparkSession
     work = Workspace(spark, "truncation")
-    words = F.split(F.lower(F.trim(F.regexp_replace("text", r"[\s ]+", " "))), " ")
+    words = F.split(F.lower(F.trim(F.regexp_replace("text", r"[\s ]+", " "))), " ")
     body = F.trim(F.regexp_replace("text", LEADING_MARK, ""))
-    last = F.regexp_replace(body, BEFORE_LAST_SENTENCE, "")
-    base = values.select(
-        "*",
-        F.rlike("text", F.lit(MARKED)).alias("marked"),
-        F.rlike("text", F.lit(TERMINATED)).alias("terminated"),
-        F.concat(F.array(F.lit("^"), F.lit("^")), words).alias("words"),
-        (last != body).alias("many"),
-        F.split(F.lower(last), r"\s+").alias("last_words"),
-    ).withColumn("terminated", F.col("terminated") & ~F.col("marked"))
+    last = F.regexp_replace("body", BEFORE_LAST_SENTENCE, "")
+    opening = F.lower(F.regexp_extract("last", r"^(\S+(?:\s+\S+)?)", 1))
+    ended = values.withColumns({"marked": F.rlike("text", F.lit(MARKED)), "body": body}).withColumn("terminated", ~F.col("marked") & F.rlike("text", F.lit(TERMINATED)))
+    # only what lacks terminal punctuation is looked at word by word
+    base = ended.withColumn("last", F.when(F.col("field_name") == "evidence_quote", last)).select(
+        *values.columns, "marked", "terminated", F.when(~F.col("terminated"), F.concat(F.array(F.lit("^"), F.lit("^")), words)).alias("words"), (F.col("last") != F.col("body")).alias("many"), F.regexp_replace(opening, r"\s+", " ").alias("opening")
+    )
     found = work.put(spikes(values), "spikes")
     limits = F.broadcast(  # a handful of lengths for each feed and column; byte limits may fall inside a character
         found.groupBy("feed", "field_name").agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("char_spikes"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("byte_spikes"))
     )
     near = F.array_contains("char_spikes", F.length("text")) | F.exists("byte_spikes", lambda b: (F.octet_length("text") <= b) & (F.octet_length("text") > b - 3) & (F.octet_length("text") > F.length("text")))
-    placed = base.join(limits, ["feed", "field_name"], "left").withColumn("at_spike", F.coalesce(near, F.lit(False))).drop("char_spikes", "byte_spikes")
+    placed = base.join(limits, ["feed", "field_name"], "left").withColumn("at_spike", F.coalesce(near, F.lit(False))).drop("char_spikes", "byte_spikes", "feed")
     placed = work.put(placed.withColumn("tail", F.array_join(F.slice("words", -3, 3), " ")).drop("text"), "placed")
 
     # how often do quote sentences that begin alike end with punctuation?
-    quotes = placed.filter("field_name = 'evidence_quote'")
-    shares = quotes.select(F.explode(F.array(_opening(F.col("last_words"), 2), _opening(F.col("last_words"), 1))).alias("opening"), "terminated").groupBy("opening").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("terminated").cast("double")).alias("share"))
-    open_ended = quotes.filter("NOT terminated")
-    two = F.array_join(F.slice("last_words", 1, 2), " ")
-    asked = open_ended.select("node_id", "field_name", "pos", "at_spike", "marked", "many", "tail", "words", two.alias("opening"), F.try_element_at("last_words", F.lit(1)).alias("opening1"))
+    quotes = placed.filter("field_name = 'evidence_quote'").withColumn("opening1", F.substring_index("opening", " ", 1))
+    shares = quotes.select(F.explode(F.array("opening", "opening1")).alias("opening"), "terminated").groupBy("opening").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("terminated").cast("double")).alias("share"))
+    asked = quotes.filter("NOT terminated").select("node_id", "field_name", "pos", "at_spike", "marked", "many", "tail", "words", "opening", "opening1")
     # openings of one and two words never collide: the latter hold a blank, or are the whole sentence
     s2, s1 = shares.select("opening", F.col("n").alias("n2"), F.col("share").alias("share2")), shares.select(F.col("opening").alias("opening1"), F.col("n").alias("n1"), F.col("share").alias("share1"))
-    rows = quotes.count()
+    rows = placed.count()
     judged = spread_join(spread_join(asked, s2, "opening", rows), s1, "opening1", rows)
     usual = F.when(F.coalesce("n2", F.lit(0)) >= 5, F.col("share2")).otherwise(F.coalesce("share1", F.lit(0.0)))
     judged = judged.withColumn("sentence", F.col("many") | (usual >= 0.5)).select("node_id", "field_name", "pos", "at_spike", "marked", "tail", "words", "sentence")
@@ -153,18 +153,19 @@ def cut_values(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     titles = placed.filter("field_name = 'title' AND NOT terminated").select("node_id", "field_name", "pos", "at_spike", "marked", "tail", "words", F.lit(False).alias("sentence"))
     loose = work.put(judged.unionByName(titles), "loose")  # everything without terminal punctuation
     headed = loose.filter("NOT sentence")
-    # headline-like quotes are of much the same length by nature, so a spike says little about them
-    suspect = F.col("at_spike") & (F.col("field_name") == "title")
-    stats = _endings(headed.select("words", (~F.col("marked") & ~suspect).alias("whole")))
-    verdict = work.put(_verdicts(headed, stats), "verdicts")
-    weighed = spread_join(headed.select("node_id", "field_name", "pos", "at_spike", "marked", "tail"), verdict.withColumnRenamed("at_spike", "spike_cut"), "tail", values.count())
-    cut_heads = weighed.filter(F.col("marked") | F.col("plain") | (suspect & F.col("spike_cut"))).select("node_id", "field_name", "pos", "at_spike")
-    return cut_heads.unionByName(loose.filter("sentence").select("node_id", "field_name", "pos", "at_spike")), found
+    # most titles at a spike are cut, so they don't say how whole ones end; headline-like quotes are of much the same length by nature
+    doubtful = F.col("at_spike") & (F.col("field_name") == "title")
+    stats = _endings(headed.select("words", (~F.col("marked") & ~doubtful).alias("whole")))
+    verdict = work.put(_verdicts(headed, stats, work, 3 * rows), "verdicts")
+    weighed = spread_join(loose.drop("words"), verdict.withColumnRenamed("at_spike", "spike_cut"), "tail", rows)
+    agreed = F.col("sentence") | F.col("spike_cut")
+    reason = F.when(F.col("at_spike") & (F.col("marked") | F.coalesce(agreed, F.lit(False))), "spike").when(F.col("marked"), "mark").when(F.col("sentence"), "opening").when(F.col("plain"), "ending")
+    return weighed.withColumn("decided_by", reason).filter("decided_by IS NOT NULL").select("node_id", "field_name", "pos", "at_spike", "decided_by"), found
 
 
 def report(values: DataFrame, cut: DataFrame) -> DataFrame:
-    """One row a feed and column: values, cut ones, those at a spike length, and the share that is cut."""
+    """One row a feed and column: values, cut ones, those that a length spike gave away, and the share that is cut."""
     whole = values.groupBy("feed", "field_name").agg(F.count(F.lit(1)).alias("n_values"))
     marked = cut.join(values.select("node_id", "field_name", "pos", "feed"), ["node_id", "field_name", "pos"])
-    hit = marked.groupBy("feed", "field_name").agg(F.count(F.lit(1)).alias("n_cut"), F.sum(F.col("at_spike").cast("int")).alias("n_at_spike"))
-    return whole.join(hit, ["feed", "field_name"], "left").na.fill(0, ["n_cut", "n_at_spike"]).withColumn("share_cut", F.col("n_cut") / F.col("n_values"))
+    hit = marked.groupBy("feed", "field_name").agg(F.count(F.lit(1)).alias("n_cut"), F.sum((F.col("decided_by") == "spike").cast("int")).alias("n_by_spike"))
+    return whole.join(hit, ["feed", "field_name"], "left").na.fill(0, ["n_cut", "n_by_spike"]).withColumn("share_cut", F.col("n_cut") / F.col("n_values"))
