@@ -98,20 +98,20 @@ def _endings(rows: DataFrame) -> DataFrame:
 
 
 def _verdicts(rows: DataFrame, stats: DataFrame, work: Workspace, n: int) -> DataFrame:
-    """``(tail, plain, at_spike)`` for every different last three words of ``rows``: whether they betray a cut."""
+    """``(tail, plain, at_spike, once)`` for every different last three words of ``rows``: whether they betray a cut anywhere or at a spike, and whether they end one value only."""
     tails = rows.select("tail").distinct().withColumn("w", F.split("tail", " "))
     asked = tails.select("tail", F.explode(F.array(F.struct(F.lit(3).alias("k"), F.col("tail").alias("key")), F.struct(F.lit(2).alias("k"), F.concat_ws(" ", F.element_at("w", 2), F.element_at("w", 3)).alias("key")), F.struct(F.lit(1).alias("k"), F.element_at("w", 3).alias("key")))).alias("q")).select("tail", "q.*")
     met = spread_join(work.put(asked, "asked"), stats, "key", n).na.fill(0, ["e", "i", "p"])  # very many tails may end in one word
     wide = met.groupBy("tail").agg(*(F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in (1, 2, 3) for c in ("e", "i", "p")))
     n3, n2 = F.col("e3") + F.col("i3") + F.col("p3"), F.col("e2") + F.col("i2") + F.col("p2")
     use = lambda c: F.when(n3 >= 8, F.col(f"{c}3")).when(n2 >= 3, F.col(f"{c}2")).otherwise(F.col(f"{c}1"))
-    s = wide.select("tail", use("e").alias("e"), use("i").alias("i"), use("p").alias("p"), "e1", "i1", (n2 < 3).alias("single"))
+    s = wide.select("tail", use("e").alias("e"), use("i").alias("i"), use("p").alias("p"), "e1", "i1", (n2 < 3).alias("single"), (F.col("e3") <= 1).alias("once"))
     all_n = F.col("e") + F.col("i") + F.col("p")
     rate = F.when(all_n > 0, F.col("e") / all_n).otherwise(1.0)
     part = (F.col("i") == 0) & (F.col("p") >= F.when(F.col("single"), 20).otherwise(3)) & (F.col("e") * 4 <= F.col("p"))
     goes_on = (F.col("i") >= 50) & (rate <= RARE_END)
     never_last = (F.col("i1") >= 50) & (F.col("e1") <= RARE_END * (F.col("e1") + F.col("i1")))
-    return s.select("tail", (part | goes_on | never_last).alias("plain"), (part | never_last | ((all_n > 0) & (rate < RARE_END_AT_SPIKE))).alias("at_spike"))
+    return s.select("tail", (part | goes_on | never_last).alias("plain"), (part | never_last | ((all_n > 0) & (rate < RARE_END_AT_SPIKE))).alias("at_spike"), "once")
 
 
 def cut_values(values: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +158,7 @@ def cut_values(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     stats = _endings(headed.select("words", (~F.col("marked") & ~doubtful).alias("whole")))
     verdict = work.put(_verdicts(headed, stats, work, 3 * rows), "verdicts")
     weighed = spread_join(loose.drop("words"), verdict.withColumnRenamed("at_spike", "spike_cut"), "tail", rows)
-    agreed = F.col("sentence") | F.col("spike_cut")
+    agreed = F.col("sentence") | F.col("plain") | (F.col("spike_cut") & ((F.col("field_name") == "title") | F.col("once")))
     reason = F.when(F.col("at_spike") & (F.col("marked") | F.coalesce(agreed, F.lit(False))), "spike").when(F.col("marked"), "mark").when(F.col("sentence"), "opening").when(F.col("plain"), "ending")
     return weighed.withColumn("decided_by", reason).filter("decided_by IS NOT NULL").select("node_id", "field_name", "pos", "at_spike", "decided_by"), found
 
