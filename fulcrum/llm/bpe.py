@@ -1,8 +1,8 @@
 """Exact byte-pair encoding of whole corpora by per-prefix dynamic programming.
 
 For every prefix of a word's bytes exactly one token can end the encoding of that
-prefix.  A suffix automaton over the vocabulary lists the tokens that end at a
-position; the one that follows its prefix's last token without BPE wanting to
+prefix.  An automaton over the vocabulary with suffix links (built by the
+Aho-Corasick rule, in place of a suffix automaton) lists the tokens that end at a position; the one that follows its prefix's last token without BPE wanting to
 merge across the seam is stored, and the ids are read off the back-pointers.
 Work is linear in the text, whatever the word length.
 
@@ -110,7 +110,7 @@ class Encoder:
                 b, limit, strict = hb[0], hb[2], False
 
     def encode_bytes(self, word: str) -> tuple[int, ...]:
-        """Ids of one word, given as latin-1 text of its bytes."""
+        """Ids of one word, given as latin-1 text of its bytes.  Raises if a byte has no token."""
         n = len(word)
         last, size = [-1] * (n + 1), [0] * (n + 1)
         at, candidates = 0, []
@@ -123,6 +123,8 @@ class Encoder:
             self._settle(at, candidates, last, size)
         out = []
         while n:
+            if not size[n]:
+                raise ValueError(f"the vocabulary can't end a token after byte {n} of {word[:80]!r}")
             out.append(last[n])
             n -= size[n]
         out.reverse()

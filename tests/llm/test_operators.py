@@ -232,6 +232,16 @@ def test_encoder_equals_the_public_library(encoder):
         assert encoder.decode(ids) == t
 
 
+def test_missing_bytes_raise():
+    import json
+
+    tiny = json.dumps({"model": {"vocab": {"a": 0, "b": 1, "ab": 2}, "merges": ["a b"]}})
+    enc = bpe.Encoder(tiny)
+    assert enc.encode("abba") == [2, 1, 0]
+    with pytest.raises(ValueError):
+        enc.encode("abcb")
+
+
 def test_corpus_encoding_keeps_every_row(spark, encoder):
     df = spark.createDataFrame([(1, "hello world", "k"), (2, "", "k"), (3, None, "k"), (1, "hello world", "k"), (4, "x " * 20_000, None)], "doc_id long, text string, ids string")
     rows = bpe.encode_corpus(df).collect()
