@@ -7,6 +7,7 @@ edges come from the last one, their place from the first.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from fulcrum.durable import Workspace
 from fulcrum.functions.numbers import round_binary
 from fulcrum.functions.text import domain, domains
+from fulcrum.operators.skew import spread_join
 from fulcrum.schemas import EDGE_TYPES
 
 NODE_ATTRIBUTES = ("type", "title", "granularity", "description", "fields", "confidence", "status", "extraction_method", "cross_field_ref")
@@ -75,7 +77,8 @@ def orphans(g: PropertyGraph) -> DataFrame:
 def cross_field_edges(g: PropertyGraph) -> DataFrame:
     """Edges whose two domain sets are both non-empty and disjoint."""
     d = g.nodes.select("node_id", domains("fields").alias("d"))
-    both = g.edges.join(d.selectExpr("node_id AS src", "d AS d1"), "src").join(d.selectExpr("node_id AS dst", "d AS d2"), "dst")
+    rows = g.edges.count()  # a node may be the end of a large part of all edges
+    both = spread_join(spread_join(g.edges, d.selectExpr("node_id AS src", "d AS d1"), "src", rows, "inner"), d.selectExpr("node_id AS dst", "d AS d2"), "dst", rows, "inner")
     return both.filter((F.size("d1") > 0) & (F.size("d2") > 0) & ~F.arrays_overlap("d1", "d2")).drop("d1", "d2")
 
 
@@ -87,24 +90,25 @@ def graph_stats(g: PropertyGraph) -> DataFrame:
     return row.withColumn("orphan_pct", pct)
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_depth: int = 64, reverse: bool = False) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, reverse: bool = False) -> DataFrame:
     """``(node_id, depth)``: nodes reached from any of ``start(node_id)`` (depth 0 itself), fewest hops.
 
-    One join with the frontier a level; visited nodes are never expanded again, so
-    cycles end.  State is cut to a written table each level.
+    One join with the frontier a level, until a level finds nothing new; visited
+    nodes are never expanded again, so cycles end.  Each level is a written table.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
     work = Workspace(edges.sparkSession, "reach")
     links = work.put(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct(), "links")
-    seen = work.put(start.select("node_id").filter("node_id IS NOT NULL").distinct().withColumn("depth", F.lit(0)), "seen0")
-    front = seen
-    for depth in range(1, max_depth + 1):
+    front = work.put(start.select("node_id").filter("node_id IS NOT NULL").distinct().withColumn("depth", F.lit(0)), "level")
+    seen = front
+    for depth in count(1):
         step = links.join(front.select(F.col("node_id").alias("a")), "a", "left_semi").select(F.col("b").alias("node_id")).distinct()
-        front = work.put(step.join(seen.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(depth)), f"front{depth}")
+        front = work.put(step.join(seen.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(depth)), "level")
         if front.isEmpty():
-            break
-        seen = work.put(seen.unionByName(front), f"seen{depth}")
-    return seen
+            return seen
+        seen = seen.unionByName(front)
+        if depth % 20 == 0:  # many levels are gathered in one table, so that plans stay short
+            seen = work.put(seen, "seen")
 
 
 def blocked_by(edges: DataFrame, node_id: str) -> DataFrame:
@@ -136,25 +140,3 @@ def subgraph(g: PropertyGraph, field: str | None = None, node_type: str | None =
     ids = n.select("node_id")
     e = g.edges.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
     return PropertyGraph(n, e)
-
-
-def reach_strength(edges: DataFrame, nodes: DataFrame, max_rounds: int = 32) -> DataFrame:
-    """``(node_id, strength)``: over all nodes it can reach, the sum of the best path's product of weights.
-
-    Max-product relaxation with weights in 0..1: a pair's best product only grows,
-    and rounds end when nothing does.  State is (start, node) pairs, so use it on
-    graphs whose closure fits the cluster.
-    """
-    work = Workspace(edges.sparkSession, "strength")
-    links = work.put(of_types(edges).groupBy("src", "dst").agg(F.max(weight()).alias("w")), "links")
-    best = work.put(links.select(F.col("src").alias("s"), F.col("dst").alias("t"), "w").filter("s <> t"), "best0")
-    front = best
-    for k in range(1, max_rounds):
-        step = front.join(links.selectExpr("src AS t", "dst AS u", "w AS w2"), "t").filter("s <> u").groupBy("s", F.col("u").alias("t")).agg(F.max(F.col("w") * F.col("w2")).alias("w"))
-        better = step.join(best.withColumnRenamed("w", "old"), ["s", "t"], "left").filter("old IS NULL OR w > old").select("s", "t", "w")
-        front = work.put(better, f"front{k}")
-        if front.isEmpty():
-            break
-        best = work.put(best.unionByName(front).groupBy("s", "t").agg(F.max("w").alias("w")), f"best{k}")
-    sums = best.groupBy(F.col("s").alias("node_id")).agg(F.sum("w").alias("strength"))
-    return nodes.select("node_id").join(sums, "node_id", "left").na.fill(0.0, ["strength"])

@@ -113,7 +113,7 @@ def dg01_blocker_degree(spark: SparkSession, d: str) -> DataFrame:
 
 def dg02_reach_strength(spark: SparkSession, d: str) -> DataFrame:
     g = trade_graph(spark, d)
-    return graph.reach_strength(g.edges, g.nodes).select("node_id", F.round("strength", 6).alias("strength"))
+    return scoring.reach_strength(g).select("node_id", F.round("strength", 6).alias("strength"))
 
 
 def dg13_subgraph(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +152,7 @@ def leverage_index_problems(spark: SparkSession, d: str) -> DataFrame:
 
 def dg02_reach_strength_problems(spark: SparkSession, d: str) -> DataFrame:
     g = problem_graph(spark, d)
-    return graph.reach_strength(g.edges, g.nodes).select("node_id", F.round("strength", 6).alias("strength"))
+    return scoring.reach_strength(g).select("node_id", F.round("strength", 6).alias("strength"))
 
 
 def q02_roots_of_field_problems(spark: SparkSession, d: str) -> DataFrame:

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from fulcrum.operators import graph, scoring
+from fulcrum.operators import compact, graph, scoring
 from fulcrum.plans import registry
 
 FIELDS = {"A": ["materials_science.batteries"], "B": ["ai_ml.nlp", "ai_ml.optimization"], "C": ["drug_discovery.general"], "D": ["cross_domain"], "E": [], "F": ["ai_ml.general"]}
@@ -47,7 +48,7 @@ def test_cascade_golden(toy):
 
 def test_cross_field_golden_follows_the_first_path(toy):
     assert column(scoring.cross_field_leverage(toy), "cross_field") == pytest.approx({"A": 0.46, "B": 1.14, "C": 0.504, "D": 0.28, "E": 0, "F": 0})
-    best = column(graph.reach_strength(toy.edges, toy.nodes), "strength")
+    best = column(scoring.reach_strength(toy), "strength")
     assert best["A"] > 0.46
 
 
@@ -170,3 +171,63 @@ def test_scores_of_the_problem_tables(spark, tmp_path):
     most = sorted(fields, key=lambda k: (-sum(t == k for _, t, _ in edges), k))
     assert column(run("q04_blocks_problems"), "weight") == {s: w for s, t, w in edges if t == most[0]}
     assert {r.node_id for r in run("q05_common_ancestors_problems").collect()} == set(fields) - set(most[:2])
+
+
+def random_graph(spark, seed, n=11, share=0.2):
+    rnd = random.Random(seed)
+    nodes = {f"n{i:02d}": rnd.sample(["a.x", "b", "c.y", "a.z"], rnd.randint(0, 2)) for i in range(n)}
+    pairs = [(i, j) for i in range(n) for j in range(n) if i != j and rnd.random() < share]
+    rnd.shuffle(pairs)
+    edges = [(f"n{i:02d}", f"n{j:02d}", rnd.choice([0.25, 0.5, 0.5, 1.0])) for i, j in pairs]
+    return nodes, edges, make(spark, [(k, i, "x", f) for i, (k, f) in enumerate(nodes.items())], [(s, t, "ENABLES", w, 1.0, i) for i, (s, t, w) in enumerate(edges)])
+
+
+def test_large_graphs_are_searched_in_joins_with_the_same_results(spark, monkeypatch):
+    nodes, edges, g = random_graph(spark, 8)
+    near = [column(scoring.cross_field_leverage(g), "cross_field"), column(scoring.bottleneck_centrality(g), "bottleneck"), column(scoring.reach_strength(g), "strength")]
+    assert near[0] == pytest.approx(fifo(nodes, edges)) and near[1] == pytest.approx(betweenness(nodes, edges))
+    monkeypatch.setattr(compact, "MOST_EDGES", 0)
+    monkeypatch.setattr(scoring, "STARTS_AT_ONCE", 6)
+    assert column(scoring.cross_field_leverage(g), "cross_field") == pytest.approx(near[0])
+    assert column(scoring.bottleneck_centrality(g), "bottleneck") == pytest.approx(near[1])
+    assert column(scoring.reach_strength(g), "strength") == pytest.approx(near[2])
+
+
+def test_lots_of_starts_change_nothing(spark, monkeypatch):
+    import numpy as np
+
+    nodes, edges, g = random_graph(spark, 3, 12)
+    c = compact.compact(scoring._typed(g, scoring.Workspace(spark, "t")).withColumn("w", 1 / F.col("w")))
+    starts = np.nonzero(np.diff(c.first))[0]
+    whole = compact.between(c, starts)
+    assert sum(compact.between(c, starts[k : k + 1]) for k in range(len(starts))) == pytest.approx(whole)
+    assert dict(zip(c.ids.to_pylist(), whole / (11 * 10), strict=True)) == pytest.approx({k: v for k, v in betweenness(nodes, edges).items() if k in c.ids.to_pylist()})
+
+
+def test_sampled_bottleneck_is_not_biased(spark):
+    """Three of five leaves lead into the middle of a star, two out of it; all sources sampled gives the exact value."""
+    g = make(spark, [(n, i, "x", []) for i, n in enumerate("MABCDE")], [(a, b, "ENABLES", 1.0, 1.0, i) for i, (a, b) in enumerate([("A", "M"), ("B", "M"), ("C", "M"), ("M", "D"), ("M", "E")])])
+    exact = column(scoring.bottleneck_centrality(g), "bottleneck")
+    assert exact["M"] == pytest.approx(6 / 20)
+    assert column(scoring.bottleneck_centrality(g, sources=4), "bottleneck") == pytest.approx(exact)
+    assert column(scoring.bottleneck_centrality(g, sources=99), "bottleneck") == pytest.approx(exact)
+
+
+def test_endless_products_raise(spark):
+    g = make(spark, [("A", 0, "x", []), ("B", 1, "x", [])], [("A", "B", "ENABLES", 2.0, 1.0, 0), ("B", "A", "ENABLES", 2.0, 1.0, 1)])
+    with pytest.raises(Exception, match="without end"):
+        scoring.reach_strength(g).collect()
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    edges = spark.createDataFrame([(f"c{i:03d}", f"c{i + 1:03d}", "ENABLES") for i in range(70)], "src string, dst string, type string")
+    got = graph.reachable(edges, spark.createDataFrame([("c000",)], "node_id string"))
+    assert {r.node_id: r.depth for r in got.collect()} == {f"c{i:03d}": i for i in range(71)}
+
+
+def test_cascade_counts_its_rounds(spark):
+    g = make(spark, [(f"k{i}", i, "x", []) for i in range(7)], [(f"k{i}", f"k{i + 1}", "ENABLES", 0.5, 1.0, i) for i in range(6)])
+    for cut in (1, 3):
+        r = scoring.cascade_scores(g, cut_every=cut)
+        assert {(x.rounds, x.converged) for x in r.collect()} == {(7, True)}
+    assert column(r, "cascade")["k5"] == 0.5
