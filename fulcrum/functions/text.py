@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Phrases that mark dependency language in grants, and the shorter list used for reviews.
+# Phrases that mark dependency language in grants, the shorter list used for abstracts, and the
+# words that mark a section as a signal in LaTeX headings and in JATS titles and types.
 GRANT_PHRASES = (
-    "in order to", "would enable", "requires", "prerequisite", "bottleneck", "limited by", "lack of", "need for", "barrier", "challenge", "to enable",
-    "hindered by", "depends on", "critical gap", "unmet need", "key limitation", "remains unknown", "not yet possible", "overcome", "essential for", "precludes", "hampered by",
+    "requires", "bottleneck", "lack of", "lacking", "challenge", "missing", "needed", "limited by", "unable to", "open question", "no existing", "absence of", "developing a", "current methods fail",
+    "barrier", "gap", "insufficient", "fundamental challenge", "critical need", "to address", "to overcome", "to enable",
 )
-REVIEW_PHRASES = ("requires", "lack of", "limited by", "bottleneck", "prerequisite", "challenge", "barrier", "would enable", "need for")
+REVIEW_PHRASES = ("requires", "bottleneck", "lack", "challenge", "missing", "needed", "limited by", "unable to", "open question")
 SIGNAL_WORDS = ("future work", "open problem", "limitation", "challenge", "conclusion", "discussion", "outlook", "unsolved", "direction")
+JATS_WORDS = ("conclusions", "conclusion", "discussion", "future", "limitations", "challenges", "outlook", "open problems", "future directions")
 
 
 def col(c: Column | str) -> Column:

@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,30 @@ from fulcrum.durable import Workspace
 from fulcrum.operators.skew import numbered, spread_join
 
 
+#: Undecided pairs (each in both directions) that one task decides by the plain scan: 32 MB of integers.
+SCAN_PAIRS = 2_000_000
+
+
+def _scan(pairs: DataFrame) -> DataFrame:
+    """``(seed)`` of at most SCAN_PAIRS pairs ``(a, b)``, both directions present: rows taken upwards, each neighbour of a seed passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+        a, b = np.concatenate([np.zeros((2, 0), np.int64), *parts], axis=1)
+        order = np.argsort(a, kind="stable")
+        rows, first = np.unique(a[order], return_index=True)
+        near = np.split(np.searchsorted(rows, b[order]), first[1:]) if len(rows) else []
+        passed = np.zeros(len(rows), bool)
+        seeds = []
+        for k, others in enumerate(near):
+            if not passed[k]:
+                seeds.append(rows[k])
+                passed[others] = True
+        yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64())], names=["seed"])
+
+    return pairs.repartition(1).mapInArrow(run, "seed long")
+
+
 def star_clusters(links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """``(seed, member, pos)`` from links ``(i, j)`` between row numbers, either order.
 
@@ -22,25 +47,32 @@ def star_clusters(links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     earlier cluster holds, with all its neighbours: seeds are the lexicographically
     first maximal independent set, clusters are stars and may overlap.  Each round
     selects every undecided row without a smaller undecided neighbour and rules
-    out its neighbours.  ``pos`` 0 is the seed, then neighbours ascending.
+    out its neighbours; once at most SCAN_PAIRS pairs are undecided, one task scans them,
+    so that a long chain of ascending rows doesn't cost a round for each of them.  Raises
+    if ``max_rounds`` rounds leave more.  ``pos`` 0 is the seed, then neighbours ascending.
     """
     work = Workspace(links.sparkSession, "stars")
-    both = links.filter("i <> j").select(F.explode(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))).alias("e")).select("e.*").distinct()
+    both = links.filter("i <> j").select(F.explode(F.array(F.struct(F.col("i").cast("long").alias("a"), F.col("j").cast("long").alias("b")), F.struct(F.col("j").cast("long").alias("a"), F.col("i").cast("long").alias("b")))).alias("e")).select("e.*").distinct()
     edges = work.put(both, "edges")
     open_edges, seeds = edges, None
-    for k in range(max_rounds):
-        chosen = work.put(open_edges.groupBy("a").agg(F.min("b").alias("m")).filter("a < m").select(F.col("a").alias("seed")), f"chosen{k}")
-        if chosen.isEmpty():
+    for _ in range(max_rounds):
+        if open_edges.count() <= SCAN_PAIRS:
             break
+        chosen = work.put(open_edges.groupBy("a").agg(F.min("b").alias("m")).filter("a < m").select(F.col("a").alias("seed")), "chosen")
         # rows whose undecided neighbours all went are seeds themselves, found below as lone rows
         out = edges.join(chosen, edges.a == chosen.seed, "left_semi").select(F.col("b").alias("x")).union(chosen.select("seed")).distinct()
-        seeds = chosen if seeds is None else work.put(seeds.union(chosen), f"seeds{k}")
-        alive = open_edges.join(out, open_edges.a == out.x, "left_anti")
-        lone = alive.select("a").distinct().join(alive.join(out, alive.b == out.x, "left_anti").select(F.col("a").alias("c")).distinct(), F.col("a") == F.col("c"), "left_anti").select(F.col("a").alias("seed"))
-        seeds = work.put(seeds.union(lone), f"lone{k}")
-        open_edges = work.put(alive.join(out, alive.b == out.x, "left_anti"), f"open{k}")
-    if seeds is None:
-        return edges.select(F.col("a").alias("seed"), F.col("b").alias("member"), F.lit(0).cast("long").alias("pos"))
+        alive = work.put(open_edges.join(out, open_edges.a == out.x, "left_anti"), "alive")
+        left = work.put(alive.join(out, alive.b == out.x, "left_anti"), "open")
+        lone = alive.select(F.col("a").alias("seed")).distinct().join(left.select(F.col("a").alias("seed")).distinct(), "seed", "left_anti")
+        seeds = work.put(chosen.union(lone) if seeds is None else seeds.union(chosen).union(lone), "seeds")
+        if open_edges is not edges:
+            work.drop(open_edges)
+        work.drop(alive)
+        open_edges = left
+    else:
+        raise RuntimeError(f"more than {SCAN_PAIRS} pairs are undecided after {max_rounds} rounds")
+    rest = _scan(open_edges)
+    seeds = work.put(rest if seeds is None else seeds.union(rest), "seeds")
     stars = edges.join(seeds, edges.a == seeds.seed).select("seed", F.col("b").alias("member")).union(seeds.select("seed", F.col("seed").alias("member")))
     return numbered(stars, "seed", [F.when(F.col("member") == F.col("seed"), F.lit(-1)).otherwise(F.col("member"))])
 
@@ -60,7 +92,7 @@ def _union_sources(clusters: DataFrame, base: DataFrame, listed: DataFrame) -> D
     return clusters.select("seed").distinct().join(merged, "seed", "left").select("seed", F.coalesce(F.transform("x", lambda e: e["s"]), F.array().cast("array<struct<source_type:string,source_id:string,evidence_quote:string>>")).alias("sources"))
 
 
-def merge_clusters(nodes: DataFrame, clusters: DataFrame, shared_lists: bool = True, max_rounds: int = 64) -> DataFrame:
+def merge_clusters(nodes: DataFrame, clusters: DataFrame, shared_lists: bool = True) -> DataFrame:
     """One merged record a cluster: ``(seed, ord, node_id, confidence, sources)`` of its base.
 
     The base has the largest confidence, the seed first among equals, then the
@@ -68,22 +100,25 @@ def merge_clusters(nodes: DataFrame, clusters: DataFrame, shared_lists: bool = T
     share the base's node id add none.  With ``shared_lists`` a merge changes its
     base's own list, so a base that is a member of a later cluster carries the
     earlier union along, as the original system's results do; without it every
-    merge sees the original lists.
+    merge sees the original lists.  Rounds go on until no list changes, which takes as
+    many as the longest run of clusters that are each based on the next one's member.
+    A merged record holds its sources in one row, as the record type has it.
     """
     work = Workspace(nodes.sparkSession, "merge")
     members = clusters.join(nodes.select(F.col("ord").alias("member"), "node_id", F.coalesce("confidence", F.lit(float("-inf"))).alias("confidence"), "sources"), "member")
     members = work.put(members, "members")
     base = work.put(members.groupBy("seed").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "pos", "member", "node_id")).alias("b")).select("seed", F.col("b.member").alias("base_row"), F.col("b.pos").alias("base_pos"), F.col("b.node_id").alias("node_id"), (-F.col("b.c")).alias("confidence")), "base")
     lists = work.put(_union_sources(clusters, base, members.select("seed", "pos", "node_id", "sources")), "lists0")
-    for k in range(1, max_rounds if shared_lists else 1):
-        # what each member carried when its cluster was merged: the union of the last earlier cluster based on it
-        carried = members.select("seed", "pos", "member").join(base.select(F.col("base_row").alias("member"), F.col("seed").alias("earlier")), "member").filter("earlier < seed").groupBy("seed", "pos").agg(F.max("earlier").alias("earlier"))
+    # what each member carried when its cluster was merged: the union of the last earlier cluster based on it
+    carried = members.select("seed", "pos", "member").join(base.select(F.col("base_row").alias("member"), F.col("seed").alias("earlier")), "member").filter("earlier < seed").groupBy("seed", "pos").agg(F.max("earlier").alias("earlier"))
+    carried = work.put(carried, "carried")
+    same = not shared_lists or carried.isEmpty()
+    while not same:
         seen = members.join(carried, ["seed", "pos"], "left").join(lists.select(F.col("seed").alias("earlier"), F.col("sources").alias("grown")), "earlier", "left")
-        again = work.put(_union_sources(clusters, base, seen.select("seed", "pos", "node_id", F.coalesce("grown", "sources").alias("sources"))), f"lists{k}")
+        again = work.put(_union_sources(clusters, base, seen.select("seed", "pos", "node_id", F.coalesce("grown", "sources").alias("sources"))), "lists")
         same = again.join(lists.withColumnRenamed("sources", "old"), "seed").filter("sources <> old").isEmpty()
+        work.drop(lists)
         lists = again
-        if same:
-            break
     return base.join(lists, "seed").select("seed", F.col("base_row").alias("ord"), "node_id", F.when(F.col("confidence") > float("-inf"), F.col("confidence")).alias("confidence"), "sources")
 
 
@@ -105,10 +140,10 @@ def id_map(nodes: DataFrame, clusters: DataFrame, merged: DataFrame) -> DataFram
 
 
 def remap_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges with both ends rewritten; ends without a new id stay."""
-    out = edges
+    """Edges with both ends rewritten; ends without a new id stay.  An end that very many edges share is spread."""
+    out, rows = edges, edges.count()
     for end in ("source_node_id", "target_node_id"):
-        out = out.join(ids.select(F.col("old_id").alias(end), F.col("new_id").alias("_new")), end, "left").withColumn(end, F.coalesce("_new", end)).drop("_new")
+        out = spread_join(out, ids.select(F.col("old_id").alias(end), F.col("new_id").alias("_new")), end, rows).withColumn(end, F.coalesce("_new", end)).drop("_new")
     return out.select(*edges.columns)
 
 

@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from fulcrum.functions.text import REVIEW_PHRASES, clamp_title, or_else, strip
 from fulcrum.schemas import EDGE_TYPES, GRANULARITIES, NODE_TYPES
 
-# The prompt limit of section texts, the quote limit.
-PASS1_LETTERS, QUOTE_LETTERS = 6_000, 500
+# The prompt limits of the two passes, the quote limit.
+PASS1_LETTERS, PASS2_LETTERS, QUOTE_LETTERS = 6_000, 4_000, 500
+# What a stub's description says around its title.
+STUB_BEFORE, STUB_AFTER = "Stub node: cross-field reference to '", "'. To be resolved by graph construction."
 _BREAKS = (re.compile(r"(?<=[.!?])\s+"), re.compile(r"\s+"))
 NodeExtractor = Callable[[str], list[dict]]
 EdgeExtractor = Callable[[str, list[str]], list[dict]]
@@ -50,7 +52,7 @@ def rule_nodes(text: str) -> list[dict]:
     for s in re.split(r"(?<=[.!?])\s+", text):
         hit = next((p for p in REVIEW_PHRASES if p in s.lower()), None)
         if hit and len(s) > 20:
-            kind = {"bottleneck": "engineering_bottleneck", "lack of": "data_gap"}.get(hit, "capability_gap")
+            kind = {"bottleneck": "engineering_bottleneck", "lack": "data_gap", "missing": "data_gap"}.get(hit, "capability_gap")
             out.append({"type": kind, "granularity": "L2", "title": s.rstrip(".!?"), "description": s, "confidence": 0.6, "evidence_quote": s})
     return out
 
@@ -151,7 +153,7 @@ def resolve_titles(raw_edges: DataFrame, nodes: DataFrame, group: str = "doc_id"
     first = F.min(F.struct("n", "side", "title", "is_new"))
     stubs = mentions.join(known, [group, "key"], "left_anti").groupBy(group, "key").agg(first.alias("f"))
     stub_id = F.concat(F.lit("temp_"), F.substring(F.sha2(F.concat_ws("\u0001", F.col(group).cast("string"), "key"), 256), 1, 16))
-    stubs = stubs.select(group, "key", stub_id.alias("node_id"), F.left("f.title", F.lit(200)).alias("title"), F.col("f.n").alias("first_n"), F.col("f.side").alias("first_side"), F.coalesce("f.is_new", F.lit(False)).alias("cross_field_ref"))
+    stubs = stubs.select(group, "key", stub_id.alias("node_id"), F.left("f.title", F.lit(200)).alias("title"), F.col("f.title").alias("full_title"), F.col("f.n").alias("first_n"), F.col("f.side").alias("first_side"), F.coalesce("f.is_new", F.lit(False)).alias("cross_field_ref"))
     ids = known.unionByName(stubs.select(group, "key", "node_id"))
     src, dst = (ids.select(group, F.col("key").alias(k), F.col("node_id").alias(c)) for k, c in (("_s", "source_node_id"), ("_t", "target_node_id")))
     placed = named.withColumns({"_s": F.lower("source_title"), "_t": F.lower("target_title")}).join(src, [group, "_s"]).join(dst, [group, "_t"]).drop("_s", "_t")
@@ -159,13 +161,43 @@ def resolve_titles(raw_edges: DataFrame, nodes: DataFrame, group: str = "doc_id"
 
 
 def stub_nodes(stubs: DataFrame) -> DataFrame:
-    """Full node columns of stubs."""
+    """Full node columns of stubs; the description names the whole title."""
     return stubs.select(
-        "node_id", F.lit("capability_gap").alias("type"), F.lit("L1").alias("granularity"), "title", F.concat(F.lit("Referenced in edge extraction: "), "title").alias("description"),
+        "node_id", F.lit("capability_gap").alias("type"), F.lit("L1").alias("granularity"), "title", F.concat(F.lit(STUB_BEFORE), "full_title", F.lit(STUB_AFTER)).alias("description"),
         F.lit(0.5).alias("confidence"), "cross_field_ref", F.lit("llm_extracted").alias("extraction_method"),
     )
 
 
+def node_bag(stubs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(doc_id, turn, place, side, node_id, title)``: of every document first its stubs by first mention, then its nodes in order."""
+    made = stubs.select("doc_id", F.lit(0).alias("turn"), F.col("first_n").alias("place"), F.col("first_side").alias("side"), "node_id", "title")
+    return made.unionByName(nodes.select("doc_id", F.lit(1).alias("turn"), F.col("n").alias("place"), F.lit(0).alias("side"), "node_id", "title"))
+
+
+def node_objects(text: F.Column) -> F.Column:  # type: ignore[name-defined]
+    """The JSON object in a model's answer, from its first ``{`` to its last ``}``; null without one."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def nodes_of_answers(answers: DataFrame, source_type: str = "paper") -> tuple[DataFrame, DataFrame]:
+    """Nodes with one source reference from ``(doc_id, answer)``, and the rejects with their text.
+
+    The answer's object holds ``nodes``.  A missing confidence is 0.7, a null or unreadable
+    one rejects the node, as do unknown types and levels and missing texts; quotes are cut
+    at 500 letters.  Answers without an object hold no nodes and are rejects too.
+    """
+    raw = "type string, granularity string, title string, description string, fields array<string>, confidence string, evidence_quote string, suggested_parent string"
+    parsed = answers.withColumn("_j", node_objects(F.col("answer")))
+    items = parsed.select("doc_id", "answer", F.posexplode_outer(F.from_json(F.get_json_object("_j", "$.nodes"), "array<string>")).alias("n", "item"))
+    rows = items.withColumn("r", F.from_json("item", raw)).withColumn("has", F.array_contains(F.json_object_keys("item"), "confidence"))
+    confidence = F.when(F.col("has"), F.expr("try_cast(r.confidence AS double)")).otherwise(0.7)
+    sound = F.col("r.type").isin(*NODE_TYPES) & F.col("r.granularity").isin(*GRANULARITIES) & F.col("r.title").isNotNull() & F.col("r.description").isNotNull() & confidence.isNotNull()
+    ref = F.array(F.struct(F.lit(source_type).alias("source_type"), F.col("doc_id").alias("source_id"), F.left(F.coalesce("r.evidence_quote", F.lit("")), F.lit(QUOTE_LETTERS)).alias("evidence_quote")))
+    marked = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
+    good = marked.filter("sound").select("doc_id", "n", "r.type", "r.granularity", clamp_title("r.title").alias("title"), "r.description", F.coalesce("r.fields", F.array().cast("array<string>")).alias("fields"), confidence.alias("confidence"), ref.alias("sources"), "r.suggested_parent")
+    return good, marked.filter("NOT sound").select("doc_id", "n", F.coalesce("item", "answer").alias("rejected"))
+
+
 def source_id(doi: str = "doi", other: str = "id") -> F.Column:  # type: ignore[name-defined]
     """A record's provenance id: the DOI unless empty."""
     return or_else(doi, F.col(other))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fulcrum.durable import Workspace
 from fulcrum.functions.numbers import min_max
+from fulcrum.operators.skew import spread_join
 
 WEAK_EDGE = 0.15
 #: Yearly decay of confidence without a new confirmation; no rate is prescribed, this one halves it in about two years.
@@ -34,20 +35,38 @@ def permanent_ids(nodes: DataFrame, prefix: str = "p_") -> DataFrame:
     return nodes.select(F.col("node_id").alias("old_id")).filter("old_id IS NOT NULL").distinct().withColumn("new_id", F.concat(F.lit(prefix), F.substring(F.sha2("old_id", 256), 1, 20)))
 
 
-def hierarchy(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
-    """``(node_id, root_id, depth)`` up the parents; nodes without a known parent are roots, cycles end at ``max_depth``."""
+def hierarchy(nodes: DataFrame) -> DataFrame:
+    """``(node_id, root_id, depth)`` up the parents; nodes without a known parent are roots.
+
+    Each round doubles the distance that every node looks up, so a chain of n nodes
+    takes about log2(n) rounds.  Nodes on or below a cycle of parents have no root: both
+    are null.  Nodes that have arrived at a root take no further part, and an ancestor of
+    very many nodes is spread.
+    """
     work = Workspace(nodes.sparkSession, "hierarchy")
     up = nodes.filter("node_id IS NOT NULL").groupBy("node_id").agg(F.max_by("parent_id", "ord").alias("parent_id"))
-    up = work.put(up.join(up.select(F.col("node_id").alias("parent_id"), F.lit(True).alias("known")), "parent_id", "left").select("node_id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id")), "up")
-    at = work.put(up.select("node_id", F.col("node_id").alias("root_id"), F.lit(0).alias("depth"), F.col("parent_id").alias("next")), "at0")
-    links = up.filter("parent_id IS NOT NULL").select(F.col("node_id").alias("next"), F.col("parent_id").alias("after"))
-    for k in range(1, max_depth + 1):
-        moving = at.filter("next IS NOT NULL")
-        if moving.isEmpty():
+    rows = up.count()
+    known = up.select(F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
+    up = work.put(spread_join(up, known, "parent_id", rows).select("node_id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id")), "up")
+    roots = up.filter("parent_id IS NULL").select("node_id", F.col("node_id").alias("root_id"), F.lit(0).cast("long").alias("depth"))
+    done = [roots]
+    moving = work.put(up.filter("parent_id IS NOT NULL").select("node_id", F.col("parent_id").alias("at"), F.lit(1).cast("long").alias("depth")), "moving")
+    reach = 1
+    while not moving.isEmpty():
+        if reach > rows:
+            done.append(moving.select("node_id", F.lit(None).cast("string").alias("root_id"), F.lit(None).cast("long").alias("depth")))
             break
-        moved = moving.join(links, "next", "left").select("node_id", F.col("next").alias("root_id"), (F.col("depth") + 1).alias("depth"), F.col("after").alias("next"))
-        at = work.put(at.filter("next IS NULL").unionByName(moved), f"at{k}")
-    return at.select("node_id", "root_id", "depth")
+        # an ancestor that moves on itself is replaced by its own; the others are roots
+        further = moving.select(F.col("node_id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
+        met = work.put(spread_join(moving, further, "at", rows), "met")
+        done.append(met.filter("next IS NULL").select("node_id", F.col("at").alias("root_id"), "depth"))
+        work.drop(moving)
+        moving = work.put(met.filter("next IS NOT NULL").select("node_id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth")), "moving")
+        reach *= 2
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select("node_id", "root_id", F.col("depth").cast("int").alias("depth"))
 
 
 def decayed_confidence(nodes: DataFrame, as_of: str, rate: float = DECAY_PER_YEAR) -> DataFrame:

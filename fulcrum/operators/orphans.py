@@ -8,6 +8,8 @@ new.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,22 +67,24 @@ def direct_orphans(references: DataFrame, known: DataFrame, rows: int) -> DataFr
     return joined.groupBy("table_name", "record_id", "side").agg(F.min_by(F.struct("ref_id", "period", "kind"), order).alias("r")).select("table_name", "record_id", "side", "r.ref_id", "r.period", "r.kind")
 
 
-def orphaned_nodes(parents: DataFrame, direct: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+def orphaned_nodes(parents: DataFrame, direct: DataFrame) -> DataFrame:
     """``(ref_id, depth)``: nodes whose parent is orphaned for good (depth 1), whose grandparent is (2), and so on.
 
     Late parents arrive in the end and pass nothing on.  A cycle of parents is
-    entered once.
+    entered once.  Rounds end when one finds nothing new.
     """
     work = Workspace(parents.sparkSession, "orphans")
     links = work.put(parents.select("record_id", "ref_id"), "links")
     found = work.put(direct.filter("table_name = 'nodes' AND kind <> 'late'").select(F.col("record_id").alias("ref_id"), F.lit(1).alias("depth")).distinct(), "found0")
     front = found
-    for depth in range(2, max_rounds):
+    for depth in count(2):
         step = links.join(front.select("ref_id"), "ref_id", "left_semi").select(F.col("record_id").alias("ref_id")).distinct().join(found.select("ref_id"), "ref_id", "left_anti").withColumn("depth", F.lit(depth))
         front = work.put(step, f"front{depth}")
         if front.isEmpty():
             break
-        found = work.put(found.unionByName(front), f"found{depth}")
+        found = found.unionByName(front)
+        if depth % 20 == 0:  # many levels are gathered in one table, so that plans stay short
+            found = work.put(found, "found")
     return found
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fulcrum.functions.text import SIGNAL_WORDS, col, collapse, is_signal_title
+from fulcrum.functions.text import JATS_WORDS, col, collapse, is_signal_title
 
 HEADING = r"(?i)\\(?:sub)*section\*?\{([^}]*)\}"
 LEAST_LETTERS = 100
@@ -88,7 +88,7 @@ def jats_of(xml: str) -> list[tuple[str, str]]:
     for sec in (e for e in root.iter() if local(e) == "sec"):
         title = next((" ".join("".join(c.itertext()).split()) for c in sec if local(c) == "title"), "")
         kind = sec.get("sec-type") or ""
-        if any(w in x.lower() for w in SIGNAL_WORDS for x in (title, kind)):
+        if any(w in x.lower() for w in JATS_WORDS for x in (title, kind)):
             text = " ".join(" ".join("".join(p.itertext()) for p in sec.iter() if local(p) == "p").split())
             if len(text) > LEAST_LETTERS:
                 out[title or kind] = text

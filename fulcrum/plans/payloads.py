@@ -48,32 +48,51 @@ def prj02_works(spark: SparkSession, d: str) -> DataFrame:
     return w.select("id", "title", "year", "cited_by_count", "is_review", "oa_url", F.size("fields").cast("long").alias("n_fields"))
 
 
-@query(f"SELECT id, {_COLLAPSE.format('title')} AS title, year FROM (SELECT id, r.* FROM ({_NEWEST})) WHERE NOT contains(title, '<') AND NOT contains(title, '&')")
+_ESCAPED = "replace(replace(title, '&', '&amp;'), '<', '&lt;')"
+
+
+def _escaped(c: str) -> F.Column:  # type: ignore[name-defined]
+    return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+@query(f"SELECT id, {_COLLAPSE.format(_ESCAPED)} AS title, {_COLLAPSE.format(_ESCAPED.replace('title', 'coalesce(abstract, chr(32))'))} AS abstract, year FROM (SELECT id, r.* FROM ({_NEWEST}))")
 def prj03_src04_atom(spark: SparkSession, d: str) -> DataFrame:
-    """Papers as a preprint feed, one entry a page, parsed again."""
-    p = _newest_papers(spark, d).filter("NOT contains(title, '<') AND NOT contains(title, '&')")
-    page = F.concat(F.lit("<feed>\n<entry><id>http://x/abs/"), "id", F.lit("</id><title type='text'>\n"), "title", F.lit("\n</title><summary> s </summary><published>"), F.coalesce(F.col("year").cast("string"), F.lit("none")), F.lit("-01-01</published></entry></feed>"))
-    return readers.read_atom(p.select(page.alias("value"))).select("id", "title", "year")
+    """Papers as a preprint feed, one entry a page, parsed again; escapes stay as they stand in the feed."""
+    p = _newest_papers(spark, d)
+    page = F.concat(F.lit("<feed>\n<entry><id>http://x/abs/"), "id", F.lit("</id><title type='text'>\n"), _escaped("title"), F.lit("\n</title><summary> "), _escaped(F.coalesce("abstract", F.lit(" "))), F.lit(" </summary><published>"), F.coalesce(F.col("year").cast("string"), F.lit("none")), F.lit("-01-01</published></entry></feed>"))
+    return readers.read_atom(p.select(page.alias("value"))).select("id", "title", "abstract", "year")
 
 
-@query(f"SELECT id, {_COLLAPSE.format('title')} AS title, year, is_review, nullif(doi, '') AS doi FROM (SELECT id, r.* FROM ({_NEWEST})) WHERE NOT contains(title, '<') AND NOT contains(title, '&')")
+@query(f"SELECT id, {_COLLAPSE.format('title')} AS title, year, is_review, nullif(doi, '') AS doi, len(coalesce(fields, []))::INT AS n_fields FROM (SELECT id, r.* FROM ({_NEWEST}))")
 def prj04_src06_articles(spark: SparkSession, d: str) -> DataFrame:
     """Papers as article sets in XML, parsed by XPath."""
-    p = _newest_papers(spark, d).filter("NOT contains(title, '<') AND NOT contains(title, '&')")
+    p = _newest_papers(spark, d)
     year = F.coalesce(F.concat(F.lit("<PubDate><Year>"), F.col("year").cast("string"), F.lit("</Year></PubDate>")), F.lit(""))
-    doi = F.coalesce(F.concat(F.lit("<ArticleId IdType='doi'>"), "doi", F.lit("</ArticleId>")), F.lit(""))
-    xml = F.concat(F.lit("<S><PubmedArticle><PMID>"), "id", F.lit("</PMID><ArticleTitle>"), "title", F.lit("</ArticleTitle>"), year, doi, F.when(F.col("is_review"), "<PublicationType>Systematic Review</PublicationType>").otherwise(""), F.lit("</PubmedArticle></S>"))
-    return readers.read_article_sets(p.select(xml.alias("value"))).select("id", "title", "year", "is_review", "doi")
+    doi = F.coalesce(F.concat(F.lit("<ArticleId IdType='doi'>"), _escaped("doi"), F.lit("</ArticleId>")), F.lit(""))
+    headings = F.array_join(F.transform(F.coalesce("fields", F.array().cast("array<string>")), lambda f: F.concat(F.lit("<MeshHeading><DescriptorName>"), _escaped(f), F.lit("</DescriptorName></MeshHeading>"))), "")
+    xml = F.concat(F.lit("<S><PubmedArticle><PMID>"), "id", F.lit("</PMID><ArticleTitle>"), _escaped("title"), F.lit("</ArticleTitle>"), year, doi, headings, F.when(F.col("is_review"), "<PublicationType>Systematic Review</PublicationType>").otherwise(""), F.lit("</PubmedArticle></S>"))
+    return readers.read_article_sets(p.select(xml.alias("value"))).select("id", "title", "year", "is_review", "doi", F.size("fields").alias("n_fields"))
+
+
+_AWARD = "SELECT id, trim(title) AS title, year, amount, '{0}' AS source FROM grants WHERE source = '{0}' AND trim(abstract, chr(9) || chr(10) || chr(13) || ' ') <> ''"
 
 
-@query("SELECT id, trim(title) AS title, year, amount, 'nsf' AS source FROM grants WHERE source = 'nsf' AND trim(abstract, chr(9) || chr(10) || chr(13) || ' ') <> ''")
+@query(_AWARD.format("nsf"))
 def prj10_awards(spark: SparkSession, d: str) -> DataFrame:
-    """Grants of one agency as raw awards in JSON, with the date as MM/DD/YYYY and the amount as text, parsed again."""
+    """Grants of agency A as raw awards in JSON, with the date as MM/DD/YYYY and the amount as text, parsed again."""
     g = table(spark, d, "grants").filter("source = 'nsf'")
     raw = g.select(F.to_json(F.struct("id", "title", F.col("abstract").alias("abstractText"), "agency", F.col("amount").cast("string").alias("fundsObligatedAmt"), F.concat(F.lit("07/01/"), F.col("year").cast("string")).alias("date"))).alias("j"))
     return readers.awards_a_to_grants(raw.select(F.from_json("j", readers.AWARD_A).alias("a")).select("a.*")).select("id", "title", "year", "amount", "source")
 
 
+@query(_AWARD.format("nih"))
+def prj10_awards_b(spark: SparkSession, d: str) -> DataFrame:
+    """Grants of agency B as raw projects in JSON, parsed again."""
+    g = table(spark, d, "grants").filter("source = 'nih'")
+    raw = g.select(F.to_json(F.struct(F.col("id").alias("project_num"), F.col("title").alias("project_title"), F.col("abstract").alias("abstract_text"), F.struct(F.col("agency").alias("name")).alias("agency_ic_admin"), F.col("year").alias("fiscal_year"), F.col("amount").cast("string").alias("award_amount"))).alias("j"))
+    return readers.awards_b_to_grants(raw.select(F.from_json("j", readers.AWARD_B).alias("b")).select("b.*")).select("id", "title", "year", "amount", "source")
+
+
 @query("SELECT doc_id, 'Limitations' AS title, length(body)::INT AS n_letters FROM (SELECT doc_id, " + _COLLAPSE.format("regexp_replace(text, '[\\\\{}]', ' ', 'g')") + " AS body FROM documents WHERE text IS NOT NULL) WHERE length(body) > 100")
 def prj06_latex(spark: SparkSession, d: str) -> DataFrame:
     """Every document as the body of a LaTeX section between two that are no signals."""
@@ -145,9 +164,8 @@ def dg14_vector_search(spark: SparkSession, d: str) -> DataFrame:
     return similarity.nearest(v.filter("vec_id % 50 = 0"), v, 5, "vec_id").select("id", "rank", "match")
 
 
-@query(f"SELECT id, substr({_COLLAPSE.format('lower(title)')}, 1, 60) AS key FROM papers WHERE id IN (SELECT id FROM papers GROUP BY id HAVING count(*) > 1)")
-def set07_repeated_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Papers whose id comes more than once, with their collapsed title key."""
-    p = table(spark, d, "papers").select("id", "title")
-    again = p.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
-    return p.join(again, "id", "left_semi").select("id", F.substring(tx.collapse(F.lower("title")), 1, 60).alias("key"))
+@query("SELECT source_node_id, target_node_id, type, count(*) AS n, min(ord) AS kept FROM edges WHERE source_node_id IS NOT NULL AND target_node_id IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1")
+def set07_repeated_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that come more than once for source, target and type, and the row that is kept."""
+    e = table(spark, d, "edges").filter("source_node_id IS NOT NULL AND target_node_id IS NOT NULL")
+    return e.groupBy("source_node_id", "target_node_id", "type").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("kept")).filter("n > 1")

@@ -18,10 +18,6 @@ from fulcrum.sources import readers, sinks
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-# Words that do occur in the corpus, to count like dependency phrases.
-CORPUS_PHRASES = ("remains unclear", "prerequisite", "limited by", "no accepted protocol", "cannot be", "would enable", "open question", "poorly understood")
-
-
 def query(sql: str | None = None):  # noqa: ANN201
     def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
@@ -44,14 +40,12 @@ _WORDS = "CASE WHEN trim(regexp_replace({0}, '[\\s\\pZ\\x0B\\x85]+', ' ', 'g'))
 
 @query("SELECT id, cited_by_count FROM papers WHERE is_review QUALIFY row_number() OVER (ORDER BY cited_by_count DESC, id, ingested_at) <= 50")
 def src01_reviews(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "papers")
-    return p.filter("is_review").orderBy(F.desc("cited_by_count"), "id", "ingested_at").limit(50).select("id", "cited_by_count")
+    return readers.reviews(table(spark, d, "papers"), 50).select("id", "cited_by_count")
 
 
 @query("SELECT id, cited_by_count FROM papers WHERE NOT is_review AND cited_by_count > 20 QUALIFY row_number() OVER (ORDER BY cited_by_count DESC, id, ingested_at) <= 50")
 def src02_top_cited(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "papers")
-    return p.filter(~F.col("is_review") & (F.col("cited_by_count") > 20)).orderBy(F.desc("cited_by_count"), "id", "ingested_at").limit(50).select("id", "cited_by_count")
+    return readers.top_cited(table(spark, d, "papers"), 50).select("id", "cited_by_count")
 
 
 @query("SELECT field_tag, label FROM field_taxonomy WHERE contains(lower(label), 'learning') ORDER BY field_tag LIMIT 10")
@@ -75,6 +69,34 @@ def src11_grants_b(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "grants").filter((F.col("source") == "nih") & F.col("year").between(2022, 2024) & (tx.strip("abstract") != "")).select("id", "year", "amount")
 
 
+_TERM_ROWS = f"""WITH t AS (SELECT unnest({[*readers.TERMS["ai_ml"]]!r}) AS term, unnest([0, 1, 2]) AS code_pos),
+r AS (SELECT t.code_pos, g.id, g.abstract, row_number() OVER (PARTITION BY t.code_pos ORDER BY g.ingested_at, g.id) AS n FROM t JOIN grants g ON contains(lower(g.title || ' ' || coalesce(g.abstract, '')), t.term) WHERE g.source = 'nih' AND g.year BETWEEN 2022 AND 2024)
+SELECT code_pos::INT AS code_pos, id FROM r WHERE n <= 15 AND {_strip_sql("coalesce(abstract, '')")} <> '' ORDER BY code_pos, n LIMIT 20"""
+
+
+@query(_TERM_ROWS)
+def src11_grants_b_by_term(spark: SparkSession, d: str) -> DataFrame:
+    """Agency B asked by the search terms of one field: 15 rows a term, blank abstracts dropped, 20 in all."""
+    g = table(spark, d, "grants").filter((F.col("source") == "nih") & F.col("year").isin(*readers.YEARS_B))
+    by = F.lower(F.concat_ws(" ", "title", "abstract")).contains(F.col("code"))
+    return readers.grants_by_code(g, list(readers.TERMS["ai_ml"]), by, [F.col("ingested_at"), F.col("id")], readers.PAGE_B, 20).select("code_pos", "id")
+
+
+@query("SELECT id FROM papers WHERE source = 'arxiv' ORDER BY ingested_at, id LIMIT 5")
+def flt13_first_preprints(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "papers").filter("source = 'arxiv'").orderBy("ingested_at", "id").limit(5).select("id")
+
+
+_CODES = ", ".join(f"('{f}', '{k}', {n}, '{c}')" for k, codes in (("topic", readers.TOPICS), ("category", readers.CATEGORIES), ("programme", readers.PROGRAMMES), ("term", readers.TERMS)) for f, cs in codes.items() for n, c in enumerate(cs))
+
+
+@query(f"SELECT field, kind, count(*) AS n, string_agg(code, '|' ORDER BY pos) AS codes FROM (VALUES {_CODES}) t(field, kind, pos, code) GROUP BY 1, 2")
+def src16_field_codes(spark: SparkSession, d: str) -> DataFrame:
+    """What each field is asked by at each kind of source."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda e: e["code"])  # a constant dimension
+    return readers.field_codes(spark).groupBy("field", "kind").agg(F.count(F.lit(1)).alias("n"), F.array_join(listed, "|").alias("codes"))
+
+
 _NODE_OK = "type IN ('knowledge_gap', 'capability_gap', 'data_gap', 'infrastructure_gap', 'theoretical_gap', 'engineering_bottleneck') AND granularity IN ('L0', 'L1', 'L2', 'L3') AND title IS NOT NULL AND description IS NOT NULL AND coalesce(status, 'open') IN ('open', 'partially_resolved', 'resolved', 'obsolete') AND coalesce(extraction_method, 'llm_extracted') IN ('llm_extracted', 'citation_inferred', 'pattern_matched', 'expert_curated') AND len(list_filter(coalesce(sources, []), lambda s: s IS NULL OR s.source_type IS NULL OR s.source_type NOT IN ('paper', 'patent', 'grant', 'curated_list'))) = 0"
 
 
@@ -126,21 +148,22 @@ def prj09_safe_number(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", tx.safe_double(F.get_json_object("props", "$.k")).alias("k"))
 
 
-@query("SELECT ord, substr(coalesce(description, ''), 1, 400) AS head FROM nodes")
+@query("SELECT doc_id, md5(substr(coalesce(text, ''), 1, 6000)) AS pass1, md5(substr(coalesce(text, ''), 1, 4000)) AS pass2 FROM documents")
 def prj14_truncated(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nodes").select("ord", F.left(F.coalesce("description", F.lit("")), F.lit(400)).alias("head"))
+    """What a remote model with the two prompt limits would get of each text."""
+    cut = lambda n: F.md5(F.left(F.coalesce("text", F.lit("")), F.lit(n)))
+    return table(spark, d, "documents").select("doc_id", cut(extract.PASS1_LETTERS).alias("pass1"), cut(extract.PASS2_LETTERS).alias("pass2"))
 
 
 _CTX = "SELECT s.source_id AS doc_id, n.ord, n.title, n.type FROM (SELECT arg_max(struct_pack(s := sources), ingested_at).s AS sources, min(ord) AS ord, any_value(title) AS title, any_value(type) AS type FROM nodes GROUP BY node_id) n, unnest(n.sources) t(s) WHERE s.source_type = 'paper' AND s.source_id IS NOT NULL"
 
 
-@query(f"SELECT doc_id, string_agg('- ' || title || ' (' || type || ')', chr(10) ORDER BY ord, title) AS context, count(*) AS n FROM (SELECT DISTINCT * FROM ({_CTX})) GROUP BY 1")
+@query(f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord, title) - 1 AS pos, '- ' || title || ' (' || type || ')' AS line FROM (SELECT DISTINCT * FROM ({_CTX}))")
 def prj16_contexts(spark: SparkSession, d: str) -> DataFrame:
-    """The bullet list of the nodes drawn from each paper."""
+    """The bullet list of the nodes drawn from each paper, a line a row: a paper may be the source of a large part of all nodes."""
     once = table(spark, d, "nodes").groupBy("node_id").agg(F.max_by("sources", "ingested_at").alias("sources"), F.min("ord").alias("ord"), F.first("title").alias("title"), F.first("type").alias("type"))
     rows = once.select(F.explode("sources").alias("s"), "ord", "title", "type").filter("s.source_type = 'paper' AND s.source_id IS NOT NULL").select(F.col("s.source_id").alias("doc_id"), "ord", "title", "type").distinct()
-    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "title", "type"))).alias("x"))
-    return listed.select("doc_id", F.array_join(F.transform("x", lambda e: F.concat(F.lit("- "), e["title"], F.lit(" ("), e["type"], F.lit(")"))), "\n").alias("context"), F.size("x").cast("long").alias("n"))
+    return numbered(rows, "doc_id", [F.col("ord"), F.col("title")]).select("doc_id", "pos", F.concat(F.lit("- "), "title", F.lit(" ("), "type", F.lit(")")).alias("line"))
 
 
 @query("SELECT DISTINCT id, coalesce(nullif(doi, ''), id) AS source_id FROM papers")
@@ -153,9 +176,9 @@ def prj18_embedding_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nodes").select("ord", F.concat("title", F.lit(". "), F.coalesce("description", F.lit(""))).alias("embedding_text"))
 
 
-@query("SELECT ord, CASE WHEN length(title) > 100 THEN substr(title, 1, 97) || '...' ELSE title END AS title FROM nodes")
+@query("SELECT ord, CASE WHEN length(title) > 200 THEN substr(title, 1, 197) || '...' ELSE title END AS title FROM nodes")
 def prj19_clamped_titles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nodes").select("ord", tx.clamp_title("title", 100).alias("title"))
+    return table(spark, d, "nodes").select("ord", tx.clamp_title("title").alias("title"))
 
 
 @query("WITH t AS (SELECT node_id, arg_max(title, ord) AS title FROM nodes WHERE node_id IS NOT NULL GROUP BY 1) SELECT e.ord, coalesce(a.title, e.source_node_id) AS source, coalesce(b.title, e.target_node_id) AS target FROM edges e LEFT JOIN t a ON a.node_id = e.source_node_id LEFT JOIN t b ON b.node_id = e.target_node_id")
@@ -196,18 +219,20 @@ def flt16_strong_edges(spark: SparkSession, d: str) -> DataFrame:
 # --- aggregates, windows, ranking ---
 
 
-def _phrase_sql(c: str) -> str:
-    return " OR ".join(f"contains(lower(coalesce({c}, '')), '{p}')" for p in CORPUS_PHRASES)
+_ABSTRACTS = "SELECT abstract AS text FROM grants UNION ALL SELECT text FROM documents WHERE doc_kind ILIKE '%grant%'"
+_ANY_WORD = " OR ".join(f"contains(lower(coalesce(abstract, '')), '{p}')" for p in tx.REVIEW_PHRASES)
 
 
-@query(" UNION ALL ".join(f"SELECT '{p}' AS phrase, count(*) AS n FROM documents WHERE contains(lower(text), '{p}') HAVING count(*) > 0" for p in CORPUS_PHRASES))
+@query(" UNION ALL ".join(f"SELECT '{p}' AS phrase, count(*) AS n FROM ({_ABSTRACTS}) WHERE contains(lower(text), '{p}') HAVING count(*) > 0" for p in tx.GRANT_PHRASES))
 def agg14_phrase_counts(spark: SparkSession, d: str) -> DataFrame:
-    return basics.phrase_counts(table(spark, d, "documents"), "text", CORPUS_PHRASES)
+    """Grant abstracts, from both tables that hold any, per phrase."""
+    texts = table(spark, d, "grants").select(F.col("abstract").alias("text")).unionByName(table(spark, d, "documents").filter(F.col("doc_kind").ilike("%grant%")).select("text"))
+    return basics.phrase_counts(texts, "text", tx.GRANT_PHRASES)
 
 
-@query(f"SELECT count(*) AS n_texts, count(*) FILTER (WHERE {_phrase_sql('text')}) AS n_hits, 100 * count(*) FILTER (WHERE {_phrase_sql('text')}) // greatest(count(*), 1) AS pct FROM documents")
+@query(f"SELECT count(*) AS n_texts, count(*) FILTER (WHERE {_ANY_WORD}) AS n_hits, 100 * count(*) FILTER (WHERE {_ANY_WORD}) // greatest(count(*), 1) AS pct FROM papers")
 def agg15_phrase_rate(spark: SparkSession, d: str) -> DataFrame:
-    return basics.phrase_hit_rate(table(spark, d, "documents"), "text", CORPUS_PHRASES)
+    return basics.phrase_hit_rate(table(spark, d, "papers"), "abstract", tx.REVIEW_PHRASES)
 
 
 @query(f"SELECT source, count(*) AS n, count(*) FILTER (WHERE t) AS with_text, 100 * count(*) FILTER (WHERE t) // greatest(count(*), 1) AS pct, (coalesce(sum(w) FILTER (WHERE t), 0) // greatest(count(*) FILTER (WHERE t), 1))::BIGINT AS avg_words FROM (SELECT source, {_strip_sql('coalesce(abstract, chr(32))')} <> '' AS t, {_WORDS.format('coalesce(abstract, chr(32))')} AS w FROM papers) GROUP BY 1")
@@ -249,9 +274,9 @@ def srt08_top_per_type(spark: SparkSession, d: str) -> DataFrame:
     return basics.top_per_group(n, "type", [F.desc("confidence"), F.col("node_id")], 5).select("type", F.col("rank").alias("confidence_rank"), "node_id")
 
 
-@query("SELECT phrase, n FROM (" + SQL["agg14_phrase_counts"] + ") ORDER BY n DESC, phrase LIMIT 3")
+@query("SELECT phrase, n FROM (" + SQL["agg14_phrase_counts"] + ") ORDER BY n DESC, phrase LIMIT 10")
 def srt06_top_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return agg14_phrase_counts(spark, d).orderBy(F.desc("n"), "phrase").limit(3)
+    return agg14_phrase_counts(spark, d).orderBy(F.desc("n"), "phrase").limit(10)
 
 
 @query("SELECT source, count(*) AS n FROM (SELECT source FROM papers UNION ALL SELECT source FROM grants) GROUP BY 1")
@@ -275,13 +300,29 @@ def jn10_field_lookup(spark: SparkSession, d: str) -> DataFrame:
 # --- extraction ---
 
 
-@query()
+_SPACE = r"[\s\pZ\x0B\x85\x1c-\x1f]"
+_RULE = f"""WITH s0 AS (SELECT doc_id::VARCHAR AS doc_id, string_split(regexp_replace(text, '([.!?]){_SPACE}+', '\\1' || chr(57344), 'g'), chr(57344)) AS l FROM documents WHERE {_strip_sql("coalesce(text, '')")} <> ''),
+s1 AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS s FROM s0),
+s2 AS (SELECT *, list_filter({[*tx.REVIEW_PHRASES]!r}, lambda p: contains(lower(s), p))[1] AS hit FROM s1 WHERE length(s) > 20),
+s3 AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n, CASE hit WHEN 'bottleneck' THEN 'engineering_bottleneck' WHEN 'lack' THEN 'data_gap' WHEN 'missing' THEN 'data_gap' ELSE 'capability_gap' END AS type,
+  regexp_replace(s, '[.!?]+$', '') AS full_title FROM s2 WHERE hit IS NOT NULL),
+rn AS (SELECT doc_id, n::INT AS n, type, CASE WHEN length(full_title) > 200 THEN substr(full_title, 1, 197) || '...' ELSE full_title END AS title,
+  'temp_' || substr(sha256(doc_id || chr(1) || n || chr(1) || full_title), 1, 16) AS node_id FROM s3)"""
+
+
+@query(_RULE + " SELECT doc_id, n, type, title, node_id FROM rn")
 def udf01_rule_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Pass 1 over all documents by the rule extractor."""
     return extract.pass_one(table(spark, d, "documents")).select("doc_id", "n", "type", "title", "node_id")
 
 
-@query()
+_RULE_EDGES = _RULE + """,
+e0 AS (SELECT doc_id, n, title AS a, lead(title) OVER (PARTITION BY doc_id ORDER BY n) AS b FROM rn), known AS (SELECT doc_id, lower(title) AS key, arg_max(node_id, n) AS node_id FROM rn GROUP BY 1, 2)
+SELECT e.doc_id, e.n, 'ENABLES' AS type, s.node_id AS source_node_id, t.node_id AS target_node_id, 0.5::DOUBLE AS strength, 0.7::DOUBLE AS confidence
+FROM e0 e JOIN known s ON s.doc_id = e.doc_id AND s.key = lower(e.a) JOIN known t ON t.doc_id = e.doc_id AND t.key = lower(e.b) WHERE s.node_id <> t.node_id"""
+
+
+@query(_RULE_EDGES)
 def udf02_rule_edges(spark: SparkSession, d: str) -> DataFrame:
     """Pass 2 over all documents, titles resolved."""
     docs = table(spark, d, "documents")
@@ -290,15 +331,45 @@ def udf02_rule_edges(spark: SparkSession, d: str) -> DataFrame:
     return edges.select("doc_id", "n", "type", "source_node_id", "target_node_id", "strength", "confidence")
 
 
-_PAIRS = "pairs AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, p_name AS source_title, s_name AS target_title FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey), known AS (SELECT lower(p_name) AS key, max(p_partkey) AS id FROM part WHERE p_partkey % 3 > 0 GROUP BY 1)"
+_TITLES = """WITH pairs AS (SELECT 10 * l_orderkey + l_linenumber AS n, p_name AS source_title, s_name AS target_title FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
+known AS (SELECT lower(p_name) AS key, arg_max('part_' || p_partkey, p_partkey) AS node_id FROM part WHERE p_partkey % 3 > 0 GROUP BY 1),
+m AS (SELECT n, 0 AS side, source_title AS t FROM pairs UNION ALL SELECT n, 1, target_title FROM pairs),
+st AS (SELECT key, 'temp_' || substr(sha256('orders' || chr(1) || key), 1, 16) AS node_id, arg_min(t, 2 * n + side) AS title, min(2 * n + side) AS place FROM (SELECT n, side, t, lower(t) AS key FROM m) WHERE key NOT IN (SELECT key FROM known) GROUP BY 1),
+ids AS (SELECT key, node_id FROM known UNION ALL SELECT key, node_id FROM st)"""
+
+
+def _resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Titles of parts and suppliers, an edge for each line item, against two thirds of the parts."""
+    part, sup = table(spark, d, "part").select("p_partkey", "p_name"), table(spark, d, "supplier").select("s_suppkey", "s_name")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = li.join(part, F.col("l_partkey") == F.col("p_partkey")).join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+    raw = rows.select(F.lit("orders").alias("doc_id"), (10 * F.col("l_orderkey") + F.col("l_linenumber")).alias("n"), F.col("p_name").alias("source_title"), F.col("s_name").alias("target_title"), F.lit("ENABLES").alias("type"), F.lit(False).alias("source_is_new"), F.lit(True).alias("target_is_new"), F.lit(True).alias("sound"))
+    nodes = part.filter("p_partkey % 3 > 0").select(F.lit("orders").alias("doc_id"), F.concat(F.lit("part_"), "p_partkey").alias("node_id"), F.col("p_name").alias("title"), F.col("p_partkey").alias("n"))
+    return (*extract.resolve_titles(raw, nodes), nodes)
 
 
-@query(f"WITH {_PAIRS}, m AS (SELECT source_title AS t FROM pairs UNION SELECT target_title FROM pairs) SELECT lower(t) AS key, k.id IS NULL AS is_stub, coalesce('part_' || k.id, 'stub_' || lower(t)) AS node_id FROM (SELECT DISTINCT lower(t) AS t FROM m) LEFT JOIN known k ON k.key = t")
+@query(_TITLES + " SELECT n, s.node_id AS source_node_id, t.node_id AS target_node_id FROM pairs JOIN ids s ON s.key = lower(source_title) JOIN ids t ON t.key = lower(target_title) WHERE s.node_id <> t.node_id")
 def jn01_jn02_title_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Titles of parts and suppliers against the parts known: found ones and stubs."""
-    part, sup = table(spark, d, "part"), table(spark, d, "supplier")
-    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey")
-    named = li.select("l_partkey").distinct().join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("t")), "l_partkey").select("t").union(li.select("l_suppkey").distinct().join(sup.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("t")), "l_suppkey").select("t"))
-    known = part.filter("p_partkey % 3 > 0").groupBy(F.lower("p_name").alias("key")).agg(F.max("p_partkey").alias("id"))
-    keys = named.select(F.lower("t").alias("key")).distinct()
-    return keys.join(known, "key", "left").select("key", F.col("id").isNull().alias("is_stub"), F.coalesce(F.concat(F.lit("part_"), "id"), F.concat(F.lit("stub_"), "key")).alias("node_id"))
+    return _resolved(spark, d)[0].select("n", "source_node_id", "target_node_id")
+
+
+@query(_TITLES + " SELECT node_id, title, 'Stub node: cross-field reference to ' || chr(39) || title || chr(39) || '. To be resolved by graph construction.' AS description, place % 2 = 1 AS cross_field_ref FROM st")
+def prj13_stubs(spark: SparkSession, d: str) -> DataFrame:
+    return extract.stub_nodes(_resolved(spark, d)[1]).select("node_id", "title", "description", "cross_field_ref")
+
+
+@query(_TITLES + " SELECT 0 AS turn, place // 2 AS place, (place % 2)::INT AS side, node_id FROM st UNION ALL SELECT 1, p_partkey, 0, 'part_' || p_partkey FROM part WHERE p_partkey % 3 > 0")
+def set02_node_bag(spark: SparkSession, d: str) -> DataFrame:
+    """Stubs by first mention, then nodes."""
+    _, stubs, nodes = _resolved(spark, d)
+    return extract.node_bag(stubs, nodes).select("turn", "place", "side", "node_id")
+
+
+@query("SELECT ord AS doc_id, 0 AS n, type, granularity, CASE WHEN length(title) > 200 THEN substr(title, 1, 197) || '...' ELSE title END AS title, CASE WHEN confidence IS NULL THEN 0.7 ELSE confidence END AS confidence FROM nodes WHERE type IN ('knowledge_gap', 'capability_gap', 'data_gap', 'infrastructure_gap', 'theoretical_gap', 'engineering_bottleneck') AND granularity IN ('L0', 'L1', 'L2', 'L3') AND title IS NOT NULL AND description IS NOT NULL AND (confidence IS NULL OR NOT isnan(confidence))")
+def prj11_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes as a model's answers, prose around a JSON object, parsed again; absent confidences take the default."""
+    n = table(spark, d, "nodes").filter("confidence IS NULL OR NOT isnan(confidence)")
+    item = F.struct("type", "granularity", "title", "description", "confidence")
+    answer = F.concat(F.lit("Here it is:\n"), F.to_json(F.struct(F.array(item).alias("nodes"))), F.lit("\nDone."))
+    good, _ = extract.nodes_of_answers(n.select(F.col("ord").alias("doc_id"), answer.alias("answer")))
+    return good.select("doc_id", "n", "type", "granularity", "title", "confidence")

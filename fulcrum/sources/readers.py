@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fulcrum.functions.text import collapse, from_inverted_index, or_else, safe_double, strip, year_of_mdy
 from fulcrum.schemas import EDGE, GRANT, NODE, PAPER, edge_is_valid, node_defaults, node_is_valid, split_valid
 
-# How each field is asked for at the sources that know only their own codes.
-FIELD_CODES = (
-    ("materials_science", "grants_a", "1762"), ("materials_science", "grants_a", "1765"), ("ai_ml", "grants_a", "7495"), ("drug_discovery", "grants_a", "1144"),
-    ("materials_science", "preprints", "cond-mat.mtrl-sci"), ("ai_ml", "preprints", "cs.LG"), ("ai_ml", "preprints", "cs.AI"), ("drug_discovery", "preprints", "q-bio.BM"),
-)
+# How each field is asked for at the four sources: topics, categories, programmes, search terms.
+TOPICS = {
+    "materials_science": ("T10134", "T10256", "T10891", "T11327", "T10048", "T10062"),
+    "ai_ml": ("T10077", "T10210", "T10563", "T10182", "T10094"),
+    "drug_discovery": ("T10011", "T10034", "T10156", "T10089", "T10201"),
+}
+CATEGORIES = {
+    "materials_science": ("cond-mat.mtrl-sci", "cond-mat.supr-con", "physics.chem-ph"),
+    "ai_ml": ("cs.LG", "cs.AI", "cs.CL", "cs.CV", "stat.ML"),
+    "drug_discovery": ("q-bio.BM", "q-bio.QM", "cs.LG"),
+}
+PROGRAMMES = {"materials_science": ("DMR", "CMMI", "CBET"), "ai_ml": ("IIS", "CCF", "OAC"), "drug_discovery": ("MCB", "DBI", "CHEM")}
+TERMS = {
+    "drug_discovery": ("drug discovery", "drug design", "pharmacology"),
+    "ai_ml": ("machine learning", "artificial intelligence", "deep learning"),
+    "materials_science": ("materials science", "energy storage", "superconductor"),
+}
+# Years and kinds of award that agency B is asked for, rows per programme and per term.
+YEARS_B, ACTIVITIES_B, PAGE_A, PAGE_B = (2022, 2023, 2024), ("R01", "R21", "U01"), 20, 15
 
 WORK = "id string, title string, abstract_inverted_index map<string,array<int>>, doi string, publication_year int, cited_by_count int, topics array<struct<display_name:string>>, type string, open_access struct<oa_url:string>"
 AWARD_A = "id string, title string, abstractText string, agency string, fundsObligatedAmt string, date string"
@@ -21,8 +35,22 @@ AWARD_B = "project_num string, project_title string, abstract_text string, agenc
 
 
 def field_codes(spark: SparkSession) -> DataFrame:
-    """The dimension of codes per field and source."""
-    return spark.createDataFrame(list(FIELD_CODES), "field string, source string, code string")
+    """``(field, kind, pos, code)``: the dimension of codes per field and source."""
+    kinds = {"topic": TOPICS, "category": CATEGORIES, "programme": PROGRAMMES, "term": TERMS}
+    return spark.createDataFrame([(f, k, n, c) for k, table in kinds.items() for f, codes in table.items() for n, c in enumerate(codes)], "field string, kind string, pos int, code string")
+
+
+def grants_by_code(awards: DataFrame, codes: list[str], by: F.Column, order: list[F.Column], per_code: int, most: int) -> DataFrame:  # type: ignore[name-defined]
+    """The first ``per_code`` rows of each code in turn, ``most`` in all, then blank abstracts dropped, with ``code_pos``.
+
+    ``by`` tells whether a row belongs to a code, given as column ``code``; a row may
+    belong to several and then comes once for each.  No more than ``per_code`` times the codes are ranked.
+    """
+    asked = F.explode(F.array(*(F.struct(F.lit(k).alias("code_pos"), F.lit(c).alias("code")) for k, c in enumerate(codes))))
+    rows = awards.withColumn("_c", asked).select(*awards.columns, "_c.*").filter(by)
+    few = rows.withColumn("_n", F.row_number().over(Window.partitionBy("code_pos").orderBy(*order))).filter(F.col("_n") <= per_code)
+    kept = few.filter(strip(F.coalesce("abstract", F.lit(""))) != "").orderBy("code_pos", "_n").limit(most)
+    return kept.drop("_n", "code")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = False) -> DataFrame:
@@ -88,6 +116,7 @@ def top_cited(papers: DataFrame, most: int, more_than: int = 20) -> DataFrame:
 
 
 def _tag(name: str) -> F.Column:  # type: ignore[name-defined]
+    """The text of an element as it stands in the feed; escapes are left as they are."""
     return F.regexp_extract("entry", rf"(?s)<{name}[^>]*>(.*?)</{name}>", 1)
 
 
