@@ -33,10 +33,13 @@ def cascade_scores(g: PropertyGraph, max_rounds: int = 100, damping: float = 0.8
     over; without convergence (cycles with a spectral radius of 1 or more) the last
     round is returned and says so.  Lineage is cut every few rounds; each round's
     largest move is kept, so that the first round that is still enough counts.
-    Nodes without out-edges score 0; an empty graph gives no rows.
+    Nodes without out-edges score 0; an empty graph gives no rows.  A graph within
+    ``compact.MOST_EDGES`` takes its rounds in one task, a larger one in joins.
     """
     work = Workspace(g.nodes.sparkSession, "cascade")
-    links = work.put(of_types(g.edges).select("src", "dst", weight().alias("w")), "links")
+    links = _typed(g, work)
+    if _small(links):
+        return _cascade_small(links, g.nodes, work, max_rounds, damping, tolerance)
     state = work.put(g.nodes.select("node_id", F.lit(0.0).alias("s")), "s0")
     last, rounds, converged = "s", 0, False
     while rounds < max_rounds and not converged:
@@ -57,6 +60,27 @@ def cascade_scores(g: PropertyGraph, max_rounds: int = 100, damping: float = 0.8
     return state.select("node_id", F.col(last).alias("cascade"), F.lit(rounds).alias("rounds"), F.lit(converged).alias("converged"))
 
 
+def _cascade_small(links: DataFrame, nodes: DataFrame, work: Workspace, max_rounds: int, damping: float, tolerance: float) -> DataFrame:
+    graph = cp.compact(links)
+    shared = links.sparkSession.sparkContext.broadcast(graph)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        n = len(c.ids)
+        src = np.repeat(np.arange(n), np.diff(c.first))
+        score, rounds, converged = np.zeros(n), 0, False
+        while rounds < max_rounds and not converged:
+            new = np.bincount(src, weights=c.weight * (1 + (damping if rounds else 0.0) * score[c.to]), minlength=n)
+            rounds, converged = rounds + 1, bool(np.abs(new - score).max(initial=0.0) < tolerance)
+            score = new
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"node_id": pa.array([*c.ids.to_pylist(), None], pa.string()), "cascade": np.append(score, 0.0), "rounds": pa.array([rounds] * (n + 1), pa.int32()), "converged": [converged] * (n + 1)})
+
+    made = work.put(links.sparkSession.range(0, 1, 1, 1).mapInArrow(run, "node_id string, cascade double, rounds int, converged boolean"), "scores")
+    end = made.filter("node_id IS NULL").first()  # one row says how it ended
+    return nodes.select("node_id").join(made.filter("node_id IS NOT NULL").select("node_id", "cascade"), "node_id", "left").select("node_id", F.coalesce("cascade", F.lit(0.0)).alias("cascade"), F.lit(end.rounds).alias("rounds"), F.lit(end.converged).alias("converged"))
+
+
 def _small(links: DataFrame) -> bool:
     return links.count() <= cp.MOST_EDGES
 

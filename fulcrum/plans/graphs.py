@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from fulcrum.operators import graph, scoring
 from fulcrum.plans.tables import PROBLEM_SQL, TRADE_SQL, problem_graph, table, trade_edges, trade_graph, trade_nodes
 
-ROUNDS = 10
+#: Rounds the SQL unrolls for the 25 nodes of the acyclic trade graph: no walk is longer.
+ROUNDS = 26
 
 
 def gr06_build_graph(spark: SparkSession, d: str) -> DataFrame:
@@ -56,14 +57,13 @@ def gr09_normalised(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gr10_cascade(spark: SparkSession, d: str) -> DataFrame:
-    s = scoring.cascade_scores(trade_graph(spark, d), ROUNDS, tolerance=0.0)
-    return s.select("node_id", F.round("cascade", 6).alias("cascade"))
+    return scoring.cascade_scores(trade_graph(spark, d)).select("node_id", F.round("cascade", 4).alias("cascade"))
 
 
 def gr10_cascade_problems(spark: SparkSession, d: str) -> DataFrame:
-    """First five rounds over the whole problem graph, which has cycles."""
-    s = scoring.cascade_scores(problem_graph(spark, d), 5, tolerance=0.0)
-    return s.select("node_id", F.round("cascade", 5).alias("cascade"))
+    """All rounds over the problem graph, whose cycles let scores grow; in seven digits."""
+    s = scoring.cascade_scores(problem_graph(spark, d))
+    return s.select("node_id", F.format_string("%.6e", "cascade").alias("cascade"))
 
 
 def gr11_cross_field(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +78,7 @@ def gr12_bottleneck(spark: SparkSession, d: str) -> DataFrame:
 def leverage_index(spark: SparkSession, d: str) -> DataFrame:
     """GR13, GR14, WIN04, SRT03: the top 15 with their components."""
     g = trade_graph(spark, d)
-    top = scoring.leaderboard(scoring.leverage_index(g, max_rounds=ROUNDS, tolerance=0.0), g.nodes, 15)
+    top = scoring.leaderboard(scoring.leverage_index(g), g.nodes, 15)
     return top.select("rank", "node_id", "title", "fields", *(F.round(c, 6).alias(c) for c in (*scoring.WEIGHTS, "leverage")))
 
 
@@ -97,6 +97,28 @@ def q03_unlocked_by(spark: SparkSession, d: str) -> DataFrame:
     return graph.reachable(e, top)
 
 
+def q02_top_roots_problems(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nodes of the highest cascade score from which the domain agronomy can be reached."""
+    g = problem_graph(spark, d)
+    up = graph.reachable(graph.of_types(g.edges), graph.subgraph(g, field="agronomy").nodes.select("node_id"), reverse=True)
+    return scoring.cascade_scores(g).join(up, "node_id").join(g.nodes.select("node_id", "ord"), "node_id").orderBy(F.desc("cascade"), "ord").limit(10).select("node_id", "depth")
+
+
+def q03_unlocked_by_importance(spark: SparkSession, d: str) -> DataFrame:
+    """What the most referenced node unlocks, the twenty of the highest cascade score first."""
+    got = q03_unlocked_by(spark, d)
+    g = problem_graph(spark, d)
+    rows = got.join(scoring.cascade_scores(g), "node_id").join(g.nodes.select("node_id", "ord"), "node_id")
+    return rows.orderBy(F.desc("cascade"), "ord").limit(20).select("node_id", "depth")
+
+
+def udf06_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The leverage of the trade graph by weights of one's own, which needn't sum to 1."""
+    g = trade_graph(spark, d)
+    s = scoring.leverage_index(g, {"cascade": 1.0, "cross_field": 0.0, "bottleneck": 0.5})
+    return s.select("node_id", F.round("leverage", 5).alias("leverage"))
+
+
 def q04_blocks(spark: SparkSession, d: str) -> DataFrame:
     return graph.blocked_by(trade_graph(spark, d).edges, "n20").select("node_id", "type", F.round("weight", 6).alias("weight"))
 
@@ -180,7 +202,7 @@ def q05_common_ancestors_problems(spark: SparkSession, d: str) -> DataFrame:
 def _cascade_sql(nodes: str, edges: str, rounds: int, typed: str = "TRUE") -> str:
     out = f", s0 AS (SELECT node_id, 0.0::DOUBLE AS s FROM {nodes})"
     for k in range(1, rounds + 1):
-        out += f", s{k} AS MATERIALIZED (SELECT n.node_id, coalesce(sum(e.w * (1 + 0.85 * p.s)), 0) AS s FROM {nodes} n LEFT JOIN {edges} e ON e.src = n.node_id AND {typed} LEFT JOIN s{k - 1} p ON p.node_id = e.dst GROUP BY 1)"
+        out += f", s{k} AS MATERIALIZED (SELECT n.node_id, coalesce(sum(e.w * (1 + 0.85 * coalesce(p.s, 0))), 0) AS s FROM {nodes} n LEFT JOIN {edges} e ON e.src = n.node_id AND {typed} LEFT JOIN s{k - 1} p ON p.node_id = e.dst GROUP BY 1)"
     return out
 
 
@@ -225,7 +247,7 @@ QUERIES = {
     for f in (
         gr06_build_graph, gr06_problem_edges, gr07_graph_stats, gr08_typed_subgraph, gr09_normalised, gr10_cascade, gr10_cascade_problems, gr11_cross_field, gr12_bottleneck, leverage_index,
         agg01_node_types, agg02_field_distribution, agg03_orphans, agg04_edge_types, agg05_cross_field_edges, q02_roots_of_field, q03_unlocked_by, q04_blocks, q05_common_ancestors,
-        dg01_blocker_degree, dg02_reach_strength, dg13_subgraph, gr10_cascade_whole_problems, gr11_cross_field_problems, gr12_bottleneck_problems, leverage_index_problems, dg02_reach_strength_problems,
+        dg01_blocker_degree, dg02_reach_strength, dg13_subgraph, q02_top_roots_problems, q03_unlocked_by_importance, udf06_weights, gr10_cascade_whole_problems, gr11_cross_field_problems, gr12_bottleneck_problems, leverage_index_problems, dg02_reach_strength_problems,
         q02_roots_of_field_problems, q04_blocks_problems, q05_common_ancestors_problems,
     )
 }
@@ -236,8 +258,8 @@ SQL = {
     "gr07_graph_stats": _G + f", o AS ({_ORPHAN}), x AS ({_CROSS}) SELECT (SELECT count(*) FROM gn) AS n_nodes, (SELECT count(*) FROM ge) AS n_edges, (SELECT count(*) FROM o) AS n_orphans, (SELECT count(*) FROM x) AS n_cross_field, printf('%.1f', 100.0 * (SELECT count(*) FROM o) / greatest((SELECT count(*) FROM gn), 1))::DOUBLE AS orphan_pct",
     "gr08_typed_subgraph": _G + " SELECT n.node_id, count(e.src) AS n_out FROM gn n LEFT JOIN ge e ON e.src = n.node_id AND e.type = 'ENABLES' GROUP BY 1",
     "gr09_normalised": _G + ", c AS (SELECT node_id, confidence FROM gn WHERE confidence BETWEEN 0 AND 1) SELECT node_id, round(CASE WHEN max(confidence) OVER () = min(confidence) OVER () THEN 0 ELSE (confidence - min(confidence) OVER ()) / (max(confidence) OVER () - min(confidence) OVER ()) END, 6) AS scaled FROM c",
-    "gr10_cascade": _T + _cascade_sql("tn", "te", ROUNDS) + f" SELECT node_id, round(s, 6) AS cascade FROM s{ROUNDS}",
-    "gr10_cascade_problems": _G + ", gw AS MATERIALIZED (SELECT src, dst, strength * confidence AS w FROM ge WHERE type IN ('ENABLES', 'PRODUCES_FOR'))" + _cascade_sql("gn", "gw", 5) + " SELECT node_id, round(s, 5) AS cascade FROM s5",
+    "gr10_cascade": _T + _cascade_sql("tn", "te", ROUNDS) + f" SELECT node_id, round(s, 4) AS cascade FROM s{ROUNDS}",
+    "gr10_cascade_problems": _G + ", gw AS MATERIALIZED (SELECT src, dst, strength * confidence AS w FROM ge WHERE type IN ('ENABLES', 'PRODUCES_FOR'))" + _cascade_sql("gn", "gw", 100) + " SELECT node_id, printf('%.6e', s) AS cascade FROM s100",
     "gr11_cross_field": _T + _bfs_sql(6) + " SELECT node_id, round(cross_field, 6) AS cross_field, n_domains FROM cf",
     "gr12_bottleneck": _T + _between_sql() + " SELECT node_id, round(bottleneck, 6) AS bottleneck FROM bc",
     "leverage_index": _T + _cascade_sql("tn", "te", ROUNDS) + _bfs_sql(6) + _between_sql() + f"""
@@ -247,6 +269,8 @@ scaled AS (SELECT node_id, ord, title, fields, CASE WHEN a = b THEN 0 ELSE (casc
 lev AS (SELECT *, 0.45 * cascade + 0.30 * cross_field + 0.25 * bottleneck AS leverage FROM scaled)
 SELECT row_number() OVER (ORDER BY leverage DESC, ord)::INT AS rank, node_id, title[1:40] AS title, array_to_string(fields[1:2], ', ') AS fields, round(cascade, 6) AS cascade, round(cross_field, 6) AS cross_field, round(bottleneck, 6) AS bottleneck, round(leverage, 6) AS leverage
 FROM lev ORDER BY 1 LIMIT 15""",
+    "udf06_weights": _T + _cascade_sql("tn", "te", ROUNDS) + _between_sql() + f""", ends AS (SELECT min(s) AS a, max(s) AS b FROM s{ROUNDS}), ends2 AS (SELECT min(bottleneck) AS a, max(bottleneck) AS b FROM bc)
+SELECT s.node_id, round((s.s - ends.a) / (ends.b - ends.a) + 0.5 * CASE WHEN ends2.a = ends2.b THEN 0 ELSE (bottleneck - ends2.a) / (ends2.b - ends2.a) END, 5) AS leverage FROM s{ROUNDS} s JOIN bc USING (node_id), ends, ends2""",
     "agg01_node_types": _G + " SELECT type, count(*) AS n, min(ord) AS first_ord FROM gn GROUP BY 1",
     "agg02_field_distribution": _G + " SELECT split_part(f, '.', 1) AS domain, count(*) AS n, min(ord) AS first_ord FROM (SELECT unnest(fields) AS f, ord FROM gn) GROUP BY 1",
     "agg03_orphans": _G + f" {_ORPHAN}",

@@ -155,20 +155,25 @@ def agg21_gates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_windowed_degrees(spark: SparkSession, d: str) -> DataFrame:
-    """Streaming: edges once each, ENABLES edges per source and 30 days, drained to a table."""
+    """Streaming: edges once each into a folder, from there ENABLES edges per source and 30 days of creation.
+
+    Copies may come months after the first, so the watermark of the first stream spans them.
+    """
     work = Workspace(spark, "stream")
-    edges = ingest.stream_table(spark, f"{d}/edges.parquet")
-    stream = edges.withColumn("ts", F.col("created_at").cast("timestamp")).withWatermark("ts", "3650 days").dropDuplicatesWithinWatermark(["edge_id"])
-    counts = stream.filter("type = 'ENABLES' AND source_node_id IS NOT NULL").select("source_node_id", "ts")
-    out = work.root + "/out"
-    q = counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", work.root + "/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    rows = spark.read.schema(counts.schema).parquet(out)
-    return rows.groupBy(F.window("ts", "30 days").alias("w"), F.col("source_node_id").alias("src")).agg(F.count(F.lit(1)).alias("n")).select("src", F.date_format("w.start", "yyyy-MM-dd").alias("start"), "n")
+    edges = ingest.new_edges(ingest.stream_table(spark, f"{d}/edges.parquet"), "3650 days").drop("ts")
+    once = work.root + "/once"
+    edges.writeStream.format("parquet").option("path", once).option("checkpointLocation", work.root + "/state1").trigger(availableNow=True).start().awaitTermination()
+    dated = ingest.stream_table(spark, once).withColumn("ts", F.col("created_at").cast("timestamp")).withWatermark("ts", "3650 days")
+    counts = ingest.settled(ingest.windowed_degrees(dated, "30 days"), ["src", "start"], ["n"], work.root + "/counts", work.root + "/state2")
+    return counts.select("src", F.date_format("start", "yyyy-MM-dd").alias("start"), "n")
 
 
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.sessions(table(spark, d, "events")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.max("n").alias("longest"))
+    """Streaming: bursts of activity per user."""
+    work = Workspace(spark, "stream")
+    events = ingest.stream_table(spark, f"{d}/events.parquet")
+    bursts = ingest.kept(ingest.sessions(events, late="3650 days"), work.root + "/bursts", work.root + "/state")
+    return bursts.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.max("n").alias("longest"))
 
 
 _G = "WITH RECURSIVE" + PROBLEM_SQL
@@ -195,7 +200,7 @@ SELECT b.seed, 'v' || b.member AS node_id, b.conf::DOUBLE AS confidence, string_
     "jn12_dg04_seeds": f"WITH s AS (SELECT {_KEY} AS k, min(node_id) AS seed_id FROM seed_nodes WHERE {_KEY} <> '' GROUP BY 1), n AS (SELECT {_KEY} AS k, min(node_id) AS node_id FROM nodes WHERE {_KEY} <> '' GROUP BY 1) SELECT seed_id, node_id, CASE WHEN seed_id IS NULL THEN 'extracted' WHEN node_id IS NULL THEN 'seed_only' ELSE 'matched' END AS status FROM s FULL JOIN n USING (k)",
     "dg05_clean_edges": "WITH o AS (SELECT source_node_id, target_node_id, type, min(ord) AS ord, arg_min(strength * confidence, ord) AS w FROM edges WHERE source_node_id IS NOT NULL AND target_node_id IS NOT NULL GROUP BY 1, 2, 3) SELECT source_node_id, target_node_id, type, ord, count(*) OVER (PARTITION BY source_node_id, target_node_id) > 1 AS near_duplicate FROM o WHERE coalesce(w >= 0.15, true)",
     "dg06_permanent_ids": "SELECT e.ord, coalesce('p_' || substr(sha256(a.node_id), 1, 20), e.source_node_id) AS source_node_id, coalesce('p_' || substr(sha256(b.node_id), 1, 20), e.target_node_id) AS target_node_id FROM edges e LEFT JOIN (SELECT DISTINCT node_id FROM nodes) a ON a.node_id = e.source_node_id LEFT JOIN (SELECT DISTINCT node_id FROM nodes) b ON b.node_id = e.target_node_id",
-    "dg07_jn14_hierarchy": "WITH RECURSIVE u0 AS (SELECT node_id, arg_max(parent_id, ord) FILTER (WHERE true) AS p0, arg_max(struct_pack(p := parent_id), ord).p AS p FROM nodes GROUP BY 1), u AS (SELECT node_id, CASE WHEN p IN (SELECT node_id FROM u0) THEN p END AS p FROM u0), r AS (SELECT node_id, node_id AS root_id, 0 AS depth FROM u UNION ALL SELECT r.node_id, u.p, depth + 1 FROM r JOIN u ON u.node_id = r.root_id WHERE u.p IS NOT NULL AND depth < 32) SELECT node_id, arg_max(root_id, depth) AS root_id, max(depth) AS depth FROM r GROUP BY 1",
+    "dg07_jn14_hierarchy": "WITH RECURSIVE u0 AS (SELECT node_id, arg_max(parent_id, ord) FILTER (WHERE true) AS p0, arg_max(struct_pack(p := parent_id), ord).p AS p FROM nodes GROUP BY 1), u AS (SELECT node_id, CASE WHEN p IN (SELECT node_id FROM u0) THEN p END AS p FROM u0), r AS (SELECT node_id, node_id AS root_id, 0 AS depth FROM u UNION ALL SELECT r.node_id, u.p, depth + 1 FROM r JOIN u ON u.node_id = r.root_id WHERE u.p IS NOT NULL) SELECT node_id, arg_max(root_id, depth) AS root_id, max(depth) AS depth FROM r GROUP BY 1",
     "dg08_decay": "SELECT ord::VARCHAR AS node_id, round(confidence * exp(-0.35 * greatest(date_diff('day', coalesce(last_validated, created_at)::DATE, DATE '2026-06-01'), 0) / 365.0), 6) AS decayed, date_diff('day', coalesce(last_validated, created_at)::DATE, DATE '2026-06-01') >= 730 AS stale FROM nodes WHERE confidence BETWEEN 0 AND 1",
     "dg09_level_scores": _G + ", c AS (SELECT node_id, granularity, confidence, min(confidence) OVER (PARTITION BY granularity) AS lo, max(confidence) OVER (PARTITION BY granularity) AS hi FROM gn WHERE confidence BETWEEN 0 AND 1) SELECT node_id, round(CASE WHEN hi = lo THEN 0 ELSE (confidence - lo) / (hi - lo) END, 6) AS scaled FROM c",
     "dg10_coverage": _G + ", t AS (SELECT src AS node_id FROM ge WHERE type IN ('ENABLES', 'PRODUCES_FOR') GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 50), r AS (SELECT gn.* FROM t JOIN gn USING (node_id)), dm AS (SELECT split_part(f, '.', 1) AS d, count(*) AS n FROM (SELECT unnest(fields) AS f FROM r) GROUP BY 1) SELECT 'n_rows' AS metric, count(*)::DOUBLE AS value FROM r UNION ALL SELECT 'mean_confidence', round(avg(confidence) FILTER (WHERE confidence BETWEEN 0 AND 1), 6) FROM r UNION ALL SELECT 'largest_domain_pct', round(100.0 * max(n) / sum(n), 6) FROM dm",

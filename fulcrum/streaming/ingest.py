@@ -35,7 +35,8 @@ def windowed_degrees(edges: DataFrame, width: str = "7 days", late: str = LATE)
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """``(user_id, start, end, n)``: bursts of activity separated by a gap."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    marked = timed.withWatermark("ts", late) if events.isStreaming else timed
     got = marked.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return got.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
@@ -45,6 +46,23 @@ def refresh(edges: DataFrame, on_batch: Callable[[DataFrame, int], None], checkp
     return edges.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def settled(df: DataFrame, keys: list[str], values: list[str], out: str, checkpoint: str) -> DataFrame:
+    """Runs a streamed aggregate over all that is there: every batch writes the groups it changed, the last state of each counts."""
+
+    def keep(batch: DataFrame, k: int) -> None:
+        batch.withColumn("_batch", F.lit(k)).write.mode("append").parquet(out)
+
+    df.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = df.sparkSession.read.parquet(out)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_r")).select(*keys, "_r.*")
+
+
+def kept(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over all that is there into a folder, which is read back; ``complete`` aggregates replace it each batch."""
+    df.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.parquet(out)
+
+
 def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there and returns what it put out (small results, tests)."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -39,7 +39,9 @@ def test_stats(toy):
     assert {x.domain: x.n for x in graph.field_distribution(toy.nodes).collect()} == {"ai_ml": 3, "materials_science": 1, "drug_discovery": 1, "cross_domain": 1}
 
 
-def test_cascade_golden(toy):
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_cascade_golden(toy, monkeypatch, most):
+    monkeypatch.setattr(compact, "MOST_EDGES", most)
     got = column(scoring.cascade_scores(toy, cut_every=1), "cascade")
     want = {"A": 0.981953, "B": 1.993917, "C": 0.864757, "D": 1.366932, "E": 0, "F": 0}
     assert got == pytest.approx(want, abs=2e-6)
@@ -225,9 +227,10 @@ def test_long_chains_are_followed_to_their_end(spark):
     assert {r.node_id: r.depth for r in got.collect()} == {f"c{i:03d}": i for i in range(71)}
 
 
-def test_cascade_counts_its_rounds(spark):
+def test_cascade_counts_its_rounds(spark, monkeypatch):
     g = make(spark, [(f"k{i}", i, "x", []) for i in range(7)], [(f"k{i}", f"k{i + 1}", "ENABLES", 0.5, 1.0, i) for i in range(6)])
-    for cut in (1, 3):
+    for most, cut in ((2_000_000, 4), (0, 1), (0, 3)):
+        monkeypatch.setattr(compact, "MOST_EDGES", most)
         r = scoring.cascade_scores(g, cut_every=cut)
         assert {(x.rounds, x.converged) for x in r.collect()} == {(7, True)}
     assert column(r, "cascade")["k5"] == 0.5
