@@ -229,12 +229,24 @@ def _between_sql() -> str:
 , bc AS (SELECT n.node_id, coalesce(c.c, 0) / (24.0 * 23.0) AS bottleneck FROM tn n LEFT JOIN bc0 c ON c.v = n.ord)"""
 
 
+_TYPED = "(SELECT src, dst FROM ge WHERE type IN ('ENABLES', 'PRODUCES_FOR'))"
+
+
+def _levels_sql(start: str, levels: int, back: bool = False, h: str = "h", k: str = "k") -> str:
+    """Tables ``k0`` to ``k<levels>`` of what a query's nodes reach."""
+    a, b = ("dst", "src") if back else ("src", "dst")
+    out = f", {h}0 AS MATERIALIZED (SELECT DISTINCT node_id, 0 AS depth FROM ({start})), {k}0 AS (SELECT * FROM {h}0)"
+    for n in range(1, levels + 1):
+        out += f", {h}{n} AS MATERIALIZED (SELECT DISTINCT e.{b} AS node_id, {n} AS depth FROM {h}{n - 1} f JOIN {_TYPED} e ON e.{a} = f.node_id WHERE e.{b} NOT IN (SELECT node_id FROM {k}{n - 1})), {k}{n} AS MATERIALIZED (SELECT * FROM {k}{n - 1} UNION ALL SELECT * FROM {h}{n})"
+    return out
+
+
+def _most_sql(end: str, skip: int = 0) -> str:
+    return f"SELECT {end} AS node_id FROM {_TYPED} GROUP BY 1 ORDER BY count(*) DESC, {end} LIMIT 1 OFFSET {skip}"
+
+
 def _reach_sql(levels: int) -> str:
-    typed = "(SELECT src, dst FROM ge WHERE type IN ('ENABLES', 'PRODUCES_FOR'))"
-    out = f", h0 AS MATERIALIZED (SELECT src AS node_id, 0 AS depth FROM {typed} GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 1), k0 AS (SELECT * FROM h0)"
-    for k in range(1, levels + 1):
-        out += f", h{k} AS MATERIALIZED (SELECT DISTINCT e.dst AS node_id, {k} AS depth FROM h{k - 1} f JOIN {typed} e ON e.src = f.node_id WHERE e.dst NOT IN (SELECT node_id FROM k{k - 1})), k{k} AS MATERIALIZED (SELECT * FROM k{k - 1} UNION ALL SELECT * FROM h{k})"
-    return out + f" SELECT node_id, depth FROM k{levels}"
+    return _levels_sql(_most_sql("src"), levels) + f" SELECT node_id, depth FROM k{levels}"
 
 
 _T, _G = "WITH RECURSIVE" + TRADE_SQL, "WITH RECURSIVE" + PROBLEM_SQL
@@ -271,6 +283,9 @@ SELECT row_number() OVER (ORDER BY leverage DESC, ord)::INT AS rank, node_id, ti
 FROM lev ORDER BY 1 LIMIT 15""",
     "udf06_weights": _T + _cascade_sql("tn", "te", ROUNDS) + _between_sql() + f""", ends AS (SELECT min(s) AS a, max(s) AS b FROM s{ROUNDS}), ends2 AS (SELECT min(bottleneck) AS a, max(bottleneck) AS b FROM bc)
 SELECT s.node_id, round((s.s - ends.a) / (ends.b - ends.a) + 0.5 * CASE WHEN ends2.a = ends2.b THEN 0 ELSE (bottleneck - ends2.a) / (ends2.b - ends2.a) END, 5) AS leverage FROM s{ROUNDS} s JOIN bc USING (node_id), ends, ends2""",
+    "q02_roots_of_field_problems": _G + _levels_sql("SELECT node_id FROM gd WHERE list_contains(d, 'agronomy')", 24, back=True) + " SELECT node_id, depth FROM k24",
+    "q04_blocks_problems": _G + f", m AS ({_most_sql('dst')}) SELECT src AS node_id, type, round(strength * confidence, 6) AS weight FROM ge WHERE type IN ('ENABLES', 'PRODUCES_FOR') AND dst IN (SELECT node_id FROM m)",
+    "q05_common_ancestors_problems": _G + _levels_sql(_most_sql("dst"), 24, back=True) + _levels_sql(_most_sql("dst", 1), 24, back=True, h="g", k="l") + " SELECT node_id, x.depth AS depth_x, y.depth AS depth_y FROM k24 x JOIN l24 y USING (node_id) WHERE x.depth > 0 AND y.depth > 0",
     "agg01_node_types": _G + " SELECT type, count(*) AS n, min(ord) AS first_ord FROM gn GROUP BY 1",
     "agg02_field_distribution": _G + " SELECT split_part(f, '.', 1) AS domain, count(*) AS n, min(ord) AS first_ord FROM (SELECT unnest(fields) AS f, ord FROM gn) GROUP BY 1",
     "agg03_orphans": _G + f" {_ORPHAN}",

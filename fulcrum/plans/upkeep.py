@@ -11,15 +11,21 @@ from fulcrum.operators import dedup, graph, maintenance, similarity
 from fulcrum.plans.tables import PROBLEM_SQL, problem_graph, table
 from fulcrum.streaming import ingest
 
-LINK = 0.40
+#: Fixed value: similarity from which nodes are duplicates.  The vectors of the trade tables are too spread for it, so they take the lower one.
+DUPLICATE, LINK = 0.85, 0.40
 
 _UNIT = "vec AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v, label FROM embeddings)"
 _LINKS = f"{_UNIT}, links AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) AS sim FROM vec a JOIN vec b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= {LINK})"
 _STAR_ROUNDS = 12
 
 
-def _stars_sql() -> str:
-    out = f"WITH {_LINKS}, sym AS MATERIALIZED (SELECT i AS a, j AS b FROM links UNION SELECT j, i FROM links), st0 AS (SELECT DISTINCT a AS x, 0 AS s FROM sym)"
+_NODE_UNIT = """vec AS MATERIALIZED (SELECT o.ord AS vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v
+FROM node_vectors JOIN (SELECT node_id, min(ord) AS ord FROM nodes GROUP BY 1) o USING (node_id) WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
+_NODE_LINKS = f"{_NODE_UNIT}, links AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) AS sim FROM vec a JOIN vec b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= {DUPLICATE})"
+
+
+def _stars_sql(links: str = _LINKS) -> str:
+    out = f"WITH {links}, sym AS MATERIALIZED (SELECT i AS a, j AS b FROM links UNION SELECT j, i FROM links), st0 AS (SELECT DISTINCT a AS x, 0 AS s FROM sym)"
     for k in range(1, _STAR_ROUNDS + 1):  # 0 undecided, 1 seed, 2 out
         out += f""", se{k} AS MATERIALIZED (SELECT x FROM st{k - 1} u WHERE s = 0 AND NOT EXISTS (SELECT 1 FROM sym JOIN st{k - 1} o ON o.x = sym.b WHERE sym.a = u.x AND sym.b < u.x AND o.s = 0)),
 st{k} AS MATERIALIZED (SELECT u.x, CASE WHEN u.s > 0 THEN u.s WHEN u.x IN (SELECT x FROM se{k}) THEN 1 WHEN EXISTS (SELECT 1 FROM sym WHERE sym.b = u.x AND sym.a IN (SELECT x FROM se{k})) THEN 2 ELSE 0 END AS s FROM st{k - 1} u)"""
@@ -42,6 +48,42 @@ def gr01_copies(spark: SparkSession, d: str) -> DataFrame:
     return members.select(F.col("id").alias("vec_id"), "representative", "n_copies")
 
 
+def _node_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The usable vectors of the nodes, by the row number of the node's first row."""
+    first = table(spark, d, "nodes").groupBy("node_id").agg(F.min("ord").alias("vec_id"))
+    usable = (F.size("embedding") == 64) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
+    return table(spark, d, "node_vectors").filter(usable).join(first, "node_id").select("vec_id", "embedding")
+
+
+def gr01_problem_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of duplicate nodes, copies included."""
+    different, members = similarity.exact_copies(_node_vectors(spark, d), "vec_id")
+    pairs = similarity.with_copies(similarity.similar_pairs(different, DUPLICATE, "vec_id"), members)
+    return pairs.select("i", "j", F.round("sim", 6).alias("sim"))
+
+
+def gr02_problem_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.star_clusters(gr01_problem_pairs(spark, d).select("i", "j"))
+
+
+def gr05_problem_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes deduplicated in parity mode and their edges rewritten: the ends that changed."""
+    nodes = table(spark, d, "nodes").withColumn("confidence", F.when(F.col("confidence").between(0, 1), F.col("confidence")))
+    nodes = nodes.groupBy("node_id").agg(F.min_by(F.struct("ord", "confidence", F.filter(F.coalesce("sources", F.array()), lambda x: x["source_id"].isNotNull()).alias("sources")), "ord").alias("r")).select("node_id", "r.*")
+    clusters = Workspace(spark, "dedup").put(gr02_problem_clusters(spark, d), "clusters")
+    ids = Workspace(spark, "dedup").put(dedup.id_map(nodes, clusters, dedup.merge_clusters(nodes, clusters)), "ids")
+    edges = table(spark, d, "edges").select("ord", "source_node_id", "target_node_id")
+    now = dedup.remap_edges(edges, ids).withColumnsRenamed({"source_node_id": "new_source", "target_node_id": "new_target"})
+    return edges.join(now, "ord").filter("source_node_id <> new_source OR target_node_id <> new_target").select("ord", "new_source", "new_target")
+
+
+def jn11_problem_stubs(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth node as a stub against all others, by the rule's own bounds."""
+    v = _node_vectors(spark, d)
+    best = similarity.nearest(v.filter("vec_id % 50 = 0"), v.filter("vec_id % 50 <> 0"), 2, "vec_id")
+    return maintenance.resolve_stubs(best).select(F.col("id").alias("vec_id"), "decision", "match")
+
+
 def gr02_star_clusters(spark: SparkSession, d: str) -> DataFrame:
     return dedup.star_clusters(_links(spark, d).select("i", "j"))
 
@@ -180,7 +222,7 @@ _G = "WITH RECURSIVE" + PROBLEM_SQL
 QUERIES = {
     f.__name__: f
     for f in (
-        gr01_jn04_similar_pairs, gr01_copies, gr02_star_clusters, gr03_gr05_merged, gr04_hierarchy_decisions, gr05_dedup, jn11_dg03_stubs, jn12_dg04_seeds, dg05_clean_edges, dg06_permanent_ids, dg07_jn14_hierarchy,
+        gr01_jn04_similar_pairs, gr01_copies, gr01_problem_pairs, gr02_problem_clusters, gr05_problem_dedup, jn11_problem_stubs, gr02_star_clusters, gr03_gr05_merged, gr04_hierarchy_decisions, gr05_dedup, jn11_dg03_stubs, jn12_dg04_seeds, dg05_clean_edges, dg06_permanent_ids, dg07_jn14_hierarchy,
         dg08_decay, dg09_level_scores, dg10_coverage, dg11_q6_decomposability, dg12_as_of_2024, dg14_search, q07_win09_emerging, agg21_gates, stream_windowed_degrees, stream_sessions,
     )
 }
@@ -189,6 +231,16 @@ _KEY = "substr(regexp_replace(regexp_replace(lower(title), '^[\\s\\pZ]+', ''), '
 SQL = {
     "gr01_jn04_similar_pairs": f"WITH {_LINKS} SELECT i, j, round(sim, 6) AS sim FROM links",
     "gr01_copies": "SELECT vec_id, min(vec_id) OVER (PARTITION BY embedding) AS representative, count(*) OVER (PARTITION BY embedding) AS n_copies FROM embeddings",
+    "gr01_problem_pairs": f"WITH {_NODE_LINKS} SELECT i, j, round(sim, 6) AS sim FROM links",
+    "gr02_problem_clusters": _stars_sql(_NODE_LINKS) + " SELECT seed, member, pos FROM placed",
+    "gr05_problem_dedup": _stars_sql(_NODE_LINKS)
+    + """, nn AS (SELECT node_id, min(ord) AS ord, arg_min(struct_pack(c := confidence), ord).c AS c FROM nodes GROUP BY 1),
+m AS (SELECT p.*, n.node_id, coalesce(CASE WHEN n.c BETWEEN 0 AND 1 THEN n.c END, '-infinity'::DOUBLE) AS conf FROM placed p JOIN nn n ON n.ord = p.member),
+base AS (SELECT seed, node_id AS new_id FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY conf DESC, pos) AS k FROM m) WHERE k = 1),
+ids AS (SELECT old_id, new_id FROM (SELECT m.node_id AS old_id, arg_min(b.new_id, m.seed) AS new_id FROM m JOIN base b USING (seed) GROUP BY 1) WHERE old_id <> new_id),
+e AS (SELECT e.ord, e.source_node_id AS s, e.target_node_id AS t, coalesce(a.new_id, e.source_node_id) AS new_source, coalesce(b.new_id, e.target_node_id) AS new_target FROM edges e LEFT JOIN ids a ON a.old_id = e.source_node_id LEFT JOIN ids b ON b.old_id = e.target_node_id)
+SELECT ord, new_source, new_target FROM e WHERE s <> new_source OR t <> new_target""",
+    "jn11_problem_stubs": f"WITH {_NODE_UNIT}, r AS (SELECT a.vec_id AS id, b.vec_id AS match, list_dot_product(a.v, b.v) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.v, b.v), 12) DESC, b.vec_id) AS k FROM vec a JOIN vec b ON a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0), o AS (SELECT id, max(sim) FILTER (WHERE k = 1) AS t1, max(sim) FILTER (WHERE k = 2) AS t2, max(match) FILTER (WHERE k = 1) AS match FROM r WHERE k <= 2 GROUP BY 1), x AS (SELECT id, match, CASE WHEN t1 > 0.75 AND t2 > 0.75 THEN 'flag' WHEN t1 > 0.85 AND t2 < 0.75 THEN 'resolve' WHEN t1 < 0.80 THEN 'promote' ELSE 'flag' END AS decision FROM o) SELECT id AS vec_id, decision, CASE WHEN decision = 'resolve' THEN match END AS match FROM x",
     "gr02_star_clusters": _stars_sql() + " SELECT seed, member, pos FROM placed",
     "gr04_hierarchy_decisions": _stars_sql() + " SELECT seed, CASE WHEN count(*) = 2 THEN 'MERGE' ELSE 'HIERARCHY' END AS decision, (CASE WHEN count(*) = 2 THEN 0 ELSE count(*) - 1 END)::INT AS n_children FROM placed GROUP BY 1",
     "gr03_gr05_merged": _stars_sql()
