@@ -62,6 +62,16 @@ def rule_edges(context: str, titles: list[str]) -> list[dict]:
     return [{"source_title": a, "target_title": b, "type": "ENABLES", "mechanism": "named together"} for a, b in zip(titles, titles[1:], strict=False)]
 
 
+#: Extractors of both passes by the name of their model; a remote model is added under its own.
+MODELS: dict[str, tuple[NodeExtractor, EdgeExtractor]] = {"rules": (rule_nodes, rule_edges)}
+
+
+def of_model(name: str) -> tuple[NodeExtractor, EdgeExtractor]:
+    if name not in MODELS:
+        raise ValueError(f"no extractors of model {name!r}; there are {sorted(MODELS)}")
+    return MODELS[name]
+
+
 def section_prompt(title: F.Column, text: F.Column) -> F.Column:  # type: ignore[name-defined]
     """Section texts carry their title, which counts within the limit."""
     return F.left(F.concat(F.lit("[Section: "), title, F.lit("]\n\n"), text), F.lit(PASS1_LETTERS))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fulcrum.durable import Workspace
 from fulcrum.functions.numbers import min_max
+from fulcrum.operators import similarity
 from fulcrum.operators.skew import spread_join
 
 WEAK_EDGE = 0.15
@@ -69,6 +72,12 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
     return out.select("node_id", "root_id", F.col("depth").cast("int").alias("depth"))
 
 
+def with_orphan_flag(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with ``orphan``: no edge ``(src, dst)`` names the node."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct().withColumn("_met", F.lit(True))
+    return rows.join(ends, "node_id", "left").withColumn("orphan", F.col("_met").isNull()).drop("_met")
+
+
 def decayed_confidence(nodes: DataFrame, as_of: str, rate: float = DECAY_PER_YEAR) -> DataFrame:
     """``(node_id, decayed, stale)``: confidence times exp(-rate * years) since the last validation; stale from two years on."""
     days = F.datediff(F.lit(as_of).cast("date"), F.coalesce("last_validated", "created_at").cast("date"))
@@ -102,6 +111,30 @@ def integrate_seeds(seeds: DataFrame, nodes: DataFrame, key: Column) -> DataFram
     return both.select("seed_id", "node_id", F.when(F.col("seed_id").isNull(), "extracted").when(F.col("node_id").isNull(), "seed_only").otherwise("matched").alias("status"))
 
 
+def integrate_by_nearest(seeds: DataFrame, nodes: DataFrame, make: Callable[[], similarity.Embedder] = similarity.hashed_words, sure: float = 0.85) -> DataFrame:
+    """``(seed_id, node_id, status)``: each seed's most similar node by title and description, if similar enough; the unmatched of both sides kept.
+
+    Seeds are a list set by hand; every seed is compared with all nodes, in blocks.
+    """
+    worded = lambda df, kind: similarity.embed(df.filter("node_id IS NOT NULL").groupBy("node_id").agg(F.min(F.concat_ws(". ", "title", "description")).alias("t")).select(F.concat(F.lit(kind), "node_id").alias("node_id"), "t"), "t", make)
+    best = similarity.nearest(worded(seeds, "s:"), worded(nodes, "n:"), 1).filter(F.col("sim") >= sure).select(F.substring("id", 3, 1 << 20).alias("seed_id"), F.substring("match", 3, 1 << 20).alias("node_id"))
+    only = seeds.select(F.col("node_id").alias("seed_id")).filter("seed_id IS NOT NULL").distinct().join(best, "seed_id", "left")
+    rest = nodes.select("node_id").filter("node_id IS NOT NULL").distinct().join(best.select("node_id").distinct(), "node_id", "left_anti")
+    return only.select("seed_id", "node_id", F.when(F.col("node_id").isNull(), "seed_only").otherwise("matched").alias("status")).unionByName(rest.select(F.lit(None).cast("string").alias("seed_id"), "node_id", F.lit("extracted").alias("status")))
+
+
+#: Bounds that a finished graph has to keep, metric, least, most.
+GATES = (("n_nodes", 400.0, None), ("n_edges", 1500.0, None), ("orphan_pct", None, 15.0), ("n_cross_field", 50.0, None))
+
+
+def gate_verdicts(values: DataFrame) -> DataFrame:
+    """``(metric, value, passed)`` of ``(metric, value)`` rows that have a bound."""
+    verdict = F.lit(None).cast("boolean")
+    for metric, least, most in GATES:
+        verdict = F.when(F.col("metric") == metric, (F.col("value") >= least) if least is not None else (F.col("value") <= most)).otherwise(verdict)
+    return values.select("metric", "value", verdict.alias("passed")).filter("passed IS NOT NULL")
+
+
 def coverage(top: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(metric, value)`` of a leaderboard: rows, share of the largest domain, mean confidence."""
     rows = top.select("node_id").join(nodes, "node_id")

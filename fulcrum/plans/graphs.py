@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fulcrum.durable import Workspace
 from fulcrum.operators import graph, scoring
 from fulcrum.plans.tables import PROBLEM_SQL, TRADE_SQL, problem_graph, table, trade_edges, trade_graph, trade_nodes
+from fulcrum.schemas import SCORE
+from fulcrum.sources import sinks
 
 #: Rounds the SQL unrolls for the 25 nodes of the acyclic trade graph: no walk is longer.
 ROUNDS = 26
@@ -119,6 +122,13 @@ def udf06_weights(spark: SparkSession, d: str) -> DataFrame:
     return s.select("node_id", F.round("leverage", 5).alias("leverage"))
 
 
+def snk05_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores with nested components as JSON lines, read back."""
+    path = Workspace(spark, "scores").root + "/scores"
+    sinks.write_jsonl(sinks.nested_scores(scoring.leverage_index(trade_graph(spark, d))), path)
+    return spark.read.schema(SCORE).json(path).select("node_id", F.round("leverage", 5).alias("leverage"), F.round("components.bottleneck", 5).alias("bottleneck"))
+
+
 def q04_blocks(spark: SparkSession, d: str) -> DataFrame:
     return graph.blocked_by(trade_graph(spark, d).edges, "n20").select("node_id", "type", F.round("weight", 6).alias("weight"))
 
@@ -259,7 +269,7 @@ QUERIES = {
     for f in (
         gr06_build_graph, gr06_problem_edges, gr07_graph_stats, gr08_typed_subgraph, gr09_normalised, gr10_cascade, gr10_cascade_problems, gr11_cross_field, gr12_bottleneck, leverage_index,
         agg01_node_types, agg02_field_distribution, agg03_orphans, agg04_edge_types, agg05_cross_field_edges, q02_roots_of_field, q03_unlocked_by, q04_blocks, q05_common_ancestors,
-        dg01_blocker_degree, dg02_reach_strength, dg13_subgraph, q02_top_roots_problems, q03_unlocked_by_importance, udf06_weights, gr10_cascade_whole_problems, gr11_cross_field_problems, gr12_bottleneck_problems, leverage_index_problems, dg02_reach_strength_problems,
+        dg01_blocker_degree, dg02_reach_strength, dg13_subgraph, q02_top_roots_problems, q03_unlocked_by_importance, udf06_weights, snk05_scores, gr10_cascade_whole_problems, gr11_cross_field_problems, gr12_bottleneck_problems, leverage_index_problems, dg02_reach_strength_problems,
         q02_roots_of_field_problems, q04_blocks_problems, q05_common_ancestors_problems,
     )
 }
@@ -299,3 +309,4 @@ SELECT s.node_id, round((s.s - ends.a) / (ends.b - ends.a) + 0.5 * CASE WHEN end
     "dg02_reach_strength": _T + ", m0 AS MATERIALIZED (SELECT src AS s, dst AS t, w FROM te)" + "".join(f", m{k} AS MATERIALIZED (SELECT s, t, max(w) AS w FROM (SELECT * FROM m{k - 1} UNION ALL SELECT m.s, e.dst, m.w * e.w FROM m{k - 1} m JOIN te e ON e.src = m.t) GROUP BY 1, 2)" for k in range(1, 25)) + " SELECT n.node_id, round(coalesce(sum(m.w), 0), 6) AS strength FROM tn n LEFT JOIN m24 m ON m.s = n.node_id GROUP BY 1",
     "dg13_subgraph": _G + ", k AS (SELECT n.node_id FROM gn n JOIN gd USING (node_id) WHERE list_contains(gd.d, 'agronomy') AND n.type = 'data_gap') SELECT src, dst FROM ge WHERE src IN (SELECT node_id FROM k) AND dst IN (SELECT node_id FROM k)",
 }
+SQL["snk05_scores"] = SQL["leverage_index"].split("SELECT row_number()")[0] + " SELECT node_id, round(leverage, 5) AS leverage, round(bottleneck, 5) AS bottleneck FROM lev"

@@ -74,6 +74,30 @@ def prj04_src06_articles(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_article_sets(p.select(xml.alias("value"))).select("id", "title", "year", "is_review", "doi", F.size("fields").alias("n_fields"))
 
 
+_FOUND = "SELECT id FROM (SELECT id, max(year) AS year FROM papers WHERE contains(lower(concat_ws(' ', title, abstract)), 'learning') AND contains(lower(concat_ws(' ', title, abstract)), 'limited') GROUP BY 1) ORDER BY year DESC NULLS LAST, id LIMIT 20"
+
+
+@query(_FOUND)
+def src06_src08_search(spark: SparkSession, d: str) -> DataFrame:
+    """A search that finds nothing gives way to a simpler one."""
+    p = table(spark, d, "papers")
+    return readers.first_non_empty(readers.search_ids(p, "learning limited qqqq", 20), lambda: readers.search_ids(p, "learning limited", 20))
+
+
+_XML_TEXT = r"regexp_replace(text, '[\x00-\x1f\x{FFFE}\x{FFFF}]', ' ', 'g')"
+
+
+@query(f"SELECT doc_id, 'Future perspectives' AS title, length(body)::INT AS n_letters FROM (SELECT doc_id, {_COLLAPSE.format(_XML_TEXT)} AS body FROM documents WHERE text IS NOT NULL AND origin_id IN (SELECT id FROM papers)) WHERE length(body) > 100")
+def src09_prj05_full_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of known papers as JATS records, fetched by the papers' ids, their signal sections parsed."""
+    ids = table(spark, d, "papers").select(F.col("id").alias("origin_id")).distinct()
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").join(ids, "origin_id", "left_semi")
+    body = _escaped(F.regexp_replace("text", "[\\x00-\\x1f\\uFFFE\\uFFFF]", " "))
+    xml = F.concat(F.lit("<article xmlns='urn:x'><body><sec><title>Methods</title><p>none</p></sec><sec><title>Future perspectives</title><p>"), body, F.lit("</p></sec></body></article>"))
+    got = sections.jats_sections(docs.select("doc_id", xml.alias("xml")))
+    return got.select("doc_id", "title", F.length("text").alias("n_letters"))
+
+
 _AWARD = "SELECT id, trim(title) AS title, year, amount, '{0}' AS source FROM grants WHERE source = '{0}' AND trim(abstract, chr(9) || chr(10) || chr(13) || ' ') <> ''"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fulcrum.durable import Workspace
-from fulcrum.functions.text import title_key
+from fulcrum.functions.text import domains, title_key
 from fulcrum.operators import dedup, graph, maintenance, similarity
 from fulcrum.plans.tables import PROBLEM_SQL, problem_graph, table
 from fulcrum.streaming import ingest
@@ -145,6 +145,29 @@ def dg08_decay(spark: SparkSession, d: str) -> DataFrame:
     return maintenance.decayed_confidence(n, "2026-06-01").select("node_id", F.round("decayed", 6).alias("decayed"), "stale")
 
 
+def dg08_orphan_flags(spark: SparkSession, d: str) -> DataFrame:
+    g = problem_graph(spark, d)
+    return maintenance.with_orphan_flag(g.nodes.select("node_id"), g.edges)
+
+
+def dg09_field_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Confidence scaled within each domain of a node."""
+    n = problem_graph(spark, d).nodes.filter("confidence BETWEEN 0 AND 1").select("node_id", F.explode(domains("fields")).alias("domain"), "confidence")
+    return maintenance.normalised_within(n, "domain", "confidence").select("node_id", "domain", F.round("confidence", 6).alias("scaled"))
+
+
+def dg04_nearest_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """UDF03: seeds matched to their most similar node by the built-in embedder."""
+    return maintenance.integrate_by_nearest(table(spark, d, "seed_nodes"), table(spark, d, "nodes"))
+
+
+def agg21_gate_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    s = graph.graph_stats(problem_graph(spark, d))
+    names = [m for m, _, _ in maintenance.GATES]
+    values = s.select(F.explode(F.create_map(*(x for m in names for x in (F.lit(m), F.col(m).cast("double"))))).alias("metric", "value"))
+    return maintenance.gate_verdicts(values)
+
+
 def dg09_level_scores(spark: SparkSession, d: str) -> DataFrame:
     n = problem_graph(spark, d).nodes.filter("confidence BETWEEN 0 AND 1").select("node_id", "granularity", "confidence")
     return maintenance.normalised_within(n, "granularity", "confidence").select("node_id", F.round("confidence", 6).alias("scaled"))
@@ -223,7 +246,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         gr01_jn04_similar_pairs, gr01_copies, gr01_problem_pairs, gr02_problem_clusters, gr05_problem_dedup, jn11_problem_stubs, gr02_star_clusters, gr03_gr05_merged, gr04_hierarchy_decisions, gr05_dedup, jn11_dg03_stubs, jn12_dg04_seeds, dg05_clean_edges, dg06_permanent_ids, dg07_jn14_hierarchy,
-        dg08_decay, dg09_level_scores, dg10_coverage, dg11_q6_decomposability, dg12_as_of_2024, dg14_search, q07_win09_emerging, agg21_gates, stream_windowed_degrees, stream_sessions,
+        dg08_decay, dg08_orphan_flags, dg09_field_scores, dg04_nearest_seeds, agg21_gate_verdicts, dg09_level_scores, dg10_coverage, dg11_q6_decomposability, dg12_as_of_2024, dg14_search, q07_win09_emerging, agg21_gates, stream_windowed_degrees, stream_sessions,
     )
 }
 
@@ -255,6 +278,9 @@ SELECT b.seed, 'v' || b.member AS node_id, b.conf::DOUBLE AS confidence, string_
     "dg07_jn14_hierarchy": "WITH RECURSIVE u0 AS (SELECT node_id, arg_max(parent_id, ord) FILTER (WHERE true) AS p0, arg_max(struct_pack(p := parent_id), ord).p AS p FROM nodes GROUP BY 1), u AS (SELECT node_id, CASE WHEN p IN (SELECT node_id FROM u0) THEN p END AS p FROM u0), r AS (SELECT node_id, node_id AS root_id, 0 AS depth FROM u UNION ALL SELECT r.node_id, u.p, depth + 1 FROM r JOIN u ON u.node_id = r.root_id WHERE u.p IS NOT NULL) SELECT node_id, arg_max(root_id, depth) AS root_id, max(depth) AS depth FROM r GROUP BY 1",
     "dg08_decay": "SELECT ord::VARCHAR AS node_id, round(confidence * exp(-0.35 * greatest(date_diff('day', coalesce(last_validated, created_at)::DATE, DATE '2026-06-01'), 0) / 365.0), 6) AS decayed, date_diff('day', coalesce(last_validated, created_at)::DATE, DATE '2026-06-01') >= 730 AS stale FROM nodes WHERE confidence BETWEEN 0 AND 1",
     "dg09_level_scores": _G + ", c AS (SELECT node_id, granularity, confidence, min(confidence) OVER (PARTITION BY granularity) AS lo, max(confidence) OVER (PARTITION BY granularity) AS hi FROM gn WHERE confidence BETWEEN 0 AND 1) SELECT node_id, round(CASE WHEN hi = lo THEN 0 ELSE (confidence - lo) / (hi - lo) END, 6) AS scaled FROM c",
+    "dg08_orphan_flags": _G + " SELECT node_id, node_id NOT IN (SELECT src FROM ge UNION SELECT dst FROM ge) AS orphan FROM gn",
+    "dg09_field_scores": _G + ", c AS (SELECT node_id, domain, confidence, min(confidence) OVER (PARTITION BY domain) AS lo, max(confidence) OVER (PARTITION BY domain) AS hi FROM (SELECT gn.node_id, unnest(list_filter(gd.d, lambda x: x IS NOT NULL)) AS domain, confidence FROM gn JOIN gd USING (node_id) WHERE confidence BETWEEN 0 AND 1)) SELECT node_id, domain, round(CASE WHEN hi = lo THEN 0 ELSE (confidence - lo) / (hi - lo) END, 6) AS scaled FROM c",
+    "agg21_gate_verdicts": _G + ", o AS (SELECT count(*) AS n FROM gn WHERE node_id NOT IN (SELECT src FROM ge UNION SELECT dst FROM ge)), x AS (SELECT count(*) AS n FROM ge e JOIN gd a ON a.node_id = e.src JOIN gd b ON b.node_id = e.dst WHERE len(a.d) > 0 AND len(b.d) > 0 AND NOT list_has_any(a.d, b.d)), v AS (SELECT 'n_nodes' AS metric, count(*)::DOUBLE AS value FROM gn UNION ALL SELECT 'n_edges', count(*) FROM ge UNION ALL SELECT 'orphan_pct', printf('%.1f', 100.0 * (SELECT n FROM o) / greatest((SELECT count(*) FROM gn), 1))::DOUBLE UNION ALL SELECT 'n_cross_field', n FROM x) SELECT metric, value, CASE metric WHEN 'n_nodes' THEN value >= 400 WHEN 'n_edges' THEN value >= 1500 WHEN 'orphan_pct' THEN value <= 15 ELSE value >= 50 END AS passed FROM v",
     "dg10_coverage": _G + ", t AS (SELECT src AS node_id FROM ge WHERE type IN ('ENABLES', 'PRODUCES_FOR') GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 50), r AS (SELECT gn.* FROM t JOIN gn USING (node_id)), dm AS (SELECT split_part(f, '.', 1) AS d, count(*) AS n FROM (SELECT unnest(fields) AS f FROM r) GROUP BY 1) SELECT 'n_rows' AS metric, count(*)::DOUBLE AS value FROM r UNION ALL SELECT 'mean_confidence', round(avg(confidence) FILTER (WHERE confidence BETWEEN 0 AND 1), 6) FROM r UNION ALL SELECT 'largest_domain_pct', round(100.0 * max(n) / sum(n), 6) FROM dm",
     "dg11_q6_decomposability": _G + ", c AS (SELECT node_id, (confidence + substr(granularity, 2, 1)::INT / 3.0) / 2 AS m FROM gn WHERE confidence BETWEEN 0 AND 1 AND granularity IN ('L0', 'L1', 'L2', 'L3')) SELECT node_id, round(m, 6) AS composite, CASE WHEN m >= 0.85 THEN 'fully_parallel' WHEN m >= 0.7 THEN 'map_reduce' WHEN m >= 0.55 THEN 'pipeline' WHEN m >= 0.4 THEN 'hierarchical' WHEN m >= 0.2 THEN 'iterative_loop' ELSE 'single_expert' END AS architecture FROM c",
     "dg12_as_of_2024": "WITH n AS (SELECT DISTINCT node_id FROM nodes WHERE year(created_at) <= 2024), e AS (SELECT source_node_id, target_node_id, arg_max(type, ord) AS type FROM edges WHERE year(created_at) <= 2024 AND source_node_id <> target_node_id AND source_node_id IN (SELECT node_id FROM n) AND target_node_id IN (SELECT node_id FROM n) GROUP BY 1, 2) SELECT type, count(*) AS n FROM e GROUP BY 1",

@@ -96,6 +96,14 @@ def first_non_empty(first: DataFrame, other) -> DataFrame:  # noqa: ANN001
     return other() if first.isEmpty() else first
 
 
+def search_ids(papers: DataFrame, words: str, most: int) -> DataFrame:
+    """``(id)`` of the papers whose title or abstract holds every word of the query, the newest first, ties by id."""
+    text, hit = F.lower(F.concat_ws(" ", "title", "abstract")), F.lit(True)
+    for w in words.lower().split():
+        hit = hit & text.contains(w)
+    return papers.filter(hit).groupBy("id").agg(F.max("year").alias("year")).orderBy(F.desc_nulls_last("year"), "id").limit(most).select("id")
+
+
 def works_to_papers(works: DataFrame, source: str = "openalex") -> DataFrame:
     """Raw works to papers: abstract from the inverted index, topics to fields, falsy titles to ''."""
     return works.select(
