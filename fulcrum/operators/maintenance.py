@@ -43,7 +43,7 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
 
     Each round doubles the distance that every node looks up, so a chain of n nodes
     takes about log2(n) rounds.  Nodes on or below a cycle of parents have no root: both
-    are null.  Nodes that have arrived at a root take no further part, and an ancestor of
+    are null.  Nodes that have arrived at a root are only looked up, and an ancestor of
     very many nodes is spread.
     """
     work = Workspace(nodes.sparkSession, "hierarchy")
@@ -52,24 +52,20 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
     known = up.select(F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
     up = work.put(spread_join(up, known, "parent_id", rows).select("node_id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id")), "up")
     roots = up.filter("parent_id IS NULL").select("node_id", F.col("node_id").alias("root_id"), F.lit(0).cast("long").alias("depth"))
-    done = [roots]
-    moving = work.put(up.filter("parent_id IS NOT NULL").select("node_id", F.col("parent_id").alias("at"), F.lit(1).cast("long").alias("depth")), "moving")
+    below = up.filter("parent_id IS NOT NULL").select("node_id", F.col("parent_id").alias("at"), F.lit(1).cast("long").alias("depth"))
+    known_roots = roots.select(F.col("node_id").alias("at"), F.lit(True).alias("_root"))
+    below = work.put(spread_join(below, known_roots, "at", rows).select("node_id", "at", "depth", F.coalesce("_root", F.lit(False)).alias("home")), "below")
     reach = 1
-    while not moving.isEmpty():
-        if reach > rows:
-            done.append(moving.select("node_id", F.lit(None).cast("string").alias("root_id"), F.lit(None).cast("long").alias("depth")))
-            break
-        # an ancestor that moves on itself is replaced by its own; the others are roots
-        further = moving.select(F.col("node_id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
-        met = work.put(spread_join(moving, further, "at", rows), "met")
-        done.append(met.filter("next IS NULL").select("node_id", F.col("at").alias("root_id"), "depth"))
-        work.drop(moving)
-        moving = work.put(met.filter("next IS NOT NULL").select("node_id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth")), "moving")
+    while reach <= rows and not below.filter("NOT home").isEmpty():
+        # an ancestor that is no root itself is replaced by the one it has come to
+        further = below.select(F.col("node_id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"), F.col("home").alias("there"))
+        met = spread_join(below.filter("NOT home").drop("home"), further, "at", rows)
+        moved = met.select("node_id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("home"))
+        spent, below = below, work.put(below.filter("home").unionByName(moved), "below")
+        work.drop(spent)
         reach *= 2
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out.select("node_id", "root_id", F.col("depth").cast("int").alias("depth"))
+    ended = below.select("node_id", F.when(F.col("home"), F.col("at")).alias("root_id"), F.when(F.col("home"), F.col("depth")).alias("depth"))
+    return roots.unionByName(ended).select("node_id", "root_id", F.col("depth").cast("int").alias("depth"))
 
 
 def with_orphan_flag(rows: DataFrame, edges: DataFrame) -> DataFrame:

@@ -4,8 +4,11 @@ import json
 import tarfile
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from fulcrum.durable import shared_dir
 from fulcrum.functions import text as tx
 from fulcrum.functions.numbers import round_binary
 from fulcrum.operators import basics, dedup, extract, maintenance, orphans, sections, similarity, skew
@@ -109,6 +112,123 @@ def test_star_clusters_and_merge_golden(spark):
     assert tuple(dedup.remap_edges(edges, ids).first()) == ("n1", "n4")
 
 
+def test_stars_by_rounds_equal_the_scan(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(4)
+    pairs = [(i, i + 1) for i in range(9)] + [(rnd.randint(20, 45), rnd.randint(20, 45)) for _ in range(40)]
+    links = spark.createDataFrame(pairs, "i long, j long")
+    near = {}
+    for i, j in pairs:
+        if i != j:
+            near.setdefault(i, set()).add(j)
+            near.setdefault(j, set()).add(i)
+    want, passed = set(), set()
+    for i in sorted(near):
+        if i not in passed:
+            members = [i, *sorted(near[i])]
+            want |= {(i, m, k) for k, m in enumerate(members)}
+            passed |= set(members)
+    for most in (2_000_000, 0):
+        monkeypatch.setattr(dedup, "SCAN_PAIRS", most)
+        assert {tuple(r) for r in dedup.star_clusters(links).collect()} == want
+    with pytest.raises(RuntimeError):
+        dedup.star_clusters(links, max_rounds=1)
+
+
+def test_merges_carry_sources_along_a_long_run(spark):
+    """70 clusters, each based on the next one's member: the last base has the sources of all."""
+    n = 70
+    clusters = spark.createDataFrame([(k, k, 0) for k in range(n)] + [(k, 100 + k, 1) for k in range(n)] + [(k, 99 + k, 2) for k in range(1, n)], "seed long, member long, pos long")
+    rows = [(k, f"a{k}", 0.1, []) for k in range(n)] + [(100 + k, f"b{k}", 0.5 + k / 1000, [("paper", f"p{k}", "")]) for k in range(n)]
+    nodes = spark.createDataFrame(rows, f"ord long, node_id string, confidence double, sources {REFS}")
+    last = dedup.merge_clusters(nodes, clusters.filter("seed < 12")).filter("seed = 11").first()
+    assert {s.source_id for s in last.sources} == {f"p{k}" for k in range(12)}
+
+
+def test_hierarchy_of_long_chains_and_cycles(spark):
+    rows = [(f"h{k:03d}", f"h{k - 1:03d}" if k else None) for k in range(71)] + [("x", "y"), ("y", "x"), ("z", "y"), ("s", "s"), ("lone", "gone"), (None, "h000")]
+    df = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(rows)], "node_id string, parent_id string, ord int")
+    got = {r.node_id: (r.root_id, r.depth) for r in maintenance.hierarchy(df).collect()}
+    assert got == {f"h{k:03d}": ("h000", k) for k in range(71)} | dict.fromkeys(("x", "y", "z", "s"), (None, None)) | {"lone": ("lone", 0)}
+    assert maintenance.hierarchy(df.limit(0)).count() == 0
+
+
+def test_answers_to_nodes_and_rejects(spark):
+    good = {"type": "data_gap", "granularity": "L1", "title": "t" * 201, "description": "d", "evidence_quote": "q" * 600}
+    items = [good, good | {"confidence": None}, good | {"confidence": "0.4", "fields": ["a.b"]}, good | {"type": "odd"}, {"type": "data_gap"}, good | {"confidence": "much"}]
+    df = spark.createDataFrame([("a", "Sure: " + json.dumps({"nodes": items}) + " ok"), ("b", "no object"), ("c", None), ("d", "{broken"), ("e", "{}")], "doc_id string, answer string")
+    ok, bad = extract.nodes_of_answers(df)
+    assert [(r.n, r.confidence, len(r.title), r.fields, len(r.sources[0].evidence_quote)) for r in ok.orderBy("n").collect()] == [(0, 0.7, 200, [], 500), (2, 0.4, 200, ["a.b"], 500)]
+    assert sorted((r.doc_id, r.n or 0) for r in bad.collect()) == [("a", 1), ("a", 3), ("a", 4), ("a", 5), ("b", 0), ("c", 0), ("d", 0), ("e", 0)]
+
+
+def test_stubs_name_the_whole_title_and_come_first(spark):
+    nodes = spark.createDataFrame([("d", "n1", "Alpha", 0)], "doc_id string, node_id string, title string, n int")
+    raw = spark.createDataFrame([("d", 3, "Alpha", "G" * 250, "ENABLES", False, True, True)], "doc_id string, n int, source_title string, target_title string, type string, source_is_new boolean, target_is_new boolean, sound boolean")
+    _, stubs = extract.resolve_titles(raw, nodes)
+    made = extract.stub_nodes(stubs).first()
+    assert made.title == "G" * 200 and made.description == f"Stub node: cross-field reference to '{'G' * 250}'. To be resolved by graph construction."
+    assert [r.node_id for r in extract.node_bag(stubs, nodes).orderBy("turn", "place").collect()] == [made.node_id, "n1"]
+    with pytest.raises(ValueError):
+        extract.of_model("none")
+    assert extract.of_model("rules")[0] is extract.rule_nodes
+
+
+def test_embedder_is_made_once_and_gets_small_batches(spark):
+    df = spark.createDataFrame([(k, f"word{k % 3} text") for k in range(150)] + [(200, None), (201, " ")], "id int, t string").coalesce(1)
+
+    def make():
+        made = []
+
+        def run(texts):
+            made.append(len(texts))
+            assert len(texts) <= similarity.EMBED_BATCH
+            return [np.array([len(made), len(t)], np.float32) for t in texts]
+
+        return run
+
+    rows = {r.id: r.embedding for r in similarity.embed(df, "t", make).collect()}
+    assert rows[200] is None and rows[201] is None and rows[149][0] == 3.0 and rows[0][0] == 1.0
+    plain = {r.id: r.embedding for r in similarity.embed(df, "t").collect()}
+    assert plain[0] == plain[3] != plain[1]
+
+
+def test_nearest_seeds_and_gates(spark):
+    seeds = spark.createDataFrame([("s1", "Grid storage limits", "Long text one"), ("s2", "Unrelated words here", None)], "node_id string, title string, description string")
+    nodes = spark.createDataFrame([("n1", "grid storage limits", "long text one"), ("n2", "Something else", "entirely"), (None, "x", "y")], "node_id string, title string, description string")
+    got = {tuple(r) for r in maintenance.integrate_by_nearest(seeds, nodes).collect()}
+    assert got == {("s1", "n1", "matched"), ("s2", None, "seed_only"), (None, "n2", "extracted")}
+    values = spark.createDataFrame([("n_nodes", 399.0), ("orphan_pct", 15.0), ("other", 1.0)], "metric string, value double")
+    assert {r.metric: r.passed for r in maintenance.gate_verdicts(values).collect()} == {"n_nodes": False, "orphan_pct": True}
+
+
+def test_grants_by_code_takes_pages_in_turn(spark):
+    rows = [(f"g{k}", "x" if k % 2 else " ", k, "deep learning" if k < 6 else "pharmacology") for k in range(10)]
+    df = spark.createDataFrame(rows, "id string, abstract string, ord int, topic string")
+    got = readers.grants_by_code(df, ["pharmacology", "deep learning", "none"], F.col("topic") == F.col("code"), [F.col("ord")], 4, 3)
+    assert [(r.code_pos, r.id) for r in got.collect()] == [(0, "g7"), (0, "g9"), (1, "g1")]
+    assert readers.search_ids(spark.createDataFrame([("a", "Deep nets", "learning", 2020), ("b", "deep", None, 2024), ("c", "deep", "learning", None)], "id string, title string, abstract string, year int"), "deep learning", 5).collect() == [("a",), ("c",)]
+
+
+def test_clusters_without_a_shared_folder_raise():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
+
+
 def test_large_clusters_are_decided(spark):
     clusters = spark.createDataFrame([(0, m, m) for m in range(2_501)] + [(5_000, 5_000 + m, m) for m in range(2)] + [(6_000, 6_000 + m, m) for m in range(1_001)], "seed long, member long, pos long")
     nodes = clusters.select(F.col("member").alias("ord"), F.concat(F.lit("v"), "member").alias("node_id"), F.concat(F.lit("t"), "member").alias("title"), F.lit("").alias("description"))
@@ -240,6 +360,9 @@ def test_paged_source_pushes_filters(spark, tmp_path):
     spark.dataSource.register(paged.PagedJson)
     df = spark.read.format("paged_json").schema("id string, n int").load(str(tmp_path))
     assert sorted(r.id for r in df.filter("n > 20").collect()) == ["b", "c"]
+    (tmp_path / "index.json").write_text(json.dumps({"pages": ["p2", "p3"]}))
+    by_uri = spark.read.format("paged_json").schema("id string, n int").load(f"file://{tmp_path}")
+    assert sorted(r.id for r in by_uri.collect()) == ["c", "z"]
 
 
 def test_streams(spark, data, tmp_path):
