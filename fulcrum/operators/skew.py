@@ -20,6 +20,8 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, rows: int, how: str
     meet nothing.  With ``how='left'`` they stay, spread over all tasks.
     """
     limit = max(limit, rows // 2_000)
+    if rows <= limit:  # no key can be hot
+        return big.join(small, key, how)
     counts = big.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     hot = F.broadcast(counts.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
     mixed = F.xxhash64(*(c for c in big.columns if c != key), F.lit(7))  # the row itself, so that a retried task salts alike

@@ -281,8 +281,9 @@ def test_orphans_small(spark):
 def test_spread_join_cuts_hot_keys(spark):
     big = spark.createDataFrame([("h", i) for i in range(500)] + [("c", 1), (None, 2)], "k string, v int")
     small = spark.createDataFrame([("h", "x"), ("c", "y")], "k string, w string")
-    rows = skew.spread_join(big, small, "k", 0, limit=50).collect()
+    rows = skew.spread_join(big, small, "k", 502, limit=50).collect()
     assert len(rows) == 502 and sum(r.w == "x" for r in rows) == 500 and [r.w for r in rows if r.k is None] == [None]
+    assert sorted(map(str, skew.spread_join(big, small, "k", 502).collect())) == sorted(map(str, rows))
 
 
 def test_numbering_spreads_groups(spark):
