@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -69,6 +70,20 @@ def test_neighbors_by_tree_lots_and_regions(spark):
         assert all(len(v) == 5 for v in got.values()) and len(got) == 900
 
 
+def test_fitting_memory_does_not_follow_the_sample():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p = neighbors.Params(codewords=64, levels=2)
+    cents, means, sizes = neighbors.fit_cells(x, 4, 1.0, p)
+    router = neighbors.Router(np.ones((1, 64), np.float32), np.array([0, len(cents)]), cents, means, sizes)
+    tracemalloc.start()
+    neighbors.fit(x, router, 3e7, 3e7, p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * x.nbytes
+
+
 def test_neighbors_ties_copies_and_unusable_rows(spark):
     x = vectors(40)
     rows = [(f"n{i:03d}", v.tolist(), 1) for i, v in enumerate(x)]
