@@ -2,12 +2,12 @@
 
 A multinomial classifier over hashed byte bigrams tells clean sentences from
 those garbled by a known chain of wrong decodings, and names the chain.  It is
-trained on sentences of a bounded sample that are garbled on purpose by every
+trained on all sentences, garbled on purpose by every
 chain.  The named chain is then inverted; a repair counts only if every byte
 sequence decodes strictly and the result reads as clean to the same classifier.
 
-Bounds, as parameters: at most ``SAMPLE_SENTENCES`` sentences, from about
-``SAMPLE_DOCS`` documents, train the classifier.  All documents, in full, are classified.
+Chains work character by character, so pairs of characters are counted once for all
+of them.  All documents, in full, train the classifier and are classified.
 """
 
 from __future__ import annotations
@@ -20,11 +20,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS = 6_000
-SAMPLE_SENTENCES = 12_000
+from fulcrum.durable import Workspace
+
+#: Counts of more sentences are scaled to so many, which smoothing and LEAST_SEEN are meant for.
+RATED = 12_000
 BUCKETS = 1 << 15
 #: Log odds that a sentence is garbled by one given chain, before looking at it: byte
 #: sequences of UTF-8 prove themselves when they decode, one-byte confusions do not.
@@ -35,7 +38,7 @@ CLEANER = 0.2
 LEAST_FOREIGN = 3
 #: Log odds from which an undecodable sentence counts as garbled beyond repair.
 HOPELESS = 14.0
-#: A foreign word counts as known if the clean sample holds it so often.
+#: A foreign word counts as known if the clean sentences hold it so often, or as often among more than RATED.
 LEAST_SEEN = 3
 LOST = "�"
 
@@ -174,7 +177,7 @@ def _bigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Classifier:
-    """Log rates (bucket, class); class 0 is clean text.  ``words``: the foreign words of the clean sample."""
+    """Log rates (bucket, class); class 0 is clean text.  ``words``: the known foreign words."""
 
     logp: np.ndarray
     names: list[str]
@@ -205,32 +208,117 @@ class Classifier:
         return out[:, 1:] - out[:, :1] + PRIORS
 
 
+#: True encodings of the chains: bit r of a sentence's mask says that the r-th can write it.
+RIGHT = list(dict.fromkeys(steps[0][0] for steps in CHAINS.values()))
+
+
+@lru_cache(maxsize=200_000)
+def _written_by(ch: str) -> int:
+    mask = 0
+    for r, codec in enumerate(RIGHT):
+        try:
+            ch.encode(codec)
+        except UnicodeEncodeError:
+            continue
+        mask |= 1 << r
+    return mask
+
+
+def character_pairs(texts: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(mask, pair, n)``: how often two characters follow each other, at least one of them beyond ASCII, in sentences of each mask.
+
+    ``times``: what each text counts.  A pair is ``first << 21 | second``; the second is 0 at the end of a text.
+    """
+    cp = np.frombuffer("".join(t.replace("\0", " ") + "\0" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if len(cp) == 0:
+        return (np.zeros(0, np.int64),) * 3
+    owner = np.cumsum(cp == 0) - (cp == 0)
+    beyond = np.nonzero(cp >= 0x80)[0]
+    chars, which = np.unique(cp[beyond], return_inverse=True)
+    mask = np.full(len(texts), (1 << len(RIGHT)) - 1, np.int64)
+    np.bitwise_and.at(mask, owner[beyond], np.array([_written_by(chr(c)) for c in chars.tolist()], np.int64)[which])
+    use = np.nonzero(((cp[:-1] >= 0x80) | (cp[1:] >= 0x80)) & (cp[:-1] != 0))[0]
+    both = np.stack([mask[owner[use]], cp[use] << 21 | cp[use + 1]])
+    kinds, which = np.unique(both, axis=1, return_inverse=True)
+    return kinds[0], kinds[1], np.bincount(which.ravel(), weights=times[owner[use]], minlength=kinds.shape[1]).astype(np.int64)
+
+
+@lru_cache(maxsize=500_000)
+def _as_left_by(ch: str, k: int) -> bytes:
+    return (ch if k == 0 else garble(ch, NAMES[k]) or "").encode("utf-8", "replace")
+
+
+def class_counts(mask: np.ndarray, pair: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(bucket, class): the byte bigrams of the sentences that the pairs were counted in, as every chain would have left them.
+
+    All chains work character by character, so the bigrams inside a character's bytes
+    and those from one character to the next say what a whole garbled sentence holds.
+    """
+    pairs, which = np.unique(pair, return_inverse=True)
+    first, second = pairs >> 21, pairs & ((1 << 21) - 1)
+    chars = np.unique(np.concatenate([first, second]))
+    at, to, ends = np.searchsorted(chars, first), np.searchsorted(chars, second), second == 0
+    counts = np.zeros((BUCKETS, len(NAMES)), np.float64)
+
+    def add(k: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
+        use = ((a >= 0x80) | (b >= 0x80)) & (a != 0) & (b != 0) & (w > 0)
+        key = (a[use].astype(np.uint32) << np.uint32(8) | b[use].astype(np.uint32)) * np.uint32(2654435761) >> np.uint32(17)
+        counts[:, k] += np.bincount(key.astype(np.int64), weights=w[use], minlength=BUCKETS)
+
+    for k in range(len(NAMES)):
+        there = n if k == 0 else n * (mask >> RIGHT.index(CHAINS[NAMES[k]][0][0]) & 1)
+        weight = np.bincount(which, weights=there, minlength=len(pairs))
+        left = [_as_left_by(chr(c), k) for c in chars.tolist()]
+        size = np.array([len(x) for x in left], np.int64)
+        raw = np.frombuffer(b"".join(left) + b"\0", np.uint8)
+        start = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(chars)), size)
+        own = np.bincount(at, weights=weight, minlength=len(chars))  # every character is the first of one pair each time it is there
+        inside = np.nonzero(owner[:-1] == owner[1:])[0]
+        add(k, raw[inside], raw[inside + 1], own[owner[inside]])
+        across = np.nonzero(~ends & (size[at] > 0) & (size[to] > 0))[0]
+        add(k, raw[start[at[across]] + size[at[across]] - 1], raw[start[to[across]]], weight[across])
+    return counts
+
+
+def classifier(counts: np.ndarray, total: int, words: frozenset[str] = frozenset()) -> Classifier:
+    """From the counts of ``total`` sentences.
+
+    Every class holds the same sentences, so counts are rates per sentence and need no
+    class total: bigrams that a chain leaves alone weigh exactly nothing.
+    """
+    return Classifier(np.log(counts * min(1.0, RATED / max(total, 1)) + 0.05).astype(np.float32), NAMES, words)
+
+
+def teaches(t: str) -> bool:
+    """Whether a sentence may be in the clean class: it holds no decodable sequences, lost characters or citations."""
+    return LOST not in t and uncited(t) == t and not any(restore_runs(t, c) not in (None, t) for c in ("utf8>cp1252", "utf8>latin1", "utf8>cp1251", "utf8>cp1250", "utf8>cp437", "utf8>mac_roman") if c in CHAINS)
+
+
+def known_words(texts: list[str], times: np.ndarray) -> Counter[str]:
+    seen: Counter[str] = Counter()
+    for t, n in zip(texts, times.tolist(), strict=True):
+        for _, w in foreign_words(t):
+            if w.isalpha() and len(w) > 2:
+                seen[w] += n
+    return seen
+
+
+def least_seen(total: int) -> float:
+    return LEAST_SEEN * max(1.0, total / RATED)
+
+
 def train(texts: list[str]) -> Classifier:
-    """A classifier from sample sentences.
+    """A classifier from sentences at hand; ``fit_classifier`` does the same with a table of any size.
 
-    Sentences that hold decodable sequences, lost characters or citations are left
-    out of the clean class; a second round also leaves out those the first one
-    can repair.
+    The clean class holds the sentences that may teach; a second round also leaves
+    out those the first one can repair.
     """
-    from fulcrum.llm import encodings as here
-
-    clean = [t for t in texts if LOST not in t and uncited(t) == t and not any(restore_runs(t, c) not in (None, t) for c in ("utf8>cp1252", "utf8>latin1", "utf8>cp1251", "utf8>cp1250", "utf8>cp437", "utf8>mac_roman") if c in here.CHAINS)]
-    model = None
-    for _ in range(2):
-        if model is not None:
-            clean = [t for t, f in zip(clean, inspect(clean, model), strict=True) if not any(x.repaired for x in f)]
-        counts = np.zeros((BUCKETS, len(NAMES)), np.float64)
-        for k, name in enumerate(NAMES):
-            # sentences that a chain leaves as they are stay in its class, so that only what it changes tells it from clean text
-            made = clean if k == 0 else [g for t in clean if (g := garble(t, name)) is not None]
-            for at in range(0, len(made), 2_000):
-                counts[:, k] += np.bincount(_bigrams(made[at : at + 2_000])[0], minlength=BUCKETS)
-        # every class holds the same sentences, so counts are rates per sentence and need no
-        # class total: bigrams that a chain leaves alone weigh exactly nothing
-        logp = np.log(counts + 0.05)
-        model = Classifier(logp.astype(np.float32), NAMES)
-    often = Counter(w for t in clean for _, w in foreign_words(t) if w.isalpha() and len(w) > 2)
-    return Classifier(model.logp, NAMES, frozenset(w for w, n in often.items() if n >= LEAST_SEEN))
+    clean = [t for t in texts if teaches(t)]
+    model = classifier(class_counts(*character_pairs(clean, np.ones(len(clean)))), len(clean))
+    clean = [t for t, f in zip(clean, inspect(clean, model), strict=True) if not any(x.repaired for x in f)]
+    words = known_words(clean, np.ones(len(clean), np.int64))
+    return classifier(class_counts(*character_pairs(clean, np.ones(len(clean)))), len(clean), frozenset(w for w, n in words.items() if n >= least_seen(len(clean))))
 
 
 def suspicion(model: Classifier, texts: list[str]) -> np.ndarray:
@@ -311,23 +399,73 @@ def inspect(texts: list[str | None], model: Classifier) -> list[list[Finding]]:
     return found
 
 
-def fit_classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Trained on at most SAMPLE_SENTENCES sentences of whole documents chosen by hash, about SAMPLE_DOCS of them.
+COUNTED = "mask long, pair long, word string, n long"
+
+
+def _counted(sentences_: DataFrame, model: Broadcast | None) -> DataFrame:
+    """``(mask, pair, word, n)`` over all ``(s, n)``, or those ``model`` can't repair: pairs of characters, known words (mask -1), and the number of sentences (mask -2)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Classifier(*model.value) if model is not None else None
+        for b in batches:
+            for lo in range(0, b.num_rows, 5_000):
+                texts, times = b.column(0).slice(lo, 5_000).to_pylist(), b.column(1).slice(lo, 5_000).to_numpy()
+                words: Counter[str] = Counter()
+                if m is not None:
+                    keep = np.array([not any(x.repaired for x in f) for f in inspect(texts, m)], bool)
+                    texts, times = [t for t, k in zip(texts, keep.tolist(), strict=True) if k], times[keep]
+                    words = known_words(texts, times)
+                mask, pair, n = character_pairs(texts, times)
+                w = len(words)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([mask, np.full(w, -1), [-2]]).astype(np.int64)),
+                        pa.array(np.concatenate([pair, np.zeros(w + 1)]).astype(np.int64)),
+                        pa.array([*[None] * len(mask), *words, None], pa.string()),
+                        pa.array(np.concatenate([n, list(words.values()), [times.sum()]]).astype(np.int64)),
+                    ],
+                    names=["mask", "pair", "word", "n"],
+                )
+
+    return sentences_.mapInArrow(count, COUNTED).groupBy("mask", "pair", "word").agg(F.sum("n").alias("n"))
 
-    Sentences are cut and chosen on the executors; only the chosen ones, none over
-    2,000 letters, reach the driver.
-    """
-    rows = docs.count()
-    share = min(1.0, 1.5 * SAMPLE_DOCS / max(rows, 1))
-    picked = docs.filter(F.col(text_col).rlike("[^\\x00-\\x7f]")).filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+
+def _from_counted(counted: DataFrame) -> Classifier:
+    """At most a row for each bucket and class, and the words of a fixed rate, reach the driver."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = class_counts(*(b.column(c).to_numpy() for c in range(3)))
+            bucket, k = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(np.rint(counts[bucket, k]).astype(np.int64))], names=["bucket", "k", "n"])
+
+    total = (counted.filter("mask = -2").agg(F.sum("n")).first() or [0])[0] or 0
+    t = counted.filter("mask >= 0").select("mask", "pair", "n").mapInArrow(spread, "bucket int, k int, n long").groupBy("bucket", "k").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((BUCKETS, len(NAMES)), np.float64)
+    counts[t.column("bucket").to_numpy(), t.column("k").to_numpy()] = t.column("n").to_numpy()
+    words = counted.filter((F.col("mask") == -1) & (F.col("n") >= least_seen(total))).select("word").toArrow()
+    return classifier(counts, total, frozenset(words.column(0).to_pylist()))
+
+
+def fit_classifier(docs: DataFrame, text_col: str = "text") -> Classifier:
+    """Trained on every sentence of every document, counted on the executors; equal sentences are looked at once and count as often as they occur."""
+    spark = docs.sparkSession
+    work = Workspace(spark, "encodings")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([t[x:y] for x, y in sentences(t) if y - x <= 2_000], pa.string())], names=["s"])
+            for lo in range(0, b.num_rows, 1_000):
+                yield pa.RecordBatch.from_arrays([pa.array([t[x:y] for t in b.column(0).slice(lo, 1_000).to_pylist() for x, y in sentences(t)], pa.string())], names=["s"])
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([teaches(t) for t in b.column(0).to_pylist()], pa.bool_()))
 
-    chosen = picked.select(text_col).mapInArrow(cut, "s string").orderBy(F.xxhash64("s"), "s").limit(SAMPLE_SENTENCES)
-    return train([r[0] for r in chosen.collect()])
+    foreign = docs.filter(F.col(text_col).rlike("[^\\x00-\\x7f]")).select(text_col)
+    once = foreign.mapInArrow(cut, "s string").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    clear = work.put(once.mapInArrow(clean, "s string, n long"), "clean")
+    first = _from_counted(work.put(_counted(clear, None), "counted"))
+    return _from_counted(work.put(_counted(clear, spark.sparkContext.broadcast((first.logp, first.names))), "counted"))
 
 
 def repair(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", model: Classifier | None = None) -> DataFrame:
@@ -339,7 +477,7 @@ def repair(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str =
     that only cite garbled characters, give no row.  Repeated texts give one row
     each.
     """
-    model = model or fit_classifier(docs, keep[0], text_col)
+    model = model or fit_classifier(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast((model.logp, model.names, model.words))
     source = docs.select(*keep, docs[text_col].alias("_text")).filter(F.col("_text").rlike("[^\\x00-\\x7f]"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])

@@ -317,6 +317,19 @@ def test_every_chain_inverts():
             assert g is None or encodings.restore(g, c) == s
 
 
+def test_every_sentence_trains_the_classifier(spark):
+    rows = [(f"Die Größe der Probe {k} fehlt. {CLEAN[k % len(CLEAN)]}" + (" Ωμέγα διαφέρει." if k % 900 == 0 else ""),) for k in range(13_000)]
+    docs = spark.createDataFrame([(k, t) for k, (t,) in enumerate(rows)], "doc_id long, text string")
+    texts = [t[a:b] for (t,) in rows for a, b in encodings.sentences(t)]
+    got, whole = encodings.fit_classifier(docs), encodings.train(texts)
+    assert np.allclose(got.logp, whole.logp) and got.words == whole.words
+    direct = np.bincount(encodings._bigrams(texts)[0], minlength=encodings.BUCKETS) * encodings.RATED / len(texts)
+    assert np.allclose(np.exp(got.logp[:, 0]) - 0.05, direct, atol=1e-3 * direct.max())
+    once = np.concatenate([encodings._bigrams([g for t in CLEAN if (g := encodings.garble(t, c)) is not None])[0] for c in encodings.CHAINS])
+    pairs = encodings.character_pairs(CLEAN, np.ones(len(CLEAN)))
+    assert (encodings.class_counts(*pairs)[:, 1:].sum(1) == np.bincount(once, minlength=encodings.BUCKETS)).all()
+
+
 def test_garbled_held_out_text_is_restored(model):
     chains = ("utf8>latin1", "utf8>cp1252", "utf8>cp1251", "utf8>cp437", "utf8>mac_roman", "utf8>cp1252>utf8>cp1252")
     tried = right = 0
