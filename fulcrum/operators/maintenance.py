@@ -110,10 +110,10 @@ def integrate_seeds(seeds: DataFrame, nodes: DataFrame, key: Column) -> DataFram
 def integrate_by_nearest(seeds: DataFrame, nodes: DataFrame, make: Callable[[], similarity.Embedder] = similarity.hashed_words, sure: float = 0.85) -> DataFrame:
     """``(seed_id, node_id, status)``: each seed's most similar node by title and description, if similar enough; the unmatched of both sides kept.
 
-    Seeds are a list set by hand; every seed is compared with all nodes, in blocks.
+    Seeds are a list set by hand; every seed is compared with all nodes.
     """
-    worded = lambda df, kind: similarity.embed(df.filter("node_id IS NOT NULL").groupBy("node_id").agg(F.min(F.concat_ws(". ", "title", "description")).alias("t")).select(F.concat(F.lit(kind), "node_id").alias("node_id"), "t"), "t", make)
-    best = similarity.nearest(worded(seeds, "s:"), worded(nodes, "n:"), 1).filter(F.col("sim") >= sure).select(F.substring("id", 3, 1 << 20).alias("seed_id"), F.substring("match", 3, 1 << 20).alias("node_id"))
+    worded = lambda df: df.filter("node_id IS NOT NULL").groupBy(F.col("node_id").alias("id")).agg(F.min(F.concat_ws(". ", "title", "description")).alias("t"))
+    best = similarity.nearest_texts(worded(seeds), worded(nodes), make).filter(F.col("sim") >= sure).select(F.col("id").alias("seed_id"), F.col("match").alias("node_id"))
     only = seeds.select(F.col("node_id").alias("seed_id")).filter("seed_id IS NOT NULL").distinct().join(best, "seed_id", "left")
     rest = nodes.select("node_id").filter("node_id IS NOT NULL").distinct().join(best.select("node_id").distinct(), "node_id", "left_anti")
     return only.select("seed_id", "node_id", F.when(F.col("node_id").isNull(), "seed_only").otherwise("matched").alias("status")).unionByName(rest.select(F.lit(None).cast("string").alias("seed_id"), "node_id", F.lit("extracted").alias("status")))

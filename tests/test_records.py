@@ -203,6 +203,18 @@ def test_nearest_seeds_and_gates(spark):
     assert {r.metric: r.passed for r in maintenance.gate_verdicts(values).collect()} == {"n_nodes": False, "orphan_pct": True}
 
 
+def test_nearest_texts_meet_the_corpus_where_it_lies(spark, monkeypatch):
+    """Queries go out in passes, and the corpus's vectors are neither shuffled nor cogrouped with them."""
+    monkeypatch.setattr(similarity, "QUERIES_AT_ONCE", 7, raising=False)
+    monkeypatch.setattr(similarity, "nearest", None)
+    texts = [f"word{k % 17} other{k % 5} term{k % 11} end{k % 3}" for k in range(300)]
+    cut = "node_id string, title string, description string"
+    seeds = spark.createDataFrame([(f"s{k:03d}", t, None) for k, t in enumerate(texts[:20])] + [("s900", " ", None), ("s901", "quite apart", None)], cut)
+    nodes = spark.createDataFrame([(f"n{k:03d}", t, None) for k, t in enumerate(texts[::-1])] + [("n900", None, None)], cut)
+    got = {r.seed_id: r.node_id for r in maintenance.integrate_by_nearest(seeds, nodes).filter("seed_id IS NOT NULL").collect()}
+    assert got == {**{f"s{k:03d}": min(f"n{j:03d}" for j, t in enumerate(texts[::-1]) if t == texts[k]) for k in range(20)}, "s900": None, "s901": None}
+
+
 def test_grants_by_code_takes_pages_in_turn(spark):
     rows = [(f"g{k}", "x" if k % 2 else " ", k, "deep learning" if k < 6 else "pharmacology") for k in range(10)]
     df = spark.createDataFrame(rows, "id string, abstract string, ord int, topic string")
