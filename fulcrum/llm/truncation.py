@@ -23,6 +23,8 @@ from fulcrum.operators.skew import spread_join
 #: A length is a spike if it occurs this often, this many times its neighbours' mean, and this many
 #: standard deviations above it.
 SPIKE_COUNT, SPIKE_FACTOR, SPIKE_SIGMAS = 8, 2.5, 6.0
+#: A word's beginning may stand alone in mid-sentence in this share of the longer word's occurrences, by misspelling.
+SLIPS = 0.02
 #: Neighbours on either side.
 SPIKE_WINDOW = 10
 #: A whole last word that ends this share of its occurrences or less was cut from what followed.
@@ -108,7 +110,8 @@ def _verdicts(rows: DataFrame, stats: DataFrame, work: Workspace, n: int) -> Dat
     s = wide.select("tail", use("e").alias("e"), use("i").alias("i"), use("p").alias("p"), "e1", "i1", (n2 < 3).alias("single"), (F.col("e3") <= 1).alias("once"))
     all_n = F.col("e") + F.col("i") + F.col("p")
     rate = F.when(all_n > 0, F.col("e") / all_n).otherwise(1.0)
-    part = (F.col("i") == 0) & (F.col("p") >= F.when(F.col("single"), 20).otherwise(3)) & (F.col("e") * 4 <= F.col("p"))
+    # a few slips of the pen leave a word's beginning in mid-sentence; their number grows with the corpus, their share doesn't
+    part = (F.col("i") <= SLIPS * F.col("p")) & (F.col("p") >= F.when(F.col("single"), 20).otherwise(3)) & (F.col("e") * 4 <= F.col("p"))
     goes_on = (F.col("i") >= 50) & (rate <= RARE_END)
     never_last = (F.col("i1") >= 50) & (F.col("e1") <= RARE_END * (F.col("e1") + F.col("i1")))
     return s.select("tail", (part | goes_on | never_last).alias("plain"), (part | never_last | ((all_n > 0) & (rate < RARE_END_AT_SPIKE))).alias("at_spike"), "once")

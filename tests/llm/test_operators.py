@@ -161,6 +161,16 @@ def test_truncation_finds_cuts_and_spares_whole_values(spark):
     assert empty.count() == 0
 
 
+def test_truncation_bears_slips_in_mid_sentence(spark):
+    # in a large corpus some titles misspell the word that others are cut in
+    titles = [f"Measuring {m} of granular sludge reactors in zone {k}" for m in ("drift", "latency") for k in range(150)]
+    slips = [f"Measuring drift of granular sludge {w} in zone {k}" for k in range(3) for w in ("reactor", "reacto")]
+    cut = ["Measuring latency of granular sludge reacto", "Sparse records of granular sludge reacto"]
+    rows = [(f"n{n}", "title", -1, "feed", t) for n, t in enumerate([*titles, *slips, *cut])]
+    found, _ = truncation.cut_values(spark.createDataFrame(rows, "node_id string, field_name string, pos int, feed string, text string"))
+    assert {r.node_id for r in found.collect()} == {n for n, *_, t in rows if t in cut}
+
+
 def test_survivors_rules_and_ties(spark):
     t = dt.datetime
     rows = [
