@@ -40,20 +40,169 @@ def _scan(pairs: DataFrame) -> DataFrame:
     return pairs.repartition(1).mapInArrow(run, "seed long")
 
 
-def star_clusters(links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def star_clusters(links: DataFrame, max_rounds: int = 10_000, once: bool = False) -> DataFrame:
     """``(seed, member, pos)`` from links ``(i, j)`` between row numbers, either order.
 
     The result of scanning rows upwards and opening a cluster at each row no
     earlier cluster holds, with all its neighbours: seeds are the lexicographically
-    first maximal independent set, clusters are stars and may overlap.  Each round
-    selects every undecided row without a smaller undecided neighbour and rules
-    out its neighbours; once at most SCAN_PAIRS pairs are undecided, one task scans them,
-    so that a long chain of ascending rows doesn't cost a round for each of them.  Raises
-    if ``max_rounds`` rounds leave more.  ``pos`` 0 is the seed, then neighbours ascending.
+    first maximal independent set, clusters are stars and may overlap.  The links are
+    written once; each round reads them and shuffles nothing but what is new of each row,
+    see ``_seeds_by_state``, or ``_seeds_by_joins`` where the numbers reach too far.
+    Raises if ``max_rounds`` rounds leave more.  ``once`` says that no link comes
+    twice.  ``pos`` 0 is the seed, then neighbours ascending.
     """
     work = Workspace(links.sparkSession, "stars")
-    both = links.filter("i <> j").select(F.explode(F.array(F.struct(F.col("i").cast("long").alias("a"), F.col("j").cast("long").alias("b")), F.struct(F.col("j").cast("long").alias("a"), F.col("i").cast("long").alias("b")))).alias("e")).select("e.*").distinct()
-    edges = work.put(both, "edges")
+    narrow = links.filter("i <> j").select(F.least("i", "j").cast("long").alias("i"), F.greatest("i", "j").cast("long").alias("j"))
+    edges = work.put(narrow if once else narrow.distinct(), "edges", **NUMBERS)
+    ends = edges.agg(F.min("i").alias("lo"), F.max("j").alias("hi")).first()
+    if ends.lo is None:
+        return edges.select(F.col("i").alias("seed"), F.col("j").alias("member"), F.lit(0).cast("long").alias("pos"))
+    if ends.hi - ends.lo < STATE_ROWS:
+        stars = _stars_of(edges, _seeds_by_state(edges, ends.lo, ends.hi - ends.lo + 1, max_rounds), ends.lo)
+    else:
+        seeds = _seeds_by_joins(edges, work, max_rounds)
+        both = edges.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j")))
+        stars = both.join(seeds, both.i == seeds.seed).select("seed", F.col("j").alias("member")).union(seeds.select("seed", F.col("seed").alias("member")))
+    return _placed(stars, work, edges)
+
+
+def _placed(stars: DataFrame, work: Workspace, spent: DataFrame) -> DataFrame:
+    """``stars`` with each member's place; only stars that lie across partitions need their rows before."""
+    first = F.when(F.col("member") == F.col("seed"), F.lit(-1)).otherwise(F.col("member"))
+    ordered = stars.repartitionByRange(F.col("seed"), first).sortWithinPartitions(F.col("seed"), first)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, 0
+        for b in batches:
+            seed = b.column(0).to_numpy()
+            if not len(seed):
+                continue
+            begin = np.nonzero(np.concatenate([[seed[0] != last], seed[1:] != seed[:-1]]))[0]
+            start = np.zeros(len(seed), np.int64)
+            start[begin] = begin
+            pos = np.arange(len(seed)) - np.maximum.accumulate(start)
+            if not len(begin) or begin[0] > 0:  # the first rows go on with the batch before
+                pos[: begin[0] if len(begin) else len(seed)] += held
+            last, held = seed[-1], int(pos[-1]) + 1
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pos)], names=["seed", "member", "pos"])
+
+    rows = work.put(ordered.mapInArrow(count, "seed long, member long, pos long").withColumn("_p", F.spark_partition_id()), "placed", **NUMBERS)
+    work.drop(spent)
+    parts = rows.groupBy("seed", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    across = parts.groupBy("seed").agg(F.collect_list(F.struct("_p", "_n")).alias("x")).filter(F.size("x") > 1)  # at most one a partition
+    before = across.select("seed", F.explode(F.transform("x", lambda a: F.struct(a["_p"].alias("_p"), F.aggregate("x", F.lit(0).cast("long"), lambda n, e: n + F.when(e["_p"] < a["_p"], e["_n"]).otherwise(0)).alias("_before")))).alias("y")).select("seed", "y.*")
+    return rows.join(F.broadcast(before), ["seed", "_p"], "left").select("seed", "member", (F.col("pos") + F.coalesce("_before", F.lit(0))).alias("pos"))
+
+
+#: Options that keep written row numbers small: a few bits for the difference to the one before.
+NUMBERS = {"compression": "zstd", "parquet.writer.version": "v2"}
+#: Row numbers from the first to the last of which a bit each is sent to the executors: 8 MB of seeds and as much of passed-over rows.
+STATE_ROWS, CHUNK = 1 << 26, 1 << 16
+
+
+def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _seeds_by_state(edges: DataFrame, lo: int, n: int, max_rounds: int) -> np.ndarray:
+    """The seeds as bits from row ``lo`` on, from pairs ``(i, j)`` with ``i < j``.
+
+    Every task holds a bit for each row that is a seed and one for each that was passed
+    over.  A round reads the pairs: an undecided row with a seed before it is passed over;
+    one without an undecided row before it is a seed.  Tasks hand on the bits, their
+    chunks are united.  Once at most SCAN_PAIRS pairs are undecided, one task scans them,
+    so that a long chain of ascending rows doesn't cost a round for each of them.
+    """
+    spark = edges.sparkSession
+    wide = -(-n // CHUNK) * CHUNK
+    seed, out, linked = (np.zeros(wide, bool) for _ in range(3))
+    pairs = edges.select("i", "j").coalesce(spark.sparkContext.defaultParallelism)
+
+    def open_of(b: pa.RecordBatch, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j = b.column(0).to_numpy() - lo, b.column(1).to_numpy() - lo
+        later = ~_bit(taken, j)
+        i, j = i[later], j[later]
+        return i, j, ~_bit(taken, i)
+
+    for k in range(max_rounds):
+        shared = spark.sparkContext.broadcast((np.packbits(seed), np.packbits(seed | out)))
+
+        def look(batches: Iterator[pa.RecordBatch], shared=shared, first: bool = k == 0) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            seeds, taken = shared.value
+            kinds = np.zeros((3, wide), bool)  # passed over; after an undecided row; in a pair at all
+            undecided = 0
+            for b in batches:
+                i, j, free = open_of(b, taken)
+                kinds[0, j[_bit(seeds, i)]] = True
+                kinds[1, j[free]] = True
+                undecided += int(free.sum())
+                if first:
+                    kinds[2, i] = kinds[2, j] = True
+            for kind in range(3):
+                whole = np.packbits(kinds[kind]).reshape(-1, CHUNK // 8)
+                for c in np.nonzero(whole.any(1))[0].tolist():
+                    yield pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "chunk": pa.array([c], pa.int64()), "bits": pa.array([whole[c].tobytes()], pa.binary()), "n": pa.array([0], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([3], pa.int32()), "chunk": pa.array([0], pa.int64()), "bits": pa.array([b""], pa.binary()), "n": pa.array([undecided], pa.int64())})
+
+        met = pairs.mapInArrow(look, "kind int, chunk long, bits binary, n long").groupBy("kind", "chunk").applyInArrow(_united, "kind int, chunk long, bits binary, n long").toArrow()
+        passed, blocked, undecided = np.zeros(wide, bool), np.zeros(wide, bool), 0
+        for kind, chunk, bits, many in zip(*(met.column(c).to_pylist() for c in ("kind", "chunk", "bits", "n")), strict=True):
+            if kind == 3:
+                undecided = many
+            else:
+                (passed, blocked, linked)[kind][chunk * CHUNK : (chunk + 1) * CHUNK] = np.unpackbits(np.frombuffer(bits, np.uint8))
+        shared.unpersist()
+        out |= passed
+        seed |= linked & ~seed & ~out & ~blocked
+        if not (linked & ~seed & ~out).any():
+            return np.packbits(seed)
+        if 0 < undecided <= SCAN_PAIRS:
+            now = spark.sparkContext.broadcast(np.packbits(seed | out))
+            near = spark.sparkContext.broadcast(np.packbits(seed))
+
+            def still(batches: Iterator[pa.RecordBatch], now=now, near=near) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+                for b in batches:
+                    i, j, free = open_of(b, now.value)
+                    # a row with a seed before it is passed over: the pair with the seed says so
+                    use = free | _bit(near.value, i)
+                    i, j = i[use] + lo, j[use] + lo
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([i, j])), pa.array(np.concatenate([j, i]))], names=["a", "b"])
+
+            found = _scan(pairs.mapInArrow(still, "a long, b long")).toArrow().column("seed").to_numpy() - lo
+            seed[found] = True
+    raise RuntimeError(f"rows are undecided after {max_rounds} rounds")
+
+
+def _united(t: pa.Table) -> pa.Table:
+    """The bits of one chunk from all tasks, or the sum of what they counted."""
+    bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("bits").to_pylist()])
+    return pa.table({"kind": t.column("kind")[:1], "chunk": t.column("chunk")[:1], "bits": pa.array([bits.tobytes()], pa.binary()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64())})
+
+
+def _stars_of(edges: DataFrame, seeds: np.ndarray, lo: int) -> DataFrame:
+    """``(seed, member)``: seeds, given as bits, with all their neighbours and themselves."""
+    spark = edges.sparkSession
+    shared = spark.sparkContext.broadcast(seeds)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i, j = b.column(0).to_numpy(), b.column(1).to_numpy()
+            up, down = _bit(shared.value, i - lo), _bit(shared.value, j - lo)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([i[up], j[down]])), pa.array(np.concatenate([j[up], i[down]]))], names=["seed", "member"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in b.column(0).to_pylist():
+                at = pa.array(np.nonzero(np.unpackbits(shared.value[c * CHUNK // 8 : (c + 1) * CHUNK // 8]))[0] + c * CHUNK + lo)
+                yield pa.RecordBatch.from_arrays([at, at], names=["seed", "member"])
+
+    selves = spark.range(0, len(seeds) * 8 // CHUNK).mapInArrow(own, "seed long, member long")
+    return edges.mapInArrow(near, "seed long, member long").unionByName(selves)
+
+
+def _seeds_by_joins(edges: DataFrame, work: Workspace, max_rounds: int) -> DataFrame:
+    """``(seed)``: the same in joins.  Each round selects every undecided row without a smaller undecided neighbour and rules out its neighbours."""
+    edges = work.put(edges.select(F.explode(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))).alias("e")).select("e.*"), "both")
     open_edges, seeds = edges, None
     for _ in range(max_rounds):
         if open_edges.count() <= SCAN_PAIRS:
@@ -73,8 +222,8 @@ def star_clusters(links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         raise RuntimeError(f"more than {SCAN_PAIRS} pairs are undecided after {max_rounds} rounds")
     rest = _scan(open_edges)
     seeds = work.put(rest if seeds is None else seeds.union(rest), "seeds")
-    stars = edges.join(seeds, edges.a == seeds.seed).select("seed", F.col("b").alias("member")).union(seeds.select("seed", F.col("seed").alias("member")))
-    return numbered(stars, "seed", [F.when(F.col("member") == F.col("seed"), F.lit(-1)).otherwise(F.col("member"))])
+    work.drop(edges)
+    return seeds
 
 
 def _union_sources(clusters: DataFrame, base: DataFrame, listed: DataFrame) -> DataFrame:

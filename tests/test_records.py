@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fulcrum.durable import shared_dir
+from fulcrum.durable import Workspace, shared_dir
 from fulcrum.functions import text as tx
 from fulcrum.functions.numbers import round_binary
 from fulcrum.operators import basics, dedup, extract, maintenance, orphans, sections, similarity, skew
@@ -136,6 +136,36 @@ def test_stars_by_rounds_equal_the_scan(spark, monkeypatch):
         dedup.star_clusters(links, max_rounds=1)
 
 
+def _tally(monkeypatch):
+    """What is written from now on: a list of (columns, rows)."""
+    put, seen = Workspace.put, []
+
+    def counted(self, df, label, *a, **k):
+        back = put(self, df, label, *a, **k)
+        seen.append((back.columns, back.count()))
+        return back
+
+    monkeypatch.setattr(Workspace, "put", counted)
+    return seen
+
+
+def test_stars_write_links_once(spark, monkeypatch):
+    links = spark.createDataFrame([(i, j) for c in range(0, 120, 12) for i in range(c, c + 12) for j in range(i + 1, min(i + 5, c + 12))] + [(200, k) for k in range(201, 25_201)], "i long, j long")
+    want = {tuple(r) for r in dedup.star_clusters(links).collect()}
+    assert {(200, 200 + k, k) for k in range(25_001)} == {w for w in want if w[0] == 200}
+    monkeypatch.setattr(dedup, "SCAN_PAIRS", 0)
+    seen = _tally(monkeypatch)
+    assert {tuple(r) for r in dedup.star_clusters(links).collect()} == want
+    assert sum(n for _, n in seen) <= links.count() + len(want)
+
+
+def test_stars_by_joins_equal_those_by_state(spark, monkeypatch):
+    links = spark.createDataFrame([(i, (i * i + 7) % 90) for i in range(90)] + [(3, 3), (1, 2), (2, 1), (None, 4)], "i long, j long")
+    want = {tuple(r) for r in dedup.star_clusters(links).collect()}
+    monkeypatch.setattr(dedup, "STATE_ROWS", 0)
+    assert {tuple(r) for r in dedup.star_clusters(links).collect()} == want
+
+
 def test_merges_carry_sources_along_a_long_run(spark):
     """70 clusters, each based on the next one's member: the last base has the sources of all."""
     n = 70
