@@ -241,6 +241,13 @@ def _union_sources(clusters: DataFrame, base: DataFrame, listed: DataFrame) -> D
     return clusters.select("seed").distinct().join(merged, "seed", "left").select("seed", F.coalesce(F.transform("x", lambda e: e["s"]), F.array().cast("array<struct<source_type:string,source_id:string,evidence_quote:string>>")).alias("sources"))
 
 
+def bases(nodes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``(seed, node_id)`` of each cluster's base: what ``merge_clusters`` gives without the united sources."""
+    sure = clusters.join(nodes.select(F.col("ord").alias("member"), F.coalesce("confidence", F.lit(float("-inf"))).alias("confidence")), "member")
+    best = sure.groupBy("seed").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "pos", "member")).alias("b")).select("seed", F.col("b.member").alias("ord"))
+    return best.join(nodes.select("ord", "node_id"), "ord").select("seed", "node_id")
+
+
 def merge_clusters(nodes: DataFrame, clusters: DataFrame, shared_lists: bool = True) -> DataFrame:
     """One merged record a cluster: ``(seed, ord, node_id, confidence, sources)`` of its base.
 
@@ -284,7 +291,8 @@ def dedup_nodes(nodes: DataFrame, links: DataFrame, shared_lists: bool = True) -
 
 def id_map(nodes: DataFrame, clusters: DataFrame, merged: DataFrame) -> DataFrame:
     """``(old_id, new_id)``: merged-away ids and what they became; of several clusters the first seed's."""
-    kept = clusters.join(merged.select("seed", F.col("node_id").alias("new_id")), "seed").join(nodes.select(F.col("ord").alias("member"), F.col("node_id").alias("old_id")), "member")
+    earliest = clusters.groupBy("member").agg(F.min("seed").alias("seed"))  # numbers are united before ids are joined
+    kept = earliest.join(merged.select("seed", F.col("node_id").alias("new_id")), "seed").join(nodes.select(F.col("ord").alias("member"), F.col("node_id").alias("old_id")), "member")
     return kept.groupBy("old_id").agg(F.min_by("new_id", "seed").alias("new_id")).filter("old_id <> new_id")
 
 

@@ -12,7 +12,7 @@ from fulcrum.durable import Workspace, shared_dir
 from fulcrum.functions import text as tx
 from fulcrum.functions.numbers import round_binary
 from fulcrum.operators import basics, dedup, extract, maintenance, orphans, sections, similarity, skew
-from fulcrum.plans import registry
+from fulcrum.plans import registry, upkeep
 from fulcrum.sources import paged, readers, sinks
 from fulcrum.streaming import ingest
 
@@ -166,6 +166,12 @@ def test_stars_by_joins_equal_those_by_state(spark, monkeypatch):
     assert {tuple(r) for r in dedup.star_clusters(links).collect()} == want
 
 
+def test_rewritten_edges_need_no_sources(spark, data, monkeypatch):
+    seen = _tally(monkeypatch)
+    assert upkeep.gr05_problem_dedup(spark, data).count() > 0
+    assert not any("sources" in columns for columns, _ in seen)
+
+
 def test_merges_carry_sources_along_a_long_run(spark):
     """70 clusters, each based on the next one's member: the last base has the sources of all."""
     n = 70
