@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +207,50 @@ def test_lots_of_starts_change_nothing(spark, monkeypatch):
     assert dict(zip(c.ids.to_pylist(), whole / (11 * 10), strict=True)) == pytest.approx({k: v for k, v in betweenness(nodes, edges).items() if k in c.ids.to_pylist()})
 
 
+def drawn(n, m, lengths, seed):
+    """A graph of n nodes and about m edges, as ``compact`` makes it."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    src, dst = np.unique(rng.integers(0, n, (m, 2)), axis=0).T
+    w = rng.choice(np.array(lengths, float), len(src))
+    src, dst, w = (x[src != dst] for x in (src, dst, w))
+    return compact.Compact(pa.array([f"n{i:03d}" for i in range(n)]), np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))]), dst.astype(np.int32), w)
+
+
+@pytest.mark.parametrize("bounds", [{}, {"CLASSES": 1, "WIDE": 3, "BUFFER": 7}, {"CLASSES": 0, "MOST_WAVES": 0}, {"MOST_WIDTHS": 0}])
+@pytest.mark.parametrize("lengths", [[1, 2, 4], [1, 1, 3, 1e6], [1, 2.0**-30, 2], [1, 2, float("nan")]])
+def test_bottleneck_of_any_lengths_in_rows(monkeypatch, lengths, bounds):
+    import numpy as np
+
+    for name, value in bounds.items():
+        monkeypatch.setattr(compact, name, value)
+    for seed in range(4):
+        c = drawn(8, 22, lengths, seed)
+        ids, src = c.ids.to_pylist(), np.repeat(np.arange(8), np.diff(c.first))
+        edges = [(ids[s], ids[t], 1 / w) for s, t, w in zip(src, c.to, c.weight, strict=True) if w == w]
+        want = {k: v * 42 for k, v in betweenness(ids, edges).items()}
+        assert dict(zip(ids, compact.between(c, np.nonzero(np.diff(c.first))[0]), strict=True)) == pytest.approx(want, abs=1e-9)
+
+
+def test_bottleneck_is_quicker_than_following_single_places():
+    """All of it takes less than the distances alone did, when every improved place was followed by itself."""
+    import time
+
+    import numpy as np
+
+    c = drawn(2_000, 6_500, np.arange(102, 900) / 100, 5)
+    starts = np.nonzero(np.diff(c.first))[0][:400]
+
+    def cpu(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    places = min(cpu(lambda: compact.best_values(c, starts, product=False)) for _ in range(2))
+    assert min(cpu(lambda: compact.between(c, starts)) for _ in range(2)) < places
+
+
 def test_sampled_bottleneck_is_not_biased(spark):
     """Three of five leaves lead into the middle of a star, two out of it; all sources sampled gives the exact value."""
     g = make(spark, [(n, i, "x", []) for i, n in enumerate("MABCDE")], [(a, b, "ENABLES", 1.0, 1.0, i) for i, (a, b) in enumerate([("A", "M"), ("B", "M"), ("C", "M"), ("M", "D"), ("M", "E")])])
